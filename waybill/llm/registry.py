@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from waybill.llm import chat_format, mixing, url_filter
+from waybill.llm import chat_format, mixing, pieces, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_snapshots": chat_format.query,
     "op2_source_mixing": mixing.query,
+    "op4_toxicity": toxicity.query,
+    "op6_token_lengths": token_counts.query,
     "op7_url_rules": url_filter.query,
+    "op10_sentencepiece": pieces.query,
 }
 SQL = {
     "op1_chat_snapshots": chat_format.SQL,
