@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from waybill.llm import chat_format, mixing, pieces, token_counts, toxicity, url_filter
+from waybill.llm import chat_format, merkle, mixing, pieces, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_snapshots": chat_format.query,
     "op2_source_mixing": mixing.query,
+    "op3_merkle": merkle.query,
     "op4_toxicity": toxicity.query,
+    "op5_secret_scan": secret_scan.query,
     "op6_token_lengths": token_counts.query,
     "op7_url_rules": url_filter.query,
     "op10_sentencepiece": pieces.query,
@@ -15,5 +17,6 @@ QUERIES = {
 SQL = {
     "op1_chat_snapshots": chat_format.SQL,
     "op2_source_mixing": mixing.SQL,
+    "op3_merkle": merkle.SQL,
     "op7_url_rules": url_filter.SQL,
 }
