@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waybill.llm import chat_format, jaccard_join, merkle, mixing, pieces, secret_scan, token_counts, toxicity, url_filter
+from waybill.llm import chat_format, jaccard_join, merkle, mixing, nn_descent, pieces, secret_scan, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_snapshots": chat_format.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": secret_scan.query,
     "op6_token_lengths": token_counts.query,
     "op7_url_rules": url_filter.query,
+    "op8_nn_descent": nn_descent.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_sentencepiece": pieces.query,
 }
@@ -20,5 +21,6 @@ SQL = {
     "op2_source_mixing": mixing.SQL,
     "op3_merkle": merkle.SQL,
     "op7_url_rules": url_filter.SQL,
+    "op8_nn_descent": nn_descent.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
 }
