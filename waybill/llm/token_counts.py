@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.common import table
+from waybill.llm.common import Scratch, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1024
+BLOCK = 64
 
 _BUILT: dict[int, object] = {}
 
@@ -56,10 +56,11 @@ def histogram(counted: DataFrame) -> DataFrame:
     n_docs, n_tokens: at this length. docs_at_least, tokens_at_least: from this length up. truncated_total: tokens left
     if every document is cut to this length.
     """
-    hist = counted.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    # written once: the suffix sums read it twice, and the encoding behind it must not run twice
+    hist = Scratch(counted.sparkSession).put(counted.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")))
     hist = hist.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "block": F.floor(F.col("length") / BLOCK)})
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
-    # one row per 1024 lengths: a handful even for book-long documents
+    # one row per block of lengths: few even for book-long documents
     below, above = (Window.partitionBy(F.lit(0)).orderBy(k).rowsBetween(Window.unboundedPreceding, -1) for k in ("block", F.desc("block")))
     zero = F.lit(0)
     blocks = blocks.select(
