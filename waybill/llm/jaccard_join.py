@@ -435,6 +435,41 @@ def components(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int =
     return members.join(named, "d", "left").select("doc_id", "d", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, of: int = 100) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id (nulls last), then smallest digest.
+
+    Documents without words stay. Repeated rows are one document, also where no other is like it.
+    """
+    scratch = Scratch(spark)
+    members, _, parts = link(spark, docs, k, at_least, of)
+    named = members.where("size > 0").groupBy("doc_id", "d").agg(F.count("*").alias("rows")).join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "d")).alias("best"))
+    judged = named.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("d") == F.col("best.d")))
+    judged = scratch.put(judged.select(F.col("d").alias("_d"), F.col("doc_id").alias("_id"), "rows", "stays"))
+    out = judged.where("not stays").select("_d", "_id")
+    keyed = _with_digest(docs)
+    side = F.broadcast(out) if out.count() <= BROADCAST_SETS else out
+    kept = keyed.join(side, (keyed["_digest"] == F.col("_d")) & keyed["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    again = judged.where("stays and rows > 1").select("_d", "_id")
+    if not again.isEmpty():
+        # rows that are repeated whole: one of each
+        twice = (kept["_digest"] == F.col("_d")) & kept["doc_id"].eqNullSafe(F.col("_id"))
+        once = kept.join(again, twice, "left_semi").dropDuplicates(["_digest", "doc_id"])
+        kept = kept.join(again, twice, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(words_of(x.as_py())) for x in batch.column(at)], pa.binary())], [*names, "_digest"])
+
+    return docs.mapInArrow(run, docs.withColumn("_digest", F.lit(None).cast("binary")).schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, table(spark, sf_dir, "documents"), k=4, at_least=85, of=100).drop("d")
 

@@ -22,6 +22,8 @@ from waybill.llm.common import Scratch, table, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
+#: Sources are broadcast up to this many; beyond it they are joined by shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def random_key(doc_id: Column, seed: int) -> Column:
@@ -71,6 +73,18 @@ def mix(
     Each epoch takes a source's documents in key order; the last epoch ends at the exact budget (the target rounded
     down), inside a document unless ``whole``, where a document is taken if its middle lies before the cut.
     """
+    return _placed(spark, docs, weights, share, max_epochs, seed, whole).select(
+        "doc_id",
+        F.when(~F.col("no_source"), F.col("source")).alias("source"),
+        "size",
+        "source_size",
+        "target",
+        F.col("epochs").alias("copies"),
+        (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"),
+    )
+
+
+def _placed(spark: SparkSession, docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int, whole: bool) -> DataFrame:
     scratch = Scratch(spark)
     sized = scratch.put(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
@@ -93,18 +107,33 @@ def mix(
         .withColumn("prefix", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
         .withColumn("epochs", epochs)
         .withColumn("last", last.cast("long"))
-        .select(
-            "doc_id",
-            F.when(~F.col("no_source"), F.col("source")).alias("source"),
-            "size",
-            "source_size",
-            "target",
-            F.col("epochs").alias("copies"),
-            (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"),
-        )
     )
 
 
+def mixed(
+    spark: SparkSession,
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    max_epochs: float = MAX_EPOCHS,
+    seed: int = 17,
+) -> DataFrame:
+    """``docs`` as the mix has them: whole documents, a row for each time one is taken.
+
+    The last epoch of a source ends at one place of its order, so a row decides for itself by its place: no join on ids,
+    and no text is dealt out.
+    """
+    placed = _placed(spark, docs, weights, share, max_epochs, seed, whole=True)
+    place = F.struct("key", "doc_id", "size")
+    cuts = Scratch(spark).put(placed.groupBy("no_source", "source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("last") > 0, place)).alias("_cut")))
+    keyed = docs.withColumn("_at", F.struct(random_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size")))
+    side = cuts.select(F.col("no_source").alias("_none"), F.col("source").alias("_source"), "_epochs", "_cut")
+    side = F.broadcast(side) if side.count() <= BROADCAST_SOURCES else side
+    met = keyed.join(side, (keyed["source"].isNull() == F.col("_none")) & (F.coalesce(keyed["source"], F.lit("")) == F.col("_source")))
+    times = F.col("_epochs") + F.when(F.col("_at") <= F.col("_cut"), 1).otherwise(0)
+    return met.withColumn("_time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[keyed[c] for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

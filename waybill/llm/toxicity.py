@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -118,9 +118,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     return fit(rows, got.column("toxic").to_numpy().astype(float), **fitting)
 
 
-def score(spark: SparkSession, docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score of every row. The model is bounded by the terms of the training sample."""
+def score(spark: SparkSession, docs: DataFrame, machine: Machine, keep: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keep`` columns and the score of every row; a column already called ``name`` is replaced. The model is bounded by
+    the terms of the training sample."""
     model = spark.sparkContext.broadcast((machine.ids, machine.w, machine.v, machine.b))
+    keep = [c for c in keep if c != name]
+    cols = [*keep, *([] if "text" in keep else ["text"])]
+    at_text = cols.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*model.value)
@@ -129,7 +133,7 @@ def score(spark: SparkSession, docs: DataFrame, machine: Machine, keep: tuple[st
         mask = (1 << BITS) - 1
         for batch in batches:
             out = []
-            for x in batch.column(len(keep)):
+            for x in batch.column(at_text):
                 at = set()
                 for word in set(_TERM.findall((x.as_py() or "").lower())):
                     i = seen.get(word)
@@ -140,10 +144,14 @@ def score(spark: SparkSession, docs: DataFrame, machine: Machine, keep: tuple[st
                     if i >= 0:
                         at.add(i)
                 out.append(squash(m.margin(np.array(sorted(at), np.int64))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, name])
 
-    src = docs.select(*keep, "text")
-    return src.mapInArrow(run, docs.select(*keep, F.lit(0.0).alias("score")).schema)
+    return docs.select(*cols).mapInArrow(run, docs.select(*keep, F.lit(0.0).alias(name)).schema)
+
+
+def reject(spark: SparkSession, docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more."""
+    return score(spark, docs, machine, keep=docs.columns, name="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
