@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of text that are encoded at a time; encodings take many times the space of the text.
 BATCH_CHARS = 2_000_000
-#: Words whose merges a process remembers.
-CACHE = 200_000
+#: Distinct parts that a process remembers.
+CACHE = 300_000
 
 
 @dataclass
@@ -113,22 +115,32 @@ def parse(data: bytes) -> Model:
     return m
 
 
-def build(m: Model):
-    """A tokenizers.Tokenizer that encodes and decodes as the model does."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+def model_of(m: Model):
+    """The tokenizers model: scores for unigram, merges ranked by score for BPE."""
+    from tokenizers import models
 
     unknown = m.of_kind(UNKNOWN)[0]
     if m.kind == UNIGRAM:
         low = min((s for _, s, k in m.pieces if k == NORMAL), default=0.0)
-        model = models.Unigram([(p, s if k in (NORMAL, USER) else low - 1e4) for p, s, k in m.pieces], unknown, m.byte_fallback)
-    elif m.kind == BPE:
+        return models.Unigram([(p, s if k in (NORMAL, USER) else low - 1e4) for p, s, k in m.pieces], unknown, m.byte_fallback)
+    if m.kind == BPE:
         ids = {p: i for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
         ranked = sorted(((s, p) for p, s, k in m.pieces if k in (NORMAL, USER) and len(p) > 1), key=lambda x: (-x[0], ids[x[1]]))
         merges = [(p[:i], p[i:]) for _, p in ranked for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
-        model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges, unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=CACHE)
-    else:
-        raise ValueError(f"model type {m.kind}")
-    t = Tokenizer(model)
+        return models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges, unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+    raise ValueError(f"model type {m.kind}")
+
+
+def parts_are_independent(m: Model) -> bool:
+    """Whether a text may be cut before runs of the marker: no piece holds the marker after another character."""
+    return m.escape and not any(MARK in p.lstrip(MARK) for p, _, k in m.pieces if k in (NORMAL, USER))
+
+
+def build(m: Model):
+    """A tokenizers.Tokenizer that encodes and decodes as the model does."""
+    from tokenizers import Regex, Tokenizer, decoders, normalizers, pre_tokenizers
+
+    t = Tokenizer(model_of(m))
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -137,23 +149,78 @@ def build(m: Model):
     if m.escape:
         steps.append(normalizers.Replace(" ", MARK))
     t.normalizer = normalizers.Sequence(steps)
-    if m.escape and not any(MARK in p.lstrip(MARK) for p, _, k in m.pieces if k in (NORMAL, USER)):
+    if parts_are_independent(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
     ends = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
     return t
 
 
-_BUILT: dict[str, object] = {}
-
-
-def tokenizer_of(data: bytes, threads: int = 2):
-    """The tokenizer for a model's bytes, built once in each process."""
+class Codec:
+    """Encodes and decodes batches of texts. Where parts are independent, each distinct part is encoded once.
+
+    ``ids`` are packed as little-endian int32. Parts not seen yet go to the library as one multithreaded batch.
+    """
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer, decoders
+
+        self.model = parse(data)
+        self.whole = build(self.model)
+        self.by_parts = parts_are_independent(self.model)
+        self.part = Tokenizer(model_of(self.model))
+        self.part.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
+        self.packed: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        """Parts of a text without their first marker."""
+        if self.plain:
+            if not text:
+                return []
+            if MARK not in text and "  " not in text and text[-1] != " " and text[0] != " ":
+                return text.split(" ")
+            text = MARK + text.replace(" ", MARK)
+        else:
+            text = self.whole.normalizer.normalize_str(text)
+        return [x[1:] if x[0] == MARK else _BARE + x for x in _PART.findall(text)]
+
+    def _learn(self, parts: set[str]) -> None:
+        if len(self.packed) > CACHE:
+            self.packed.clear()
+            self.text.clear()
+        new = [x for x in parts if x not in self.packed]
+        found = [e.ids for e in self.part.encode_batch_fast([x[1:] if x[:1] == _BARE else MARK + x for x in new], add_special_tokens=False)]
+        for x, ids, back in zip(new, found, self.part.decode_batch(found, skip_special_tokens=False), strict=True):
+            self.packed[x], self.text[x] = struct.pack(f"<{len(ids)}i", *ids), back
+
+    def run(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Packed ids and decoded texts."""
+        if not self.by_parts:
+            found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return [struct.pack(f"<{len(x)}i", *x) for x in found], self.whole.decode_batch(found, skip_special_tokens=False)
+        split = [self._parts(x) for x in texts]
+        self._learn(set().union(*split) - self.packed.keys() if len(self.packed) <= CACHE else set().union(*split))
+        packed, back = self.packed.__getitem__, self.text.__getitem__
+        cut = 1 if self.model.dummy_prefix else 0
+        decoded = ["".join(map(back, x)) for x in split]
+        return [b"".join(map(packed, x)) for x in split], [x[cut:] if x[:1] == " " else x for x in decoded]
+
+
+#: Marks the key of a part that doesn't start with the marker; no text holds a lone surrogate.
+_BARE = "\ud800"
+_PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_BUILT: dict[str, Codec] = {}
+
+
+def codec_of(data: bytes, threads: int = 2) -> Codec:
+    """The codec for a model's bytes, built once in each process."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _BUILT:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        _BUILT[key] = build(parse(data))
+        _BUILT[key] = Codec(data)
     return _BUILT[key]
 
 
@@ -183,12 +250,14 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str =
     schema = docs.select(*kept, F.array().cast("array<int>").alias(ids)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer_of(data.value)
+        codec = codec_of(data.value)
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             for a, b in slices([len(x) for x in texts]):
-                found = [e.ids for e in tok.encode_batch_fast(texts[a:b], add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))] + [pa.array(found, pa.list_(pa.int32()))], [*kept, ids])
+                packed, _ = codec.run(texts[a:b])
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))] + [found], [*kept, ids])
 
     return src.mapInArrow(run, schema)
 
@@ -200,7 +269,7 @@ def decode(spark: SparkSession, encoded: DataFrame, model: str = MODEL, ids: str
     schema = encoded.select(*kept, F.lit("").cast("string").alias(text)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer_of(data.value)
+        tok = codec_of(data.value).whole
         for batch in batches:
             lists = batch.column(len(kept)).to_pylist()
             for a, b in slices([len(x or ()) for x in lists]):
@@ -216,17 +285,16 @@ def summarize(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataF
     data = spark.sparkContext.broadcast(read_model(spark, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer_of(data.value)
+        codec = codec_of(data.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in slices([len(x) for x in texts]):
-                lists = [e.ids for e in tok.encode_batch_fast(texts[a:b], add_special_tokens=False)]
-                back = tok.decode_batch(lists, skip_special_tokens=False)
+                packed, back = codec.run(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array([len(x) for x in lists], pa.int64()),
-                        pa.array([hashlib.sha256(struct.pack(f"<{len(x)}i", *x)).hexdigest() for x in lists], pa.string()),
+                        pa.array([len(x) // 4 for x in packed], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
                         pa.array([x == y for x, y in zip(back, texts[a:b], strict=True)], pa.bool_()),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "round_trip"],
@@ -243,13 +311,13 @@ def parity(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataFram
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=data.value)
-        tok = tokenizer_of(data.value)
+        codec = codec_of(data.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in slices([len(x) for x in texts]):
-                ours = [e.ids for e in tok.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+                packed, back = codec.run(texts[a:b])
                 theirs = sp.encode(texts[a:b], num_threads=1)
-                bad = [i for i, (x, y) in enumerate(zip(ours, theirs, strict=True)) if x != y or tok.decode(x, skip_special_tokens=False) != sp.decode(y)]
+                bad = [i for i, x in enumerate(theirs) if struct.pack(f"<{len(x)}i", *x) != packed[i] or sp.decode(x) != back[i]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(bad, pa.int64())), pa.array([texts[a + i] for i in bad], pa.string())], ["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
