@@ -7,7 +7,7 @@ zero counts as missing where a record says so, numbers round half up, and "first
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +24,11 @@ def lit_str(x: str | None) -> Column:
     return F.lit(x).cast("string")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def round_half_up(x: Column, places: int = 0) -> Column:
     """Half goes towards plus infinity, also below zero."""
     scale = float(10**places)

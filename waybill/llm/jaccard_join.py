@@ -3,7 +3,7 @@
 The links are exactly the pairs of sets with ``of * |A & B| >= at_least * |A | B|``; what skips work never drops one.
 
 1. Rare first. Every shingle is counted over all documents, as sorted 38-bit prints packed by deltas. What comes of the
-   counts has a fixed size whatever the input: a bitmap of cells that hold a repeated shingle (16 MB) and the most
+   counts has a fixed size whatever the input: a bitmap of cells that hold a repeated shingle (8 MB) and the most
    frequent prints with their magnitude (5 MB). They only order the shingles; any order gives the same links, and a full
    bitmap costs time, not results.
 2. Index. In that order two linked sets share a shingle of their prefixes. Shingles that only one set has fill a prefix
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from waybill.llm.common import Scratch, connected_components, table
 
 #: Bits of a print, of which the first BUCKET_BITS choose the bucket and the rest fit in 32 bits.
-PRINT_BITS, BUCKET_BITS, CELL_BITS = 38, 6, 27
-FREQUENT, MOST_FREQUENT = 16, 1 << 20
+PRINT_BITS, BUCKET_BITS, CELL_BITS = 38, 6, 26
+FREQUENT, MOST_FREQUENT = 16, 1 << 19
 #: Lists up to this length give all pairs at once.
 SHORT = 24
 #: Up to this many sets of words (16 bytes each) are broadcast to fetch their texts; beyond it they are joined by shuffle.
@@ -223,17 +223,16 @@ def index(spark: SparkSession, docs: DataFrame, freq: Frequencies, k: int, at_le
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingle bigint, d binary, size int, place int")
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Groups of rows with one shingle from rows sorted by it: columns as arrays, the first being the shingle."""
+def _lists(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """Groups of two rows or more with equal first columns, from rows sorted by them, as arrays."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if rest is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
-        s = cols[0]
-        if not len(s):
+        if not len(cols[0]):
             continue
-        cuts = np.flatnonzero(s[1:] != s[:-1]) + 1
+        cuts = np.flatnonzero(np.logical_or.reduce([s[1:] != s[:-1] for s in cols[:keys]])) + 1
         starts = np.concatenate([[0], cuts])
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b - a > 1:
@@ -255,7 +254,7 @@ def _reach(size: np.ndarray, place: np.ndarray, at_least: int, of: int) -> np.nd
 
 
 def candidates(postings: DataFrame, at_least: int, of: int) -> DataFrame:
-    """All pairs (a, b) of short lists and a chain through an eighth of the long ones; rows of long lists, with shingle."""
+    """All pairs (a, b) of short lists, chains and stars through long ones; rows of long lists, with shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shingle", "a", "b", "size", "place"]
@@ -281,10 +280,11 @@ def candidates(postings: DataFrame, at_least: int, of: int) -> DataFrame:
                         if size[i] <= reach[j]:
                             pairs.add((d[i], d[j]) if d[i] < d[j] else (d[j], d[i]))
             else:
-                if int(s[0]) & 7 == 0:
-                    for i in range(m - 1):
-                        if size[i + 1] <= reach[i] and size[i] <= reach[i + 1]:
-                            pairs.add((d[i], d[i + 1]) if d[i] < d[i + 1] else (d[i + 1], d[i]))
+                # a chain, and a star within every SHORT neighbours
+                for i in range(1, m):
+                    for j in {i - 1, i - i % SHORT}:
+                        if j < i and size[i] <= reach[j] and size[j] <= reach[i]:
+                            pairs.add((d[i], d[j]) if d[i] < d[j] else (d[j], d[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, s[0])), pa.array(d, pa.binary()), pa.nulls(m, pa.binary()), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], names)
             if len(pairs) > 200_000:
                 yield flush()
@@ -294,13 +294,21 @@ def candidates(postings: DataFrame, at_least: int, of: int) -> DataFrame:
     return dealt.mapInArrow(run, "shingle bigint, a binary, b binary, size int, place int")
 
 
-def across(long_lists: DataFrame, at_least: int, of: int) -> DataFrame:
-    """Pairs of component leaders (a, b) that long lists leave open: sets of two components within reach of each other."""
+def across(long_lists: DataFrame, at_least: int, of: int, thin: bool) -> DataFrame:
+    """Pairs (a, b) that long lists leave open: sets of two components within reach of each other.
+
+    ``thin`` gives a pair for each set at most: with its nearest neighbour by size in the largest component of the list
+    (a set of that component: with the next of another). Otherwise all open pairs of components, by their leaders.
+    Leaders are dealt into classes and each two classes meet in one place, so that a pair that many lists hold is one row.
+    """
+    classes = 1 if thin else min(32, max(2, math.isqrt(int(long_lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: set[tuple[bytes, bytes]] = set()
-        for _, d, size, place, leader in _lists(batches):
-            d, size, place, leader = _once(d, size, place, leader)
+        for cell, _, d, size, place, leader, side in _lists(batches, 2):
+            d, size, place, leader, side = _once(d, size, place, leader, side)
+            # two classes: only pairs from one to the other are looked at here
+            mixed = cell[0] % classes != cell[0] // classes
             ids = {x: i for i, x in enumerate(dict.fromkeys(leader))}
             if len(ids) < 2:
                 continue
@@ -308,11 +316,19 @@ def across(long_lists: DataFrame, at_least: int, of: int) -> DataFrame:
             c = np.fromiter((ids[x] for x in leader), np.int64, len(leader))
             size, place = size.astype(np.int64), place.astype(np.int64)
             reach = _reach(size, place, at_least, of)
+            if thin:
+                main = np.bincount(c).argmax()
+                inside, outside = np.flatnonzero(c == main), np.flatnonzero(c != main)
+                near = inside[np.minimum(np.searchsorted(size[inside], size[outside]), len(inside) - 1)]
+                for i, j in [*zip(outside, near, strict=True), *((i, i + 1) for i in np.flatnonzero(c[1:] != c[:-1]))]:
+                    if size[j] <= reach[i] and size[i] <= reach[j]:
+                        pairs.add((d[i], d[j]) if d[i] < d[j] else (d[j], d[i]))
+                continue
             tops = np.searchsorted(size, reach, "right")
             open_pairs: list[np.ndarray] = []
             for i in np.flatnonzero(tops > np.arange(len(d)) + 1):
                 j = np.arange(i + 1, tops[i])
-                other = c[j[(reach[j] >= size[i]) & (c[j] != c[i])]]
+                other = c[j[(reach[j] >= size[i]) & (c[j] != c[i]) & ((side[j] != side[i]) | (not mixed))]]
                 if len(other):
                     other = np.unique(other)
                     open_pairs.append(np.minimum(other, c[i]) * len(names) + np.maximum(other, c[i]))
@@ -322,7 +338,11 @@ def across(long_lists: DataFrame, at_least: int, of: int) -> DataFrame:
         x = sorted(pairs)
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in x], pa.binary()), pa.array([p[1] for p in x], pa.binary())], ["a", "b"])
 
-    dealt = long_lists.select("shingle", "d", "size", "place", "leader").repartition("shingle").sortWithinPartitions("shingle", "size", "d", "place")
+    side = F.pmod(F.xxhash64("leader"), F.lit(classes)).cast("int")
+    met = long_lists.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
+    met = met.select((F.least("side", "other") * classes + F.greatest("side", "other")).alias("cell"), "shingle", "d", "size", "place", "leader", "side")
+    keys = ["shingle"] if thin else ["cell"]
+    dealt = met.repartition(*keys).sortWithinPartitions("cell", "shingle", "size", "d", "place")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -374,9 +394,9 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
     freq = count_shingles(spark, docs, k)
     indexed = scratch.put(index(spark, docs, freq, k, at_least, of))
     members = indexed.where("shingle is null").select("doc_id", "d", "size")
-    found = scratch.put(candidates(indexed.where("shingle is not null"), at_least, of))
-    pairs = found.where("b is not null").select("a", "b").distinct()
-    long_lists = found.where("shingle is not null").select("shingle", F.col("a").alias("d"), "size", "place")
+    listed = scratch.put(candidates(indexed.where("shingle is not null"), at_least, of))
+    pairs = listed.where("b is not null").select("a", "b").distinct()
+    long_lists = listed.where("shingle is not null").select("shingle", F.col("a").alias("d"), "size", "place")
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long_lists.select(F.col("d").alias("a"))).distinct()
     one = members.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
     texts = fetch(spark, docs, scratch.put(one.join(wanted.withColumnRenamed("a", "d"), "d")), scratch)
@@ -385,15 +405,22 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
     known = scratch.put(compare(pairs, texts, k))
     links = known.where(linked)
     parts = scratch.put(connected_components(spark, links, scratch))
+    thin = True
     while not long_lists.isEmpty():
         # leaders of all sets in long lists, and what each set may add to an overlap of its leader
         led = long_lists.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("leader", F.coalesce("root", "d")).drop("root")
-        open_pairs = scratch.put(across(led, at_least, of))
-        if open_pairs.isEmpty():
-            break
+        open_pairs = scratch.put(across(led, at_least, of, thin))
         tried = scratch.put(compare(open_pairs, texts, k))
         new = tried.where(linked)
-        if new.isEmpty():
+        found, asked = new.count(), open_pairs.count()
+        if thin:
+            # linear rounds go on while they link much; what they leave is searched whole
+            thin = found > 0.05 * asked
+            if not found:
+                continue
+        elif not asked:
+            break
+        elif not found:
             # no two leaders link: members that can still reach the threshold are compared one by one
             new = scratch.put(between(led, tried, texts, k, at_least, of, scratch).where(linked))
             if new.isEmpty():
