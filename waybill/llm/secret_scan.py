@@ -91,6 +91,8 @@ def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
         (1, pick("s", "", "key "), F.concat(F.lit("sk_live_"), F.translate(b64("e", 24), "+/", "XY")), F.lit(" ")),
         (1, F.concat(pick("p", "password", "passwd", "pwd"), pick("q", "=", ": ", " = ")), F.substring(F.concat(pick("v", "hunter", "Tr0ub", "s3cr3t", "qwe", "pw"), F.substring(b64("f", 20), 1, 8)), 1, 14), F.lit(" ")),
         (1, F.concat(pick("p2", "password", "secret"), F.lit("=")), b64("g", 12), F.lit(" ")),
+        (1, F.concat(pick("p3", "password", "passwd", "pwd", "passphrase"), pick("q3", "=", ": ")), F.concat(pick("v3", "hunter", "letmein", "summer", "dragon", "monkey", "Winter", "admin"), F.substring(F.translate(h("n"), "abcdef", "135790"), 1, 2), pick("v4", "", "x", "!", "#a", "Z")), F.lit(" ")),
+        (1, F.concat(pick("p4", "password", "secret", "token"), F.lit("=")), F.substring(h("o"), 1, 12), F.lit(" ")),
         (1, open_name, b64("h", 40), close),
         (0, pick("c", "commit ", "rev ", "sha1: ", "hash "), F.substring(h("i"), 1, 40), F.lit(" fixes")),
         (0, pick("c2", "sha256:", "checksum ", "digest: ", "integrity "), h("j"), F.lit(" ok")),
