@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +67,11 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
+def give_back() -> None:
+    """Python workers live on between stages: hand freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -77,11 +83,17 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     of the longest path. Self links and nulls are ignored; nodes without links don't appear.
     """
     own = scratch or Scratch(spark)
+
+    def state(links: DataFrame) -> tuple:
+        """Number of links and a hash of the set of them: equal only when a round changed nothing."""
+        return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first())
+
     cur = own.put(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    before = state(cur)
     while True:
         # large star: every neighbour above u moves to the least of u and its neighbours
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -91,10 +103,10 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = own.put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        same = nxt.join(cur, ["u", "v"], "left_anti").isEmpty() and cur.join(nxt, ["u", "v"], "left_anti").isEmpty()
         own.drop(cur)
-        cur = nxt
-        if same:
+        cur, after = nxt, state(nxt)
+        if after == before:
             break
+        before = after
     roots = cur.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
