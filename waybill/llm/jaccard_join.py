@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import Scratch, connected_components, table
+from waybill.llm.common import Scratch, connected_components, give_back, table
 
 #: Bits of a print, of which the first BUCKET_BITS choose the bucket and the rest fit in 32 bits.
 PRINT_BITS, BUCKET_BITS, CELL_BITS = 38, 6, 26
@@ -45,7 +45,7 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 19
 SHORT = 24
 #: Up to this many sets of words (16 bytes each) are broadcast to fetch their texts; beyond it they are joined by shuffle.
 BROADCAST_SETS = 500_000
-WORDS_AT_A_TIME = 1_000_000
+SHINGLES_AT_A_TIME = 2_000_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +53,7 @@ class _Hashes(dict):
     """Word to 64-bit hash, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -147,10 +147,11 @@ def count_shingles(spark: SparkSession, docs: DataFrame, k: int) -> Frequencies:
                 h = shingles(words_of(x.as_py()), k)
                 held.append(h)
                 n += len(h)
-                if n > 8 * WORDS_AT_A_TIME:
+                if n > SHINGLES_AT_A_TIME:
                     yield flush()
                     n = 0
         yield flush()
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
@@ -172,6 +173,7 @@ def count_shingles(spark: SparkSession, docs: DataFrame, k: int) -> Frequencies:
                 [pa.array([b], pa.int32()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary()), pa.array([values[often].tobytes()], pa.binary()), pa.array([levels.astype(np.int8).tobytes()], pa.binary())],
                 ["bucket", "cells", "prints", "levels"],
             )
+        give_back()
 
     found = docs.select("text").mapInArrow(run, "bucket int, packed binary").repartition("bucket").mapInArrow(merge, "bucket int, cells binary, prints binary, levels binary")
     cells = np.zeros(1 << (CELL_BITS - 3), np.uint8)
@@ -218,6 +220,8 @@ def index(spark: SparkSession, docs: DataFrame, freq: Frequencies, k: int, at_le
             if out[0]:
                 s = np.concatenate(out[0])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(s), batch.column(0).type), pa.array(s), pa.array(out[1], pa.binary()), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))], names)
+        seen.clear()
+        give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingle bigint, d binary, size int, place int")
@@ -294,17 +298,18 @@ def candidates(postings: DataFrame, at_least: int, of: int) -> DataFrame:
     return dealt.mapInArrow(run, "shingle bigint, a binary, b binary, size int, place int")
 
 
-def across(long_lists: DataFrame, at_least: int, of: int, thin: bool) -> DataFrame:
-    """Pairs (a, b) that long lists leave open: sets of two components within reach of each other.
+def across(long_lists: DataFrame, at_least: int, of: int, mode: str) -> DataFrame:
+    """Pairs (a, b, la, lb: their leaders) that long lists leave open: sets of two components within reach of each other.
 
-    ``thin`` gives a pair for each set at most: with its nearest neighbour by size in the largest component of the list
-    (a set of that component: with the next of another). Otherwise all open pairs of components, by their leaders.
-    Leaders are dealt into classes and each two classes meet in one place, so that a pair that many lists hold is one row.
+    "thin" gives a pair for each set at most: with its nearest neighbour by size in the largest component of the list
+    (a set of that component: with the next of another). "leaders" gives all open pairs of components, by their leaders,
+    "members" the pairs of sets themselves. For these, leaders are dealt into classes and each two classes meet in one place, so that a pair that many lists hold is one row.
     """
+    thin, members = mode == "thin", mode == "members"
     classes = 1 if thin else min(32, max(2, math.isqrt(int(long_lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[bytes, bytes]] = set()
+        pairs: set[tuple[bytes, ...]] = set()
         for cell, _, d, size, place, leader, side in _lists(batches, 2):
             d, size, place, leader, side = _once(d, size, place, leader, side)
             # two classes: only pairs from one to the other are looked at here
@@ -322,28 +327,31 @@ def across(long_lists: DataFrame, at_least: int, of: int, thin: bool) -> DataFra
                 near = inside[np.minimum(np.searchsorted(size[inside], size[outside]), len(inside) - 1)]
                 for i, j in [*zip(outside, near, strict=True), *((i, i + 1) for i in np.flatnonzero(c[1:] != c[:-1]))]:
                     if size[j] <= reach[i] and size[i] <= reach[j]:
-                        pairs.add((d[i], d[j]) if d[i] < d[j] else (d[j], d[i]))
+                        pairs.add((d[i], d[j], leader[i], leader[j]) if d[i] < d[j] else (d[j], d[i], leader[j], leader[i]))
                 continue
             tops = np.searchsorted(size, reach, "right")
             open_pairs: list[np.ndarray] = []
             for i in np.flatnonzero(tops > np.arange(len(d)) + 1):
                 j = np.arange(i + 1, tops[i])
-                other = c[j[(reach[j] >= size[i]) & (c[j] != c[i]) & ((side[j] != side[i]) | (not mixed))]]
-                if len(other):
-                    other = np.unique(other)
+                j = j[(reach[j] >= size[i]) & (c[j] != c[i]) & ((side[j] != side[i]) | (not mixed))]
+                if members:
+                    pairs.update((d[i], d[x], leader[i], leader[x]) if d[i] < d[x] else (d[x], d[i], leader[x], leader[i]) for x in j)
+                elif len(j):
+                    other = np.unique(c[j])
                     open_pairs.append(np.minimum(other, c[i]) * len(names) + np.maximum(other, c[i]))
             for x in np.unique(np.concatenate(open_pairs)) if open_pairs else ():
                 a, b = names[x // len(names)], names[x % len(names)]
-                pairs.add((a, b) if a < b else (b, a))
+                a, b = (a, b) if a < b else (b, a)
+                pairs.add((a, b, a, b))
         x = sorted(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in x], pa.binary()), pa.array([p[1] for p in x], pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in x], pa.binary()) for i in range(4)], ["a", "b", "la", "lb"])
 
     side = F.pmod(F.xxhash64("leader"), F.lit(classes)).cast("int")
     met = long_lists.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
     met = met.select((F.least("side", "other") * classes + F.greatest("side", "other")).alias("cell"), "shingle", "d", "size", "place", "leader", "side")
     keys = ["shingle"] if thin else ["cell"]
     dealt = met.repartition(*keys).sortWithinPartitions("cell", "shingle", "size", "d", "place")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary, la binary, lb binary").distinct()
 
 
 def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -409,7 +417,7 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
     while not long_lists.isEmpty():
         # leaders of all sets in long lists, and what each set may add to an overlap of its leader
         led = long_lists.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("leader", F.coalesce("root", "d")).drop("root")
-        open_pairs = scratch.put(across(led, at_least, of, thin))
+        open_pairs = scratch.put(across(led, at_least, of, "thin" if thin else "leaders").select("a", "b"))
         tried = scratch.put(compare(open_pairs, texts, k))
         new = tried.where(linked)
         found, asked = new.count(), open_pairs.count()
@@ -431,25 +439,18 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
 
 
 def between(led: DataFrame, tried: DataFrame, texts: DataFrame, k: int, at_least: int, of: int, scratch: Scratch) -> DataFrame:
-    """Compares the members of two components whose overlap with their leaders doesn't rule a link out."""
+    """Compares the sets of two components that a long list has within reach, if their overlaps with their leaders don't rule a
+    link out."""
     sets = led.select("d", "leader", "size").distinct()
     near = tried.select("a", "b", "overlap")
     concerned = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
     inner = sets.join(concerned.withColumnRenamed("a", "leader"), "leader", "left_semi")
     own = compare(inner.where("d <> leader").select(F.col("leader").alias("a"), F.col("d").alias("b")).distinct(), texts, k).select(F.col("b").alias("d"), F.col("overlap").alias("own"))
     adds = scratch.put(inner.join(own, "d", "left").withColumn("adds", F.col("size") - F.coalesce("own", "size")).select("d", "leader", "size", "adds"))
-    bounds = adds.groupBy("leader").agg(F.max("adds").alias("adds"), F.min("size").alias("least"), F.max("size").alias("most"))
-    side = lambda t, s: t.select(*[F.col(c).alias(f"{c}_{s}") for c in t.columns])
-    need = lambda x, y: f"overlap + adds_a + adds_b >= ({at_least} * ({x} + {y}) + {at_least + of - 1}) div {at_least + of}"
-    kept = (
-        near.join(side(bounds, "a"), F.col("a") == F.col("leader_a")).join(side(bounds, "b"), F.col("b") == F.col("leader_b"))
-        .where(need("least_a", "least_b")).where(f"{of} * most_a >= {at_least} * least_b and {of} * most_b >= {at_least} * least_a").select("a", "b", "overlap")
-    )
-    members = (
-        kept.join(side(adds, "a"), F.col("a") == F.col("leader_a")).join(side(adds, "b"), F.col("b") == F.col("leader_b"))
-        .where(need("size_a", "size_b")).where(f"{of} * size_a >= {at_least} * size_b and {of} * size_b >= {at_least} * size_a")
-        .select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()
-    )
+    side = lambda s: adds.select(F.col("d").alias(s), F.col("size").alias(f"size_{s}"), F.col("adds").alias(f"adds_{s}"))
+    low, high = F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")
+    met = across(led, at_least, of, "members").select("a", "b", low, high).join(near.select(F.col("a").alias("low"), F.col("b").alias("high"), "overlap"), ["low", "high"]).join(side("a"), "a").join(side("b"), "b")
+    members = met.where(f"overlap + adds_a + adds_b >= ({at_least} * (size_a + size_b) + {at_least + of - 1}) div {at_least + of}").select("a", "b").distinct()
     return compare(members, texts, k)
 
 
