@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import table
+from waybill.llm.common import give_back, table
 
 BITS = 22
 MAX_ROWS = 16_000
 FOLDS = 5
 #: Words whose place a process remembers; others are hashed again.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -102,7 +102,7 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **fitting: float) -> Machine:
-    """The sample is hashed into terms on the executors; the driver fits on at most ``max_rows`` term sets."""
+    """The sample is hashed into terms on the executors, and one task fits on its at most ``max_rows`` term sets."""
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = marked.withColumn("h", F.xxhash64(F.lit(3), "doc_id")).orderBy("h", "doc_id").limit(max_rows)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("text", "h").alias("h"))
@@ -112,10 +112,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
             found = [terms(x.as_py()).astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["toxic", "h", "terms"])
 
-    got = sample.mapInArrow(run, "toxic int, h long, terms array<int>").toArrow().sort_by([("h", "ascending"), ("toxic", "ascending")])
-    lists = got.column("terms").combine_chunks()
-    rows = [np.asarray(x.values, dtype=np.int64) for x in lists] if got.num_rows else []
-    return fit(rows, got.column("toxic").to_numpy().astype(float), **fitting)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(h, y, np.asarray(t.values, dtype=np.int64)) for b in batches for h, y, t in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2), strict=True)]
+        got.sort(key=lambda x: x[:2])
+        m = fit([t for _, _, t in got], np.array([y for _, y, _ in got], float), **fitting)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.ids.astype(np.int64), m.w, m.v)] + [pa.array([m.b])], ["ids", "w", "v", "b"])
+        got.clear()
+        give_back()
+
+    hashed = sample.mapInArrow(run, "toxic int, h long, terms array<int>").repartition(1)
+    r = hashed.mapInArrow(learn, "ids binary, w binary, v binary, b double").first()
+    ids, w = np.frombuffer(r.ids, np.int64), np.frombuffer(r.w, np.float64)
+    return Machine(ids, w, np.frombuffer(r.v, np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1)), r.b)
 
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine, keep: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -145,6 +153,8 @@ def score(spark: SparkSession, docs: DataFrame, machine: Machine, keep: Sequence
                         at.add(i)
                 out.append(squash(m.margin(np.array(sorted(at), np.int64))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, name])
+        seen.clear()
+        give_back()
 
     return docs.select(*cols).mapInArrow(run, docs.select(*keep, F.lit(0.0).alias(name)).schema)
 
