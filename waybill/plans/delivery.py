@@ -234,7 +234,7 @@ def orders_in_range(spark, d):
 def _stops(spark, d):
     e = F.col("event_id")
     orders = B.read(spark, d, "orders")
-    return orders.where("o_orderkey % 3 <> 1").select(
+    return orders.where("o_orderstatus <> 'F'").select(
         F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("order_id"),
         F.explode(F.array(F.struct((F.col("o_orderkey") % 9 + 2).cast("int").alias("sequence"), F.lit("10:00").alias("planned_at")), F.struct((F.col("o_orderkey") % 5 * 2 + 1).cast("int").alias("sequence"), F.lit("11:00").alias("planned_at")))).alias("s"),
     ).select("order_id", "s.sequence", F.concat("s.planned_at", F.lit("/"), F.col("s.sequence").cast("string")).alias("planned_at"))
@@ -242,7 +242,7 @@ def _stops(spark, d):
 
 @query(
     _ITEMS
-    + """, stops AS (SELECT 'order-' || o_orderkey AS order_id, unnest([{'s': (o_orderkey % 9 + 2)::INT, 'p': '10:00'}, {'s': (o_orderkey % 5 * 2 + 1)::INT, 'p': '11:00'}]) AS x FROM orders WHERE o_orderkey % 3 <> 1),
+    + """, stops AS (SELECT 'order-' || o_orderkey AS order_id, unnest([{'s': (o_orderkey % 9 + 2)::INT, 'p': '10:00'}, {'s': (o_orderkey % 5 * 2 + 1)::INT, 'p': '11:00'}]) AS x FROM orders WHERE o_orderstatus <> 'F'),
 firsts AS (SELECT order_id, min(x.s) AS sequence FROM stops GROUP BY order_id)
 SELECT i.id, f.sequence FROM items i LEFT JOIN firsts f ON f.order_id = i.order_id"""
 )
@@ -340,16 +340,16 @@ def upsert_latest(spark, d):
     return _state(spark, d)
 
 
-@query(_STATE + " SELECT key, day FROM state WHERE order_key % 7 <> 0")
+@query(_STATE + " SELECT key, day FROM state WHERE key NOT IN (SELECT key FROM b_changes WHERE discount_pct = 0)")
 def delete_by_key(spark, d):
-    gone = B.changes(spark, d).where("order_key % 7 = 0").select("key")
+    gone = B.changes(spark, d).where("discount_pct = 0").select("key")
     return changes.delete(_state(spark, d), gone, ["key"]).select("key", "day")
 
 
-@query(_STATE + ", fresh AS (SELECT key, 'new' AS day FROM state WHERE order_key % 5 = 0 UNION ALL SELECT 'x-' || key, 'new' FROM state WHERE order_key % 11 = 0) SELECT key, day FROM fresh UNION ALL SELECT key, day FROM state WHERE key NOT IN (SELECT key FROM fresh)")
+@query(_STATE + ", fresh AS (SELECT key, 'new' AS day FROM state WHERE discount_pct >= 8 UNION ALL SELECT 'x-' || key, 'new' FROM state WHERE discount_pct = 1) SELECT key, day FROM fresh UNION ALL SELECT key, day FROM state WHERE key NOT IN (SELECT key FROM fresh)")
 def upsert_merge(spark, d):
-    now = _state(spark, d).select("key", "order_key", "day")
-    fresh = now.where("order_key % 5 = 0").select("key", F.lit("new").alias("day")).unionByName(now.where("order_key % 11 = 0").select(F.concat(F.lit("x-"), "key").alias("key"), F.lit("new").alias("day")))
+    now = _state(spark, d).select("key", "discount_pct", "day")
+    fresh = now.where("discount_pct >= 8").select("key", F.lit("new").alias("day")).unionByName(now.where("discount_pct = 1").select(F.concat(F.lit("x-"), "key").alias("key"), F.lit("new").alias("day")))
     return changes.upsert(now.select("key", "day"), fresh, ["key"])
 
 

@@ -300,13 +300,15 @@ def reading_order(spark, d):
 
 
 def _venues(spark, d):
-    p = B.read(spark, d, "part")
-    return p.select(F.col("p_name").alias("name"), F.explode(F.array(F.struct(F.col("p_name").alias("form"), (F.col("p_partkey") * 2).alias("ord")), F.struct(F.concat("p_brand", F.lit(" hall")).alias("form"), (F.col("p_partkey") * 2 + 1).alias("ord")))).alias("f"), F.when(F.col("p_size") % 3 == 0, "funeral").when(F.col("p_size") % 3 == 1, "wedding").alias("type")).select("name", "f.form", "f.ord", "type")
+    """Distinct part names as venues, with a brand as alias."""
+    p = B.read(spark, d, "part").groupBy("p_name").agg(F.min("p_brand").alias("brand"), F.min("p_partkey").alias("k"), F.min("p_size").alias("size"))
+    forms = F.array(F.struct(F.col("p_name").alias("form"), (F.col("k") * 2).alias("ord")), F.struct(F.concat("brand", F.lit(" hall")).alias("form"), (F.col("k") * 2 + 1).alias("ord")))
+    kind = F.when(F.col("size") % 3 == 0, "funeral").when(F.col("size") % 3 == 1, "wedding")
+    return p.select(F.col("p_name").alias("name"), F.explode(forms).alias("f"), kind.alias("type")).select("name", "f.form", "f.ord", "type")
 
 
 def _venue_texts(spark, d):
-    s = B.read(spark, d, "part").where("p_partkey % 25 = 0")
-    return s.select(F.col("p_partkey").alias("id"), F.concat(F.lit("hall of "), F.col("p_name"), F.lit(" 3층")).alias("text"))
+    return B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("hall of "), F.col("p_name"), F.lit(" 3층")).alias("text"))
 
 
 @query()
@@ -362,13 +364,13 @@ def cer_report(spark, d):
     return evaluation.summarize(_samples(spark, d), 0.45)
 
 
-_GRID = """WITH grid AS (SELECT a * 3 + b AS config, a AS left_slack, b AS right_grow FROM range(0, 3) t(a), range(0, 3) u(b)), r AS (SELECT g.*, l.doc_id AS sample, (l.doc_id * (config + 1)) % 4 AS required, (l.doc_id + config) % 9 AS populated, (l.doc_id * 7 + config * config) % 5 AS hits, 50 + (l.doc_id * 3 + config * 11) % 40 AS confidence FROM labels l, grid g WHERE l.doc_id < 200)"""
+_GRID = """WITH grid AS (SELECT a * 3 + b AS config, a AS left_slack, b AS right_grow FROM range(0, 3) t(a), range(0, 3) u(b)), r AS (SELECT g.*, l.doc_id AS sample, (l.doc_id * (config + 1)) % 4 AS required, (l.doc_id + config) % 9 AS populated, (l.doc_id * 7 + config * config) % 5 AS hits, 50 + (l.doc_id * 3 + config * 11) % 40 AS confidence FROM labels l, grid g)"""
 
 
 def _grid(spark, d):
     g = spark.range(9).select(F.col("id").alias("config"), F.floor(F.col("id") / 3).alias("left_slack"), (F.col("id") % 3).alias("right_grow"))
     x, c = F.col("sample"), F.col("config")
-    return B.read(spark, d, "labels").where("doc_id < 200").select(F.col("doc_id").alias("sample")).join(F.broadcast(g)).withColumns(  # nine configurations
+    return B.read(spark, d, "labels").select(F.col("doc_id").alias("sample")).join(F.broadcast(g)).withColumns(  # nine configurations
         {"required": x * (c + 1) % 4, "populated": (x + c) % 9, "hits": (x * 7 + c * c) % 5, "confidence": F.lit(50) + (x * 3 + c * 11) % 40}
     )
 
@@ -471,14 +473,14 @@ def live_session_totals(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT event_id AS key, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'old' END AS value, event_id % 50 AS confidence FROM events WHERE event_id % 2 = 0), i AS (SELECT event_id AS key, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'new' END AS value, event_id % 70 AS confidence FROM events WHERE event_id % 4 < 3)
+    """WITH c AS (SELECT event_id AS key, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'old' END AS value, event_id % 50 AS confidence FROM events WHERE event_type <> 'error'), i AS (SELECT event_id AS key, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'new' END AS value, event_id % 70 AS confidence FROM events WHERE event_type <> 'view')
 SELECT c.key, CASE WHEN (trim(c.value) = '' AND trim(i.value) <> '') OR i.confidence > c.confidence THEN i.value ELSE c.value END AS value, CASE WHEN (trim(c.value) = '' AND trim(i.value) <> '') OR i.confidence > c.confidence THEN i.confidence ELSE c.confidence END AS confidence FROM c LEFT JOIN i ON i.key = c.key"""
 )
 def merge_fields(spark, d):
     e = F.col("event_id")
     ev = B.read(spark, d, "events")
-    c = ev.where(e % 2 == 0).select(e.alias("key"), F.when(e % 3 == 0, "").otherwise("old").alias("value"), (e % 50).alias("confidence"))
-    i = ev.where(e % 4 < 3).select(e.alias("key"), F.when(e % 5 == 0, " ").otherwise("new").alias("value"), (e % 70).alias("confidence"))
+    c = ev.where("event_type <> 'error'").select(e.alias("key"), F.when(e % 3 == 0, "").otherwise("old").alias("value"), (e % 50).alias("confidence"))
+    i = ev.where("event_type <> 'view'").select(e.alias("key"), F.when(e % 5 == 0, " ").otherwise("new").alias("value"), (e % 70).alias("confidence"))
     return live.merge_fields(c, i)
 
 
