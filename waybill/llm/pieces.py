@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import table
+from waybill.llm.common import give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -34,7 +34,7 @@ UNIGRAM, BPE = 1, 2
 #: Characters of text that are encoded at a time; encodings take many times the space of the text.
 BATCH_CHARS = 2_000_000
 #: Distinct parts that a process remembers.
-CACHE = 300_000
+CACHE = 60_000
 
 
 @dataclass
@@ -195,6 +195,11 @@ class Codec:
         for x, ids, back in zip(new, found, self.part.decode_batch(found, skip_special_tokens=False), strict=True):
             self.packed[x], self.text[x] = struct.pack(f"<{len(ids)}i", *ids), back
 
+    def forget(self) -> None:
+        self.packed.clear()
+        self.text.clear()
+        give_back()
+
     def run(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Packed ids and decoded texts."""
         if not self.by_parts:
@@ -258,6 +263,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str =
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))] + [found], [*kept, ids])
+        codec.forget()
 
     return src.mapInArrow(run, schema)
 
@@ -299,6 +305,7 @@ def summarize(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataF
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "round_trip"],
                 )
+        codec.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
