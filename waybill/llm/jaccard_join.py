@@ -303,9 +303,9 @@ def across(long_lists: DataFrame, at_least: int, of: int, mode: str) -> DataFram
 
     "thin" gives a pair for each set at most: with its nearest neighbour by size in the largest component of the list
     (a set of that component: with the next of another). "leaders" gives all open pairs of components, by their leaders,
-    "members" the pairs of sets themselves. For these, leaders are dealt into classes and each two classes meet in one place, so that a pair that many lists hold is one row.
+    "members" the pairs of sets themselves, "some" one of them for each set and component. For these, leaders are dealt into classes and each two classes meet in one place, so that a pair that many lists hold is one row.
     """
-    thin, members = mode == "thin", mode == "members"
+    thin, members, some = mode == "thin", mode in ("members", "some"), mode == "some"
     classes = 1 if thin else min(32, max(2, math.isqrt(int(long_lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,6 +334,8 @@ def across(long_lists: DataFrame, at_least: int, of: int, mode: str) -> DataFram
             for i in np.flatnonzero(tops > np.arange(len(d)) + 1):
                 j = np.arange(i + 1, tops[i])
                 j = j[(reach[j] >= size[i]) & (c[j] != c[i]) & ((side[j] != side[i]) | (not mixed))]
+                if some and len(j):
+                    j = j[np.unique(c[j], return_index=True)[1]]
                 if members:
                     pairs.update((d[i], d[x], leader[i], leader[x]) if d[i] < d[x] else (d[x], d[i], leader[x], leader[i]) for x in j)
                 elif len(j):
@@ -413,12 +415,15 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
     known = scratch.put(compare(pairs, texts, k))
     links = known.where(linked)
     parts = scratch.put(connected_components(spark, links, scratch))
-    thin = True
+    thin, seen = True, known
     while not long_lists.isEmpty():
         # leaders of all sets in long lists, and what each set may add to an overlap of its leader
         led = long_lists.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("leader", F.coalesce("root", "d")).drop("root")
         open_pairs = scratch.put(across(led, at_least, of, "thin" if thin else "leaders").select("a", "b"))
-        tried = scratch.put(compare(open_pairs, texts, k))
+        # pairs that an earlier round compared and didn't link are known
+        fresh = open_pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        tried = scratch.put(compare(fresh, texts, k))
+        seen = scratch.put(seen.unionByName(tried))
         new = tried.where(linked)
         found, asked = new.count(), open_pairs.count()
         if thin:
@@ -429,8 +434,10 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
         elif not asked:
             break
         elif not found:
-            # no two leaders link: members that can still reach the threshold are compared one by one
-            new = scratch.put(between(led, tried, texts, k, at_least, of, scratch).where(linked))
+            # no two leaders link: members that can still reach the threshold are compared, few first, then all
+            new = scratch.put(between("some", led, seen.join(open_pairs, ["a", "b"], "left_semi"), texts, k, at_least, of, scratch).where(linked))
+            if new.isEmpty():
+                new = scratch.put(between("members", led, seen.join(open_pairs, ["a", "b"], "left_semi"), texts, k, at_least, of, scratch).where(linked))
             if new.isEmpty():
                 break
         links = scratch.put(links.unionByName(new))
@@ -438,7 +445,7 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
     return members, links, parts
 
 
-def between(led: DataFrame, tried: DataFrame, texts: DataFrame, k: int, at_least: int, of: int, scratch: Scratch) -> DataFrame:
+def between(mode: str, led: DataFrame, tried: DataFrame, texts: DataFrame, k: int, at_least: int, of: int, scratch: Scratch) -> DataFrame:
     """Compares the sets of two components that a long list has within reach, if their overlaps with their leaders don't rule a
     link out."""
     sets = led.select("d", "leader", "size").distinct()
@@ -449,7 +456,7 @@ def between(led: DataFrame, tried: DataFrame, texts: DataFrame, k: int, at_least
     adds = scratch.put(inner.join(own, "d", "left").withColumn("adds", F.col("size") - F.coalesce("own", "size")).select("d", "leader", "size", "adds"))
     side = lambda s: adds.select(F.col("d").alias(s), F.col("size").alias(f"size_{s}"), F.col("adds").alias(f"adds_{s}"))
     low, high = F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")
-    met = across(led, at_least, of, "members").select("a", "b", low, high).join(near.select(F.col("a").alias("low"), F.col("b").alias("high"), "overlap"), ["low", "high"]).join(side("a"), "a").join(side("b"), "b")
+    met = across(led, at_least, of, mode).select("a", "b", low, high).join(near.select(F.col("a").alias("low"), F.col("b").alias("high"), "overlap"), ["low", "high"]).join(side("a"), "a").join(side("b"), "b")
     members = met.where(f"overlap + adds_a + adds_b >= ({at_least} * (size_a + size_b) + {at_least + of - 1}) div {at_least + of}").select("a", "b").distinct()
     return compare(members, texts, k)
 
