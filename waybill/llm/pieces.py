@@ -258,7 +258,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str =
         codec = codec_of(data.value)
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
-            for a, b in slices([len(x) for x in texts]):
+            for a, b in slices([len(x) for x in texts], BATCH_CHARS // 2):
                 packed, _ = codec.run(texts[a:b])
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
