@@ -39,7 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become ids: doc_id, lang, source, n_chars, n_tokens, ids."""
-    out = pieces.encode(spark, docs)
+    # the workers still hold what earlier stages left, so this one remembers little
+    out = pieces.encode(spark, docs, cache=60_000)
     return out.withColumn("n_tokens", F.size("ids").cast("long")).select(*[c for c in docs.columns if c != "text"], "n_tokens", "ids")
 
 

@@ -34,7 +34,7 @@ UNIGRAM, BPE = 1, 2
 #: Characters of text that are encoded at a time; encodings take many times the space of the text.
 BATCH_CHARS = 2_000_000
 #: Distinct parts that a process remembers.
-CACHE = 60_000
+CACHE = 300_000
 
 
 @dataclass
@@ -115,7 +115,7 @@ def parse(data: bytes) -> Model:
     return m
 
 
-def model_of(m: Model):
+def model_of(m: Model, cache: int = CACHE):
     """The tokenizers model: scores for unigram, merges ranked by score for BPE."""
     from tokenizers import models
 
@@ -127,7 +127,7 @@ def model_of(m: Model):
         ids = {p: i for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
         ranked = sorted(((s, p) for p, s, k in m.pieces if k in (NORMAL, USER) and len(p) > 1), key=lambda x: (-x[0], ids[x[1]]))
         merges = [(p[:i], p[i:]) for _, p in ranked for i in range(1, len(p)) if p[:i] in ids and p[i:] in ids]
-        return models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges, unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        return models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges, unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=cache)
     raise ValueError(f"model type {m.kind}")
 
 
@@ -162,13 +162,14 @@ class Codec:
     ``ids`` are packed as little-endian int32. Parts not seen yet go to the library as one multithreaded batch.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, cache: int = CACHE):
         from tokenizers import Tokenizer, decoders
 
+        self.cache = cache
         self.model = parse(data)
         self.whole = build(self.model)
         self.by_parts = parts_are_independent(self.model)
-        self.part = Tokenizer(model_of(self.model))
+        self.part = Tokenizer(model_of(self.model, cache))
         self.part.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
         self.packed: dict[str, bytes] = {}
@@ -187,7 +188,7 @@ class Codec:
         return [x[1:] if x[0] == MARK else _BARE + x for x in _PART.findall(text)]
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.packed) > CACHE:
+        if len(self.packed) > self.cache:
             self.packed.clear()
             self.text.clear()
         new = [x for x in parts if x not in self.packed]
@@ -206,7 +207,7 @@ class Codec:
             found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return [struct.pack(f"<{len(x)}i", *x) for x in found], self.whole.decode_batch(found, skip_special_tokens=False)
         split = [self._parts(x) for x in texts]
-        self._learn(set().union(*split) - self.packed.keys() if len(self.packed) <= CACHE else set().union(*split))
+        self._learn(set().union(*split) - self.packed.keys() if len(self.packed) <= self.cache else set().union(*split))
         packed, back = self.packed.__getitem__, self.text.__getitem__
         cut = 1 if self.model.dummy_prefix else 0
         decoded = ["".join(map(back, x)) for x in split]
@@ -219,13 +220,13 @@ _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BUILT: dict[str, Codec] = {}
 
 
-def codec_of(data: bytes, threads: int = 2) -> Codec:
+def codec_of(data: bytes, threads: int = 2, cache: int = CACHE) -> Codec:
     """The codec for a model's bytes, built once in each process."""
-    key = hashlib.sha256(data).hexdigest()
+    key = f"{hashlib.sha256(data).hexdigest()}-{cache}"
     if key not in _BUILT:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        _BUILT[key] = Codec(data)
+        _BUILT[key] = Codec(data, cache)
     return _BUILT[key]
 
 
@@ -247,15 +248,18 @@ def read_model(spark: SparkSession, path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with its token ids as a last column array<int>; the text column is dropped."""
+def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", cache: int = CACHE) -> DataFrame:
+    """``docs`` with its token ids as a last column array<int>; the text column is dropped.
+
+    ``cache``: distinct parts that a process remembers within a task; fewer save memory and cost time.
+    """
     data = spark.sparkContext.broadcast(read_model(spark, model))
     kept = [c for c in docs.columns if c not in (text, ids)]
     src = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(text))
     schema = docs.select(*kept, F.array().cast("array<int>").alias(ids)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(data.value)
+        codec = codec_of(data.value, cache=cache)
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             for a, b in slices([len(x) for x in texts], BATCH_CHARS // 2):
@@ -305,7 +309,6 @@ def summarize(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataF
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "round_trip"],
                 )
-        codec.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
