@@ -276,6 +276,30 @@ def test_embeddings_empty(spark):
     assert nn_descent.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def skewed(pairs=900, alone=1200, copies=1000, dim=32):
+    """Vectors with a large group of near copies and many isolated pairs, and the truth about their links."""
+    rng = np.random.default_rng(8)
+    one, base, rest = rng.normal(size=(1, dim)), rng.normal(size=(pairs, dim)), rng.normal(size=(alone, dim))
+    x = np.concatenate([one + 0.2 * rng.normal(size=(copies, dim)), base, base + 0.3 * rng.normal(size=(pairs, dim)), rest]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    close = u @ u.T >= 0.9
+    np.fill_diagonal(close, False)
+    return x, close
+
+
+def links_of(spark, x, **search):
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = nn_descent.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), **search).collect()
+    return np.array([r.n_links for r in sorted(got, key=lambda r: r.vec_id)])
+
+
+def test_embeddings_search_goes_on(spark):
+    x, close = skewed()
+    want = close.sum(1)
+    got = links_of(spark, x, k=1, trees=1)
+    assert np.mean(got[want > 0] / want[want > 0]) >= 0.995
+
+
 # 9 Jaccard join
 
 

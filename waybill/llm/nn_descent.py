@@ -6,11 +6,12 @@
 3. NN-descent: the neighbours of a node, in both directions, are compared with each other; what is nearer than the last
    of a list enters it. Only pairs with an entry that is new since the last round are compared. Rounds end when few
    entries change.
-4. Edges at the threshold make components. A list filled with such edges may hide others: its node gets new lists among
-   nodes outside its component, and its list is in effect enlarged to the whole component, whose members are all
-   compared, chunk against chunk. That gives exact numbers of links, without a row for each pair.
-5. Recall is audited: a stated number of nodes is compared with all vectors by brute force. While links are missed, the
-   forest grows and the search goes on; links that the audit finds are kept too.
+4. Edges at the threshold make components, whose members are all compared, chunk against chunk: that gives exact numbers
+   of links, without a row for each pair. A list filled with such edges may hide others, so restarts keep no lists: new
+   trees deal all nodes, and all links of a chunk between components count (a spanning forest of them is kept).
+5. Recall is audited: a stated number of nodes, drawn anew each time, is compared with all vectors by brute force. The
+   audit only measures. While it sees a missed link, more trees follow; if the mean recall of the asked nodes is still
+   below the bound after the last of them, all vectors are compared, block against block.
 
 Cosines are taken in double precision. Defined results: a vector that is null, empty or zero, or has a null or
 non-finite component, links with nothing; vectors of different lengths don't link; repeated rows count as copies; a null
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from waybill.llm.common import Scratch, connected_components, table
 
-LEAF, CHUNK, LOCAL = 64, 512, 96
+LEAF, CHUNK, LOCAL, BLOCK = 64, 512, 96, 2048
 #: Nodes that are compared with all vectors to measure recall.
 AUDIT = 1000
 
@@ -98,11 +99,24 @@ def _edges(a: list, b: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cat(a, pa.int64()), cat(b, pa.int64()), cat(s, pa.float64())], ["node", "other", "sim"])
 
 
-def forest(nodes: DataFrame, depth: int, seeds: range, k: int, threshold: float) -> DataFrame:
-    """First lists (node, other, sim): the k nearest of each node in its block of each tree, of other components only
-    if ``nodes`` has a column root. A list that ends within the threshold is saturated and gets all such entries of its chunk
-    up to four times as many."""
-    rooted = "root" in nodes.columns
+def _spanning(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of links that connect all that the symmetric matrix ``close`` connects: fewer than it has rows."""
+    a, b, left = [], [], np.ones(len(close), bool)
+    for start in np.flatnonzero(close.any(1)).tolist():
+        todo = [start] if left[start] else []
+        left[start] = False
+        while todo:
+            i = todo.pop()
+            near = np.flatnonzero(close[i] & left).tolist()
+            left[near] = False
+            a += [i] * len(near)
+            b += near
+            todo += near
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _dealt(nodes: DataFrame, depth: int, seeds: range) -> DataFrame:
+    """Nodes (node, root, dim, vec) in the blocks (tree, code) of each tree, sorted along one more plane."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,6 +135,13 @@ def forest(nodes: DataFrame, depth: int, seeds: range, k: int, threshold: float)
                         ["tree", "code", "along", "node", "root", "dim", "vec"],
                     )
 
+    dealt = nodes.select("node", "root", "dim", "vec").mapInArrow(deal, "tree bigint, code bigint, along double, node bigint, root bigint, dim int, vec binary")
+    return dealt.repartition("tree", "code").sortWithinPartitions("tree", "code", "along")
+
+
+def forest(nodes: DataFrame, depth: int, seeds: range, k: int) -> DataFrame:
+    """First lists (node, other, sim): the k nearest of each node in its block of each tree."""
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, s, held = [], [], [], 0
         for g in _groups(batches, 2):
@@ -128,9 +149,9 @@ def forest(nodes: DataFrame, depth: int, seeds: range, k: int, threshold: float)
             if m < 2:
                 continue
             x = _matrix(g.column("vec").to_pylist(), g.column("dim")[0].as_py())
-            ids, roots = g.column("node").to_numpy(), g.column("root").to_numpy()
+            ids = g.column("node").to_numpy()
             sim = x @ x.T
-            sim[roots[:, None] == roots[None, :]] = -2.0
+            np.fill_diagonal(sim, -2.0)
             kk = min(k, m - 1)
             top = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
             val = np.take_along_axis(sim, top, 1)
@@ -142,12 +163,52 @@ def forest(nodes: DataFrame, depth: int, seeds: range, k: int, threshold: float)
                 a, b, s, held = [], [], [], 0
         yield _edges(a, b, s)
 
-    src = nodes.select("node", (F.col("root") if rooted else F.col("node")).alias("root"), "dim", "vec")
-    dealt = src.mapInArrow(deal, "tree bigint, code bigint, along double, node bigint, root bigint, dim int, vec binary")
-    found = dealt.repartition("tree", "code").sortWithinPartitions("tree", "code", "along").mapInArrow(pick, _EDGES)
+    found = _dealt(nodes.withColumn("root", F.col("node")), depth, seeds).mapInArrow(pick, _EDGES)
     return found.groupBy("node", "other").agg(F.max("sim").alias("sim"))
 
 
+def crossings(rooted: DataFrame, depth: int, seeds: range, threshold: float) -> DataFrame:
+    """Links (node, other, sim) between components that connect what all such links within a chunk connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 2):
+            roots = g.column("root").to_numpy()
+            if (roots == roots[0]).all():
+                continue
+            x = _matrix(g.column("vec").to_pylist(), g.column("dim")[0].as_py())
+            sim = x @ x.T
+            i, j = _spanning((sim >= threshold) & (roots[:, None] != roots[None, :]))
+            ids = g.column("node").to_numpy()
+            if len(i):
+                yield _edges([ids[i]], [ids[j]], [sim[i, j]])
+
+    return _dealt(rooted, depth, seeds).mapInArrow(run, _EDGES)
+
+
+def all_crossings(rooted: DataFrame, threshold: float) -> DataFrame:
+    """As crossings, but of all nodes: every two blocks of one length of vectors meet in one place. Costs n * n products."""
+    sizes = rooted.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = rooted.join(F.broadcast(sizes), "dim").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meet = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = meet.select("dim", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _whole_groups(batches, 3):
+            x = _matrix(g.column("vec").to_pylist(), g.column("dim")[0].as_py())
+            ids, roots, high = g.column("node").to_numpy(), g.column("root").to_numpy(), g.column("block").to_numpy() == g.column("hi")[0].as_py()
+            lows = high if g.column("lo")[0].as_py() == g.column("hi")[0].as_py() else ~high
+            lows, highs = np.flatnonzero(lows), np.flatnonzero(high)
+            close = np.zeros((len(ids), len(ids)), bool)
+            near = ((x[lows] @ x[highs].T) >= threshold) & (roots[lows][:, None] != roots[highs][None, :])
+            close[np.ix_(lows, highs)] = near
+            close[np.ix_(highs, lows)] |= near.T
+            i, j = _spanning(close)
+            if len(i):
+                yield _edges([ids[i]], [ids[j]], [(x[i] * x[j]).sum(1)])
+
+    return dealt.repartition("dim", "lo", "hi").sortWithinPartitions("dim", "lo", "hi").mapInArrow(run, _EDGES)
+
+
 def nearest(edges: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
     return edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
@@ -189,31 +250,37 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int, scratch: Scratch) -> Dat
     return scratch.put(nearest(one, k))
 
 
-def audit(spark: SparkSession, nodes: DataFrame, threshold: float, rows: int = AUDIT) -> DataFrame:
-    """Edges at the threshold of ``rows`` nodes with all nodes, by brute force: the asked nodes are broadcast (a stated number)."""
-    asked = [(r.node, r.dim, bytes(r.vec)) for r in nodes.orderBy(F.xxhash64(F.lit(5), "vec"), "node").limit(rows).select("node", "dim", "vec").collect()]
+def audit(spark: SparkSession, rooted: DataFrame, threshold: float, draw: int, rows: int = AUDIT) -> tuple[float, int]:
+    """Recall, as a mean over those of ``rows`` nodes that have links, and the number of missed links.
+
+    The asked nodes, others for each ``draw``, are broadcast (a stated number) and compared with all nodes. A link is found
+    when its ends are in one component, as members of a component are compared with each other. Only counts come back.
+    """
+    order = F.xxhash64(F.lit(5 + draw), "vec")
+    asked = [(r.node, r.root, r.dim, bytes(r.vec)) for r in rooted.orderBy(order, "node").limit(rows).select("node", "root", "dim", "vec").collect()]
     shared = spark.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[int, bytes]]] = {}
-        for n, d, v in shared.value:
-            by.setdefault(d, []).append((n, v))
-        ready = {d: (np.array([n for n, _ in q]), _matrix([v for _, v in q], d)) for d, q in by.items()}
+        by: dict[int, list] = {}
+        for n, r, d, v in shared.value:
+            by.setdefault(d, []).append((n, r, v))
+        ready = {d: (np.array([n for n, _, _ in q]), np.array([r for _, r, _ in q]), _matrix([v for _, _, v in q], d)) for d, q in by.items()}
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            dims, a, b, s = t.column("dim").to_numpy(), [], [], []
+            dims = t.column("dim").to_numpy()
             for d in np.unique(dims):
                 if int(d) not in ready:
                     continue
                 part = t.filter(pa.array(dims == d))
-                ids, q = ready[int(d)]
-                sim = q @ _matrix(part.column("vec").to_pylist(), int(d)).T
-                own = part.column("node").to_numpy()
-                i, j = np.nonzero((sim >= threshold) & (ids[:, None] != own[None, :]))
-                a.append(ids[i]), b.append(own[j]), s.append(sim[i, j])
-            yield _edges(a, b, s)
+                ids, roots, q = ready[int(d)]
+                close = (q @ _matrix(part.column("vec").to_pylist(), int(d)).T >= threshold) & (ids[:, None] != part.column("node").to_numpy()[None, :])
+                found = close & (roots[:, None] == part.column("root").to_numpy()[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(close.sum(1)), pa.array(found.sum(1))], ["node", "links", "found"])
 
-    return nodes.select("node", "dim", "vec").mapInArrow(run, _EDGES)
+    counts = rooted.select("node", "root", "dim", "vec").mapInArrow(run, "node bigint, links bigint, found bigint").where("links > 0")
+    each = counts.groupBy("node").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+    r = each.agg(F.avg(F.col("found") / F.col("links")).alias("recall"), F.sum(F.col("links") - F.col("found")).alias("missed")).first()
+    return (1.0, 0) if r.recall is None else (r.recall, r.missed)
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -276,38 +343,27 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     at = F.col("sim") >= threshold
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
-    graph = scratch.put(nearest(forest(nodes, depth, range(trees), k, threshold), k).withColumn("fresh", F.lit(True)))
+    graph = scratch.put(nearest(forest(nodes, depth, range(trees), k), k).withColumn("fresh", F.lit(True)))
     for _ in range(rounds):
         nxt = descend(nodes, graph, k, scratch)
         scratch.drop(graph)
         graph = nxt
         if graph.where("fresh").count() <= 0.01 * k * n:
             break
-    truth = scratch.put(audit(spark, nodes, threshold))
     edges = scratch.put(graph.where(at).select(*pair).distinct())
-    for more in range(rounds):
+    saturated = not graph.where(at).groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= k).isEmpty()
+    for more in range(rounds + 1):
         roots = scratch.put(connected_components(spark, edges, scratch))
-        # a link is found when its ends are in one component: members of a component are compared with each other below
-        side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        asked = truth.join(side("node"), "node", "left").join(side("other"), "other", "left")
-        seen = asked.agg(F.count("*").alias("n"), F.count_if(F.col("node_root") == F.col("other_root")).alias("found")).first()
-        recall = seen.found / seen.n if seen.n else 1.0
-        # saturated lists, and all lists while recall is low, start again outside their components
         rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        full = graph.where(at).groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= k)
-        if recall >= least_recall and (more > 0 or full.isEmpty()):
-            new = truth.select(*pair).distinct() if recall < 1.0 else None
-        else:
-            first = trees * (more + 1)
-            new = forest(rooted, max(0, depth - 1), range(first, first + trees), k, threshold).where(at).select(*pair).unionByName(truth.select(*pair)).distinct()
-        if new is None:
+        recall, missed = audit(spark, rooted, threshold, more)
+        # what a full list hides is looked for at least once; the last audit may see misses within the bound
+        if missed == 0 and (more > 0 or not saturated) or recall >= least_recall and more == rounds:
             break
-        grown = scratch.put(edges.unionByName(new).distinct())
-        same = grown.count() == edges.count()
+        first = trees * (more + 1)
+        new = all_crossings(rooted, threshold) if more == rounds else crossings(rooted, max(0, depth - 1), range(first, first + trees), threshold)
+        grown = scratch.put(edges.unionByName(new.select(*pair)).distinct())
+        scratch.drop(edges)
         edges = grown
-        if same or recall >= least_recall and more > 0:
-            roots = roots if same else scratch.put(connected_components(spark, edges, scratch))
-            break
     else:
         roots = scratch.put(connected_components(spark, edges, scratch))
     members = nodes.join(roots, "node")
