@@ -300,6 +300,30 @@ def test_embeddings_search_goes_on(spark):
     assert np.mean(got[want > 0] / want[want > 0]) >= 0.995
 
 
+def test_embeddings_audit_only_measures(spark, monkeypatch):
+    """A search that finds nothing ends in the exact pass; links the audit sees are no result, at any size."""
+    x, _ = skewed(40, 20, 30)
+    no_edges = lambda nodes, *_: spark.createDataFrame([], nn_descent._EDGES)
+    asked = []
+    monkeypatch.setattr(nn_descent, "forest", no_edges)
+    monkeypatch.setattr(nn_descent, "crossings", no_edges, raising=False)
+    monkeypatch.setattr(nn_descent, "all_crossings", lambda *a: asked.append(1) or no_edges(*a), raising=False)
+    assert not links_of(spark, x).any() and asked
+
+
+def test_embeddings_by_search_alone(spark, monkeypatch):
+    """A few thousand vectors, of which the search finds what the audit wants without the exact pass."""
+
+    def exact(*_):
+        raise AssertionError("the search is not enough")
+
+    x, close = skewed()
+    want = close.sum(1)
+    monkeypatch.setattr(nn_descent, "all_crossings", exact, raising=False)
+    got = links_of(spark, x)
+    assert np.mean(got[want > 0] / want[want > 0]) >= 0.995 and (got <= want).all()
+
+
 # 9 Jaccard join
 
 
