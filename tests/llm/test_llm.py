@@ -324,6 +324,17 @@ def test_embeddings_by_search_alone(spark, monkeypatch):
     assert np.mean(got[want > 0] / want[want > 0]) >= 0.995 and (got <= want).all()
 
 
+def test_crossings_keep_all_that_a_chunk_connects(spark):
+    """A node with more than k tighter neighbours still leads to the farther one."""
+    a = np.radians(np.concatenate([np.linspace(0, 1, 40), [25.0], np.linspace(49, 50, 40)]))
+    rows = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(a)]
+    _, nodes = nn_descent.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), nn_descent.Scratch(spark))
+    edges = nn_descent.crossings(nodes.withColumn("root", F.col("node")), 0, range(1), 0.9).collect()
+    assert len(edges) == 80
+    place = {n: i for i, n in enumerate(sorted({r.node for r in edges} | {r.other for r in edges}))}
+    assert set(components(range(81), [(place[r.node], place[r.other]) for r in edges]).values()) == {0}
+
+
 # 9 Jaccard join
 
 
