@@ -211,6 +211,19 @@ def test_secrets(spark, odd, forest):
     assert out.where("doc_id = 4").first().text is None
 
 
+def masked(spark, forest, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in secret_scan.redact(secret_scan.scan(docs, forest)).orderBy("doc_id").collect()]
+
+
+def test_long_secrets_go_whole(spark, forest):
+    rng = np.random.default_rng(5)
+    run = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    jwt = f"eyJ{run(33)}.eyJ{run(240)}.{run(43)}"
+    keys = [run(800), run(1600), run(5000)]
+    assert masked(spark, forest, [f"token={jwt} and", *(f"key {k} and" for k in keys), f"a {'-' * 900} b"]) == ["token=<SECRET> and"] + ["key <SECRET> and"] * 3 + [f"a {'-' * 900} b"]
+
+
 def test_forest_as_expression(spark, forest):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array

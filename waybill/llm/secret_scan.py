@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from waybill.llm.common import table
 
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|bearer|private[_-]?key"
-#: A value of a secret-like name, or any run of at least twenty token characters.
+#: A value of a secret-like name, or any run of at least twenty token characters, each as long as it is.
 #: The short look back comes first: names are looked for only behind an assignment.
 CANDIDATE = (
-    rf"""(?<=[=:][ ]{{0,2}}["']?)(?<=\b(?i:{NAMES})["']?[ ]{{0,2}}[=:][ ]{{0,2}}["']?)[^\s"'<>,;]{{6,128}}"""
-    r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,512}={0,2}"""
+    rf"""(?<=[=:][ ]{{0,2}}["']?)(?<=\b(?i:{NAMES})["']?[ ]{{0,2}}[=:][ ]{{0,2}}["']?)[^\s"'<>,;]{{6,}}+"""
+    r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}+={0,2}"""
 )
 #: True of every text with a candidate, and cheap; only texts that pass are searched.
 HINT = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20}"
@@ -81,6 +81,10 @@ def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
     pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.abs(F.xxhash64(F.lit(salt), "id")) % len(xs) + 1).cast("int"))
     b64 = lambda salt, n: F.substring(F.translate(F.base64(F.unhex(F.concat(h(salt), h(salt + "'")))), "=\r\n", "A"), 1, n)
     word = F.concat(*[pick(f"w{i}", "tion", "ing", "the", "re", "schaft", "ment", "eau", "lich", "ado", "que", "ver", "an", "st", "on", "er") for i in range(8)])
+    size = lambda salt, low, high: (F.abs(F.xxhash64(F.lit(salt), "id")) % (high - low + 1) + low).cast("int")
+    # base64 of any length: one digest for each 43 characters
+    run = lambda salt, n: F.substring(F.array_join(F.transform(F.sequence(F.lit(1), F.ceil(n / 43).cast("int")), lambda i: F.translate(F.base64(F.unhex(F.sha2(F.concat_ws("/", F.lit(salt), F.col("id").cast("string"), i.cast("string")).cast("binary"), 256))), "=", "")), ""), F.lit(1), n)
+    url_safe = lambda c: F.translate(c, "+/", "-_")
     close = F.lit('" and')
     open_name = F.concat(pick("n", "token", "api_key", "secret", "auth", "access_key"), pick("e", ' = "', '="', ': "', "="))
     forms = [
@@ -94,6 +98,9 @@ def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
         (1, F.concat(pick("p3", "password", "passwd", "pwd", "passphrase"), pick("q3", "=", ": ")), F.concat(pick("v3", "hunter", "letmein", "summer", "dragon", "monkey", "Winter", "admin"), F.substring(F.translate(h("n"), "abcdef", "135790"), 1, 2), pick("v4", "", "x", "!", "#a", "Z")), F.lit(" ")),
         (1, F.concat(pick("p4", "password", "secret", "token"), F.lit("=")), F.substring(h("o"), 1, 12), F.lit(" ")),
         (1, open_name, b64("h", 40), close),
+        (1, F.concat(open_name, pick("jq", "", "", "Bearer ")), F.concat_ws(".", F.concat(F.lit("eyJ"), url_safe(run("j1", F.lit(33)))), F.concat(F.lit("eyJ"), url_safe(run("j2", size("jn", 60, 900)))), url_safe(run("j3", F.lit(43)))), close),
+        (1, pick("lk", "key ", "", "is ", "\n"), run("l1", size("ln", 64, 2400)), pick("lz", " ", "\n")),
+        (1, open_name, run("l2", size("lm", 64, 2400)), close),
         (0, pick("c", "commit ", "rev ", "sha1: ", "hash "), F.substring(h("i"), 1, 40), F.lit(" fixes")),
         (0, pick("c2", "sha256:", "checksum ", "digest: ", "integrity "), h("j"), F.lit(" ok")),
         (0, pick("u", "id ", "uuid: ", "guid="), F.concat_ws("-", F.substring(h("k"), 1, 8), F.substring(h("k"), 9, 4), F.substring(h("k"), 13, 4), F.substring(h("k"), 17, 4), F.substring(h("k"), 21, 12)), F.lit(" ")),
@@ -103,6 +110,10 @@ def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
         (0, F.concat(pick("z", "password", "token", "secret"), pick("z2", "=", ": ", ' = "')), pick("z3", "xxxxxxxx", "********", "your_token_here", "changeme", "example-token", "${PASSWORD}", "placeholder", "password"), F.lit('"')),
         (0, pick("y", "call ", "the "), F.concat(pick("y1", "get", "set", "make"), F.initcap(word), F.lit("_"), F.initcap(word)), F.lit("(")),
         (0, pick("x", "number ", "no. ", ""), F.translate(F.substring(h("m"), 1, 24), "abcdef", "012345"), F.lit(" ")),
+        (0, pick("c3", "sha512:", "checksum ", "digest: "), F.concat(h("q1"), h("q2")), F.lit(" ok")),
+        (0, pick("r5", "in ", "file ", "https://a.example"), F.concat(F.lit("/"), F.array_join(F.array_repeat(F.concat(word, F.lit("/")), size("r6", 2, 30)), "")), F.lit(" ")),
+        (0, pick("d5", "the ", "and ", ""), F.array_join(F.array_repeat(word, size("d6", 2, 30)), "-"), F.lit(" ")),
+        (0, pick("e5", "", " ", "\n"), F.repeat(pick("e6", "-", "_", "-+", "/"), size("e7", 20, 600)), F.lit(" ")),
     ]
     base = spark.range(0, per_form, 1, 1)
     rows = [base.select(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(float(y)).alias("label")) for y, b, v, a in forms]
