@@ -224,6 +224,16 @@ def test_long_secrets_go_whole(spark, forest):
     assert masked(spark, forest, [f"token={jwt} and", *(f"key {k} and" for k in keys), f"a {'-' * 900} b"]) == ["token=<SECRET> and"] + ["key <SECRET> and"] * 3 + [f"a {'-' * 900} b"]
 
 
+NAMED_FORMS = ["DB_PASSWORD={}", "client_secret: {}", "auth_token={}", "SECRET_KEY={}", "user_pwd={}", "userPassword={}", "api_key_id: {}", "AWS_SECRET_ACCESS_KEY={}", "Authorization: Bearer {}", "auth: bearer {}"]
+
+
+def test_secret_names_with_prefix_and_suffix(spark, forest):
+    texts = [f.format(v) + " end" for f in NAMED_FORMS for v in ("hunter2x", "s3cr3t.9a!x", "0123456789abcdef0123456789abcdef01234567")]
+    assert masked(spark, forest, texts) == [f.format("<SECRET>") + " end" for f in NAMED_FORMS for _ in range(3)]
+    plain = ["the bearer certificate of the author: somebody", "commit 0123456789abcdef0123456789abcdef01234567 fixes"]
+    assert masked(spark, forest, plain) == plain
+
+
 def test_forest_as_expression(spark, forest):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array

@@ -25,15 +25,21 @@ from pyspark.sql import functions as F
 
 from waybill.llm.common import table
 
-NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|bearer|private[_-]?key"
-#: A value of a secret-like name, or any run of at least twenty token characters, each as long as it is.
-#: The short look back comes first: names are looked for only behind an assignment.
+NAMES = "passwords?|passwd|pwd|passphrase|secrets?|token|api[_-]?keys?|access[_-]?keys?|auth|credentials?|bearer|private[_-]?keys?"
+#: What may follow such a name; before it anything may stand (DB_PASSWORD, client_secret, userPassword).
+SUFFIX = r"(?:[_-]?(?:key|id|value|val|string|str|data|base64|b64|hex|prod|dev|test|live|new|old|[0-9]{1,3}))?" * 2
+NAMED = f"(?:{NAMES}){SUFFIX}"
+#: A value of a secret-like name or after "Bearer", or any run of at least twenty token characters, each as long as it is.
+#: A run that is itself the name of a value is none. The short looks back come first: names are looked for only behind an assignment or a blank.
 CANDIDATE = (
-    rf"""(?<=[=:][ ]{{0,2}}["']?)(?<=\b(?i:{NAMES})["']?[ ]{{0,2}}[=:][ ]{{0,2}}["']?)[^\s"'<>,;]{{6,}}+"""
-    r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}+={0,2}"""
+    rf"""(?:(?<=[=:][ ]{{0,2}}["']?)(?<=(?i:{NAMED})["']?[ ]{{0,2}}[=:][ ]{{0,2}}["']?)(?!(?i:bearer)[ ])"""
+    r"""|(?<=[rR][ ]{1,2}["']?)(?<=(?<![A-Za-z0-9])(?i:bearer)[ ]{1,2}["']?))[^\s"'<>,;]{6,}+"""
+    r"""|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/_\-]{20})"""
+    rf"""(?![A-Za-z0-9_\-]*(?i:{NAMED})["']?[ ]{{0,2}}[=:][ ]{{0,2}}["']?[^\s"'<>,;=])"""
+    r"""[A-Za-z0-9+/_\-]{20,}+={0,2}"""
 )
 #: True of every text with a candidate, and cheap; only texts that pass are searched.
-HINT = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20}"
+HINT = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20}|[eE][rR] "
 MASK = "<SECRET>"
 CONTEXT = 40
 #: Letter groups that words of European languages are made of.
@@ -54,6 +60,7 @@ def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
     groups = F.regexp_replace(low, F.lit(GROUPS), F.lit(""))
     turns = F.regexp_count(value, F.lit("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"))
     runs = F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), lambda x: F.length(x)))
+    named = before.rlike(rf"""(?i)(?:{NAMED}["']?\s*[=:]\s*|(?<![a-z0-9])bearer\s+)["']?$""")
     flag = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     return {
         "length": F.length(value).cast("double"),
@@ -68,8 +75,9 @@ def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
         "longest": runs.cast("double"),
         "hex": flag(value.rlike("^[0-9a-fA-F-]+$")),
         "path": flag(value.rlike(r"^/|/[^/]+/|\.[a-z]{1,4}$") | before.rlike(r"(?:://|/)[^\s]*$")),
-        "named": flag(before.rlike(rf"""(?i)\b(?:{NAMES})["']?\s*[=:]\s*["']?$""")),
-        "hashed": flag(before.rlike(r"(?i)(?:sha-?\d*|md5|commit|checksum|digest|hash|uuid|guid|id|rev|integrity|version|etag)\W{0,4}$")),
+        "named": flag(named),
+        # the last part of a secret-like name, as in api_key_id, says nothing of a hash
+        "hashed": flag(~named & before.rlike(r"(?i)(?:sha-?\d*|md5|commit|checksum|digest|hash|uuid|guid|id|rev|integrity|version|etag)\W{0,4}$")),
         "quoted": flag(after.rlike("""^["']""")),
         "placeholder": flag(low.rlike(r"^(?:x+|\*+|\.+|<.*>|\$\{.*|your.*|example.*|changeme.*|none|null|test.*|placeholder.*|password|secret|todo.*)$")),
     }
@@ -101,6 +109,10 @@ def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
         (1, F.concat(open_name, pick("jq", "", "", "Bearer ")), F.concat_ws(".", F.concat(F.lit("eyJ"), url_safe(run("j1", F.lit(33)))), F.concat(F.lit("eyJ"), url_safe(run("j2", size("jn", 60, 900)))), url_safe(run("j3", F.lit(43)))), close),
         (1, pick("lk", "key ", "", "is ", "\n"), run("l1", size("ln", 64, 2400)), pick("lz", " ", "\n")),
         (1, open_name, run("l2", size("lm", 64, 2400)), close),
+        (1, F.concat(pick("p5", "DB_PASSWORD", "client_secret", "auth_token", "SECRET_KEY", "user_pwd", "userPassword", "API_KEY_ID"), pick("q5", "=", ": ", " = ")), F.concat(pick("v5", "hunter", "letmein", "Tr0ub", "summer", "s3cr3t"), F.substring(h("s1"), 1, 3), pick("v6", "", ".x", "!", "#a", "@Z", "$9")), F.lit(" ")),
+        (1, pick("b5", "Authorization: Bearer ", "bearer ", "Bearer "), run("t1", size("tn", 8, 60)), pick("b6", " ", '" ')),
+        (0, pick("b7", "the bearer ", "bearer ", "standard bearer "), pick("b8", "shares", "certificate", "instruments", "walked", "carried", "through", "securities", "should", "depository", "against", "himself.", "tokens"), F.lit(" ")),
+        (0, pick("y5", "export ", "set ", "\n"), F.concat(F.upper(word), F.lit("_"), pick("y6", "SECRET", "TOKEN", "PASSWORD", "URL"), F.lit("_"), F.upper(word), F.lit("=")), F.lit("")),
         (0, pick("c", "commit ", "rev ", "sha1: ", "hash "), F.substring(h("i"), 1, 40), F.lit(" fixes")),
         (0, pick("c2", "sha256:", "checksum ", "digest: ", "integrity "), h("j"), F.lit(" ok")),
         (0, pick("u", "id ", "uuid: ", "guid="), F.concat_ws("-", F.substring(h("k"), 1, 8), F.substring(h("k"), 9, 4), F.substring(h("k"), 13, 4), F.substring(h("k"), 17, 4), F.substring(h("k"), 21, 12)), F.lit(" ")),
@@ -155,13 +167,15 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
     """``docs`` with parts (text between candidates) and findings array<struct(start, value, score, secret)>, null where none."""
     score = as_expression(model)
     t = F.col(text)
+    # the text before a candidate is looked at past the candidate before it, which may be the name of this one
     parts, found = F.split(t, CANDIDATE, -1), F.regexp_extract_all(t, F.lit(CANDIDATE), 0)
     spans = F.aggregate(
         F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("value"), F.slice(parts, 2, F.size(found)).alias("rest")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,before:string,value:string,after:string>>").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,before:string,value:string,after:string>>").alias("out")),
         lambda a, x: F.struct(
             (a["at"] + F.length(x["part"]) + F.length(x["value"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["part"])).alias("start"), F.right(x["part"], F.lit(CONTEXT)).alias("before"), x["value"].alias("value"), F.left(x["rest"], F.lit(8)).alias("after")))).alias("out"),
+            F.right(F.concat(a["tail"], x["part"], x["value"]), F.lit(CONTEXT)).alias("tail"),
+            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["part"])).alias("start"), F.right(F.concat(a["tail"], x["part"]), F.lit(CONTEXT)).alias("before"), x["value"].alias("value"), F.left(x["rest"], F.lit(8)).alias("after")))).alias("out"),
         ),
     )["out"]
     seen = F.transform(F.col("_spans"), lambda x: F.struct(x.alias("span"), F.struct(*[c.cast("double").alias(k) for k, c in features(x["before"], x["value"], x["after"]).items()]).alias("f")))
