@@ -55,10 +55,11 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_connected_components(spark, one_task):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
-    got = {r.node: r.root for r in connected_components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected_components(spark, spark.createDataFrame(links, "a long, b long"), one_task=one_task).collect()}
     used = {x for p in links if p[0] != p[1] for x in p}
     assert got == components(used, [p for p in links if p[0] != p[1]])
 
@@ -406,6 +407,41 @@ def test_jaccard_join(spark, k, at_least, seed):
     assert [(a, n, c) for a, n, c in got if n] == [(a, n, c) for a, n, c in want if n] and len(got) == len(rows)
 
 
+def at_the_threshold(n=400, seed=3):
+    """A group of near copies whose similarities lie around the threshold, so few of its links come from chance meetings."""
+    rng = np.random.default_rng(seed)
+    base, rows = [f"b{i}" for i in range(90)], []
+    for i in range(n):
+        t = list(base)
+        for p in rng.choice(len(t), int(rng.integers(0, 4)), replace=False):
+            t[p] = f"x{rng.integers(0, 60)}"
+        rows.append((i, " ".join(t), "en", "s", 1, None, None))
+    return rows
+
+
+def test_jaccard_group_at_the_threshold(spark, monkeypatch):
+    # small blocks, so that lists are cut, and no memory between rounds
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    rows = at_the_threshold()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.components(spark, spark.createDataFrame(rows, DOCS), 4, 85, 100).collect()), key=str)
+    assert got == jaccard_by_hand(rows, 4, 85, 100) and 2 < len({c for *_, c in got}) < 300
+
+
+def test_open_pairs_by_hand():
+    """Every pair within the bounds comes with enough tries, and the nearest ones of each component with one."""
+    rng = np.random.default_rng(4)
+    sk = rng.integers(0, 2**63, (1, 4)).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 30, (60, 4)).astype(np.uint64))
+    size, place, comp, home = np.full(60, 40), np.zeros(60, np.int64), np.sort(rng.integers(0, 12, 60)), np.ones(60, bool)
+    apart = jaccard_join._differ(sk, sk)
+    want = {(i, j) for i in range(60) for j in range(60) if comp[i] < comp[j] and apart[i, j] <= 15 * 80 // 185}
+    i, j, more = jaccard_join.open_pairs(sk, size, place, comp, home, None, 85, 100, 10**6)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and not more and want
+    i, j, more = jaccard_join.open_pairs(sk, size, place, comp, home, None, 85, 100, 1)
+    least = {c: min((apart[p] for p in want if c in (comp[p[0]], comp[p[1]])), default=None) for c in set(comp.tolist())}
+    got = {c: min((apart[p] for p in zip(i, j, strict=True) if c in (comp[p[0]], comp[p[1]])), default=None) for c in least}
+    assert got == least and more and len(i) <= 24
+
+
 def test_jaccard_empty(spark, empty):
     assert jaccard_join.components(spark, empty).count() == 0 and jaccard_join.deduplicate(spark, empty).count() == 0
 

@@ -6,8 +6,11 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +33,14 @@ def word_count(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local one only where none is set and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="waybill-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -74,25 +79,62 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+#: Up to this many links (32 bytes each) one task takes all of them; more go by rounds over the cluster, with the same result.
+ONE_TASK = 500_000
+
+
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each node's component: roots hook to lower roots, then paths are halved."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    m = t.num_rows
+    nodes = pa.concat_arrays([c for name in ("a", "b") for c in t.column(name).chunks]).dictionary_encode()
+    order = pc.array_sort_indices(nodes.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    at = rank[nodes.indices.to_numpy()]
+    root = _roots(len(order), at[:m], at[m:])
+    names = nodes.dictionary.take(order)
+    for i in range(0, len(order), 10_000):
+        yield pa.RecordBatch.from_arrays([names.slice(i, 10_000), names.take(pa.array(root[i : i + 10_000]))], ["node", "root"])
+
+
+def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """Components of an undirected graph as (node, root), root being the smallest node of the component.
 
-    ``edges`` has the columns a and b of one orderable type. Alternating large-star and small-star steps: each
-    round is a grouped minimum and a join back, so a hub is pre-aggregated before the shuffle and its join is open to
-    adaptive skew splitting. Rounds are written to the shared folder; the number of rounds grows with the logarithm
-    of the longest path. Self links and nulls are ignored; nodes without links don't appear.
+    ``edges`` has the columns a and b of one orderable type. Few links (see ONE_TASK) are met in one task. More go by
+    alternating large-star and small-star steps: each round is a grouped minimum and a join back, so a hub is
+    pre-aggregated before the shuffle and its join is open to adaptive skew splitting. Rounds are written to the shared
+    folder; their number grows with the logarithm of the longest path. Self links and nulls are ignored; nodes without
+    links don't appear.
     """
     own = scratch or Scratch(spark)
+    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    if one_task and edges.count() <= one_task:
+        kind = edges.schema["a"].dataType.simpleString()
+        return own.put(edges.repartition(1).mapInArrow(_components_of, f"node {kind}, root {kind}"))
 
     def state(links: DataFrame) -> tuple:
         """Number of links and a hash of the set of them: equal only when a round changed nothing."""
         return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first())
 
-    cur = own.put(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    cur = own.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = state(cur)
     while True:
         # large star: every neighbour above u moves to the least of u and its neighbours

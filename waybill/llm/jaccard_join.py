@@ -12,9 +12,11 @@ The links are exactly the pairs of sets with ``of * |A & B| >= at_least * |A | B
    gives each set one range of sizes to look at. Everything outside is skipped unread.
 4. Answer-level skipping. Short lists give all their pairs. A long list (a large group of near copies, or a shingle that
    many texts share) first gives a chain of pairs only. Sets that these link belong to one component whatever else
-   links them, so later rounds look at pairs of components. What one of two components may add to the overlap of their
-   leaders is known from each member's overlap with its leader; only members for which leader overlap plus both
-   additions reach the threshold are compared.
+   links them: the answer of one holds for all, and later rounds look at pairs of components only. Each set carries a
+   parity sketch, whose differing bits bound the difference of two sets from below. What a set's sketch says of another
+   component follows from its leader's: if the leaders differ by more than both components' spread and the threshold
+   allow, none of their members is looked at. Of the pairs left, each component gives its nearest few a round, more in
+   the next where few of them link, until no pair that the bounds allow is unknown.
 5. Texts that occur in a pair are written once and compared in groups by leader, one text in memory at a time.
 
 Defined results: a word is a run of characters other than ASCII white space, A-Z lower-cased. A text with fewer words
@@ -46,6 +48,8 @@ SHORT = 24
 #: Up to this many sets of words (16 bytes each) are broadcast to fetch their texts; beyond it they are joined by shuffle.
 BROADCAST_SETS = 500_000
 SHINGLES_AT_A_TIME = 2_000_000
+#: Most bits of a parity sketch (a narrower one bounds less and loses nothing); sets of a list that one task holds.
+MOST_BITS, BLOCK = 2048, 4096
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -298,62 +302,154 @@ def candidates(postings: DataFrame, at_least: int, of: int) -> DataFrame:
     return dealt.mapInArrow(run, "shingle bigint, a binary, b binary, size int, place int")
 
 
-def across(long_lists: DataFrame, at_least: int, of: int, mode: str) -> DataFrame:
-    """Pairs (a, b, la, lb: their leaders) that long lists leave open: sets of two components within reach of each other.
+def parity_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of a set, a power of two: wider ones can be folded to narrower ones."""
+    return np.minimum(MOST_BITS, np.maximum(256, 1 << np.ceil(np.log2(np.maximum(1, 4 * size))).astype(np.int64)))
 
-    "thin" gives a pair for each set at most: with its nearest neighbour by size in the largest component of the list
-    (a set of that component: with the next of another). "leaders" gives all open pairs of components, by their leaders,
-    "members" the pairs of sets themselves, "some" one of them for each set and component. For these, leaders are dealt into classes and each two classes meet in one place, so that a pair that many lists hold is one row.
+
+def size_class(at_least: int, of: int) -> str:
+    """SQL of a set's class of sizes: linked sets are of one class or of two neighbouring ones."""
+    return f"cast(floor(ln(size) / {max(math.log(of / at_least), 0.05) * 1.001!r}D) as int)"
+
+
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(d, bits): for each of 2**i places the parity of the number of shingles that hash there, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                h = np.unique(shingles(words_of(x.as_py()), k))
+                m = int(parity_bits(np.array(len(h))))
+                out.append(np.packbits((np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["d", "bits"])
+        give_back()
+
+    return texts.select("d", "text").mapInArrow(run, "d binary, bits binary")
+
+
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Sketches of a cell as rows of 64-bit words, wider ones folded to the width of the narrowest."""
+    width = min(map(len, bits))
+    out = np.empty((len(bits), width // 8), np.uint64)
+    for i, x in enumerate(bits):
+        w = np.frombuffer(x, np.uint64)
+        while len(w) > width // 8:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        out[i] = w
+    return out
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of a and each of b."""
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+
+
+def open_pairs(sk: np.ndarray, size: np.ndarray, place: np.ndarray, comp: np.ndarray, home: np.ndarray, side: np.ndarray | None, at_least: int, of: int, tries: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places (i, j) of sets of two components that may link: for each component its ``tries`` nearest pairs with others of
+    the cell, and whether there are more. ``comp`` is sorted. ``side``: only pairs across two blocks count.
     """
-    thin, members, some = mode == "thin", mode in ("members", "some"), mode == "some"
-    classes = 1 if thin else min(32, max(2, math.isqrt(int(long_lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    limit = lambda a, b: (of - at_least) * (a + b) // (of + at_least)
+    reach = _reach(size, place, at_least, of)
+    starts = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]]))
+    ends = np.concatenate([starts[1:], [len(comp)]])
+    lead = sk[starts]
+    # how far members are from their leader, and how large they get
+    spread = np.maximum.reduceat(np.bitwise_count(sk ^ np.repeat(lead, ends - starts, axis=0)).sum(1, dtype=np.int64), starts)
+    most = np.maximum.reduceat(size, starts)
+    which = np.repeat(np.arange(len(starts)), ends - starts)
+    held, n, more = [], 0, False
+    for g in range(len(starts) - 1):
+        apart = np.bitwise_count(lead[g + 1 :] ^ lead[g]).sum(1, dtype=np.int64)
+        near = np.zeros(len(starts), bool)
+        near[g + 1 :] = apart - spread[g + 1 :] - spread[g] <= limit(most[g + 1 :], most[g])
+        if not near.any():
+            continue
+        others = np.flatnonzero(near[which])
+        step = max(1, 4_000_000 // (len(others) * sk.shape[1]))
+        for a in range(starts[g], ends[g], step):
+            mine = np.arange(a, min(a + step, ends[g]))
+            h = _differ(sk[mine], sk[others])
+            s, t = size[mine][:, None], size[others][None, :]
+            ok = (h <= limit(s, t)) & (t <= reach[mine][:, None]) & (s <= reach[others][None, :]) & (home[mine][:, None] | home[others][None, :])
+            if side is not None:
+                ok &= side[mine][:, None] != side[others][None, :]
+            i, j = np.nonzero(ok)
+            held.append(np.stack([mine[i], others[j], h[i, j]]))
+            n += len(i)
+            if n > 1_000_000:
+                every = np.concatenate(held, axis=1)
+                held, n = [_nearest(every, which, tries)], 0
+                more |= held[0].shape[1] < every.shape[1]
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    every = np.concatenate(held, axis=1)
+    best = _nearest(every, which, tries)
+    return best[0], best[1], more or best.shape[1] < every.shape[1]
+
+
+def _nearest(pairs: np.ndarray, comp: np.ndarray, tries: int) -> np.ndarray:
+    """Of pairs (i, j, difference), those among the ``tries`` nearest of the component of either end."""
+    keep = np.zeros(pairs.shape[1], bool)
+    for end in (0, 1):
+        c = comp[pairs[end]]
+        at = np.lexsort((pairs[1], pairs[0], pairs[2], c))
+        first = np.flatnonzero(np.concatenate([[True], c[at][1:] != c[at][:-1]]))
+        rank = np.arange(len(at)) - np.repeat(first, np.diff([*first, len(at)]))
+        keep[at[rank < tries]] = True
+    return pairs[:, keep]
+
+
+def cells(spread: DataFrame, at_least: int, of: int) -> DataFrame:
+    """Rows of long lists dealt into cells of a bounded number of sets: a list is cut by classes of sizes, a class meets
+    itself and the next one, and where that is more than BLOCK sets, blocks of it meet two by two."""
+    cls = F.expr(size_class(at_least, of))
+    # a set is at home in its class and a visitor in the one below
+    met = spread.withColumn("c", cls).select("*", F.explode(F.array(F.struct(F.col("c").alias("cls"), F.lit(True).alias("home")), F.struct((F.col("c") - 1).alias("cls"), F.lit(False).alias("home")))).alias("at")).select("shingle", "d", "size", "place", "bits", "at.cls", "at.home")
+    large = met.groupBy("shingle", "cls").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("any").select("shingle", "cls", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = met.join(large, ["shingle", "cls"])
+    mine = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
+    met = met.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("shingle", "cls", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "home", "d", "size", "place", "bits")
+
+
+def across(dealt: DataFrame, parts: DataFrame, at_least: int, of: int, tries: int) -> DataFrame:
+    """Pairs (a, b) that the cells leave open between sets of two components, and a row without them where a component
+    has more than it gave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[bytes, ...]] = set()
-        for cell, _, d, size, place, leader, side in _lists(batches, 2):
-            d, size, place, leader, side = _once(d, size, place, leader, side)
-            # two classes: only pairs from one to the other are looked at here
-            mixed = cell[0] % classes != cell[0] // classes
-            ids = {x: i for i, x in enumerate(dict.fromkeys(leader))}
+        pairs: set[tuple[bytes, bytes]] = set()
+        cut = False
+
+        def flush() -> pa.RecordBatch:
+            x = sorted(pairs)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in x], pa.binary()) for i in range(2)], ["a", "b"])
+
+        for _, _, lo, hi, side, home, d, size, place, bits, root in _lists(batches, 4):
+            ids = {x: i for i, x in enumerate(sorted(set(root)))}
             if len(ids) < 2:
                 continue
-            names = list(ids)
-            c = np.fromiter((ids[x] for x in leader), np.int64, len(leader))
+            comp = np.fromiter((ids[x] for x in root), np.int64, len(root))
             size, place = size.astype(np.int64), place.astype(np.int64)
-            reach = _reach(size, place, at_least, of)
-            if thin:
-                main = np.bincount(c).argmax()
-                inside, outside = np.flatnonzero(c == main), np.flatnonzero(c != main)
-                near = inside[np.minimum(np.searchsorted(size[inside], size[outside]), len(inside) - 1)]
-                for i, j in [*zip(outside, near, strict=True), *((i, i + 1) for i in np.flatnonzero(c[1:] != c[:-1]))]:
-                    if size[j] <= reach[i] and size[i] <= reach[j]:
-                        pairs.add((d[i], d[j], leader[i], leader[j]) if d[i] < d[j] else (d[j], d[i], leader[j], leader[i]))
-                continue
-            tops = np.searchsorted(size, reach, "right")
-            open_pairs: list[np.ndarray] = []
-            for i in np.flatnonzero(tops > np.arange(len(d)) + 1):
-                j = np.arange(i + 1, tops[i])
-                j = j[(reach[j] >= size[i]) & (c[j] != c[i]) & ((side[j] != side[i]) | (not mixed))]
-                if some and len(j):
-                    j = j[np.unique(c[j], return_index=True)[1]]
-                if members:
-                    pairs.update((d[i], d[x], leader[i], leader[x]) if d[i] < d[x] else (d[x], d[i], leader[x], leader[i]) for x in j)
-                elif len(j):
-                    other = np.unique(c[j])
-                    open_pairs.append(np.minimum(other, c[i]) * len(names) + np.maximum(other, c[i]))
-            for x in np.unique(np.concatenate(open_pairs)) if open_pairs else ():
-                a, b = names[x // len(names)], names[x % len(names)]
-                a, b = (a, b) if a < b else (b, a)
-                pairs.add((a, b, a, b))
-        x = sorted(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in x], pa.binary()) for i in range(4)], ["a", "b", "la", "lb"])
-
-    side = F.pmod(F.xxhash64("leader"), F.lit(classes)).cast("int")
-    met = long_lists.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
-    met = met.select((F.least("side", "other") * classes + F.greatest("side", "other")).alias("cell"), "shingle", "d", "size", "place", "leader", "side")
-    keys = ["shingle"] if thin else ["cell"]
-    dealt = met.repartition(*keys).sortWithinPartitions("cell", "shingle", "size", "d", "place")
-    return dealt.mapInArrow(run, "a binary, b binary, la binary, lb binary").distinct()
+            order = np.lexsort((np.arange(len(d)), size, comp))
+            i, j, more = open_pairs(
+                _folded([bits[x] for x in order]), size[order], place[order], comp[order], home[order].astype(bool), side[order] if lo[0] != hi[0] else None, at_least, of, tries
+            )
+            cut |= more
+            names = d[order]
+            pairs.update((names[x], names[y]) if names[x] < names[y] else (names[y], names[x]) for x, y in zip(i, j, strict=True))
+            if len(pairs) > 100_000:
+                yield flush()
+        yield flush()
+        if cut:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary())] * 2, ["a", "b"])
+        give_back()
+
+    keys = ["shingle", "cls", "lo", "hi"]
+    led = dealt.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    rows = led.select(*keys, "side", "home", "d", "size", "place", "bits", "root").repartition(*keys).sortWithinPartitions(*keys, "size", "d")
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -397,73 +493,69 @@ def fetch(spark: SparkSession, docs: DataFrame, wanted: DataFrame, scratch: Scra
     return scratch.put(keyed.join(w, (keyed["d"] == w["wd"]) & keyed["doc_id"].eqNullSafe(w["wid"])).select("d", "text"))
 
 
-def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, of: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members (doc_id, d, size), verified links (a, b, overlap, size_a, size_b) enough to connect every component, and
-    components (node, root) of the sets that have a link."""
-    scratch = Scratch(spark)
+def contract(spark: SparkSession, parts: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (node, root) after further links (a, b): only the roots they join are met again."""
+    if parts is None:
+        return connected_components(spark, links, scratch)
+    for end in ("a", "b"):
+        links = links.join(parts.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    ends = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = connected_components(spark, ends, scratch)
+    moved = parts.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = scratch.put(moved.unionByName(joined.join(parts.select("node"), "node", "left_anti")))
+    scratch.drop(joined, parts)
+    return out
+
+
+def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, of: int = 100, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, d, size) and components (node, root) of the sets that have a link."""
+    scratch = scratch or Scratch(spark)
     freq = count_shingles(spark, docs, k)
     indexed = scratch.put(index(spark, docs, freq, k, at_least, of))
-    members = indexed.where("shingle is null").select("doc_id", "d", "size")
+    members = scratch.put(indexed.where("shingle is null").select("doc_id", "d", "size"))
     listed = scratch.put(candidates(indexed.where("shingle is not null"), at_least, of))
+    scratch.drop(indexed)
     pairs = listed.where("b is not null").select("a", "b").distinct()
     long_lists = listed.where("shingle is not null").select("shingle", F.col("a").alias("d"), "size", "place")
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long_lists.select(F.col("d").alias("a"))).distinct()
     one = members.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
-    texts = fetch(spark, docs, scratch.put(one.join(wanted.withColumnRenamed("a", "d"), "d")), scratch)
+    wanted = scratch.put(one.join(wanted.withColumnRenamed("a", "d"), "d"))
+    texts = fetch(spark, docs, wanted, scratch)
+    scratch.drop(wanted)
 
     linked = F.expr(f"{of} * overlap >= {at_least} * (size_a + size_b - overlap)")
-    known = scratch.put(compare(pairs, texts, k))
-    links = known.where(linked)
-    parts = scratch.put(connected_components(spark, links, scratch))
-    thin, seen = True, known
-    while not long_lists.isEmpty():
-        # leaders of all sets in long lists, and what each set may add to an overlap of its leader
-        led = long_lists.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("leader", F.coalesce("root", "d")).drop("root")
-        open_pairs = scratch.put(across(led, at_least, of, "thin" if thin else "leaders").select("a", "b"))
-        # pairs that an earlier round compared and didn't link are known
-        fresh = open_pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        tried = scratch.put(compare(fresh, texts, k))
-        seen = scratch.put(seen.unionByName(tried))
-        new = tried.where(linked)
-        found, asked = new.count(), open_pairs.count()
-        if thin:
-            # linear rounds go on while they link much; what they leave is searched whole
-            thin = found > 0.05 * asked
-            if not found:
-                continue
-        elif not asked:
+    tried = scratch.put(compare(pairs, texts, k))
+    parts = contract(spark, None, tried.where(linked), scratch)
+    # lists whose sets are all of one component are answered
+    led = long_lists.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    unanswered = led.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
+    kept = scratch.put(long_lists.join(unanswered, "shingle"))
+    bits = scratch.put(sketches(texts.join(kept.select("d").distinct(), "d", "left_semi"), k))
+    dealt = scratch.put(cells(kept.join(bits, "d"), at_least, of))
+    scratch.drop(listed, kept, bits)
+    seen, tries = [tried], 1
+    while True:
+        found = scratch.put(across(dealt, parts, at_least, of, tries))
+        known = seen[0].select("a", "b")
+        for t in seen[1:]:
+            known = known.unionByName(t.select("a", "b"))
+        tried = scratch.put(compare(found.where("a is not null").join(known, ["a", "b"], "left_anti"), texts, k))
+        asked, new, cut = tried.count(), tried.where(linked).count(), not found.where("a is null").isEmpty()
+        scratch.drop(found)
+        if not asked and not cut:
             break
-        elif not found:
-            # no two leaders link: members that can still reach the threshold are compared, few first, then all
-            new = scratch.put(between("some", led, seen.join(open_pairs, ["a", "b"], "left_semi"), texts, k, at_least, of, scratch).where(linked))
-            if new.isEmpty():
-                new = scratch.put(between("members", led, seen.join(open_pairs, ["a", "b"], "left_semi"), texts, k, at_least, of, scratch).where(linked))
-            if new.isEmpty():
-                break
-        links = scratch.put(links.unionByName(new))
-        parts = scratch.put(connected_components(spark, links, scratch))
-    return members, links, parts
-
-
-def between(mode: str, led: DataFrame, tried: DataFrame, texts: DataFrame, k: int, at_least: int, of: int, scratch: Scratch) -> DataFrame:
-    """Compares the sets of two components that a long list has within reach, if their overlaps with their leaders don't rule a
-    link out."""
-    sets = led.select("d", "leader", "size").distinct()
-    near = tried.select("a", "b", "overlap")
-    concerned = near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct()
-    inner = sets.join(concerned.withColumnRenamed("a", "leader"), "leader", "left_semi")
-    own = compare(inner.where("d <> leader").select(F.col("leader").alias("a"), F.col("d").alias("b")).distinct(), texts, k).select(F.col("b").alias("d"), F.col("overlap").alias("own"))
-    adds = scratch.put(inner.join(own, "d", "left").withColumn("adds", F.col("size") - F.coalesce("own", "size")).select("d", "leader", "size", "adds"))
-    side = lambda s: adds.select(F.col("d").alias(s), F.col("size").alias(f"size_{s}"), F.col("adds").alias(f"adds_{s}"))
-    low, high = F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")
-    met = across(led, at_least, of, mode).select("a", "b", low, high).join(near.select(F.col("a").alias("low"), F.col("b").alias("high"), "overlap"), ["low", "high"]).join(side("a"), "a").join(side("b"), "b")
-    members = met.where(f"overlap + adds_a + adds_b >= ({at_least} * (size_a + size_b) + {at_least + of - 1}) div {at_least + of}").select("a", "b").distinct()
-    return compare(members, texts, k)
+        if new:
+            parts = contract(spark, parts, tried.where(linked), scratch)
+        seen.append(tried)
+        if 2 * new <= asked:
+            tries *= 8
+    scratch.drop(*seen, tried, dealt, texts)
+    return members, parts
 
 
 def components(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, of: int = 100) -> DataFrame:
     """One row per document: doc_id, d (digest of its words), n_shingles, component_id."""
-    members, _, parts = link(spark, docs, k, at_least, of)
+    members, parts = link(spark, docs, k, at_least, of)
     sets = members.where("size > 0").groupBy("d").agg(F.min("doc_id").alias("least")).join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = sets.groupBy("root").agg(F.min("least").alias("component_id"))
     named = sets.join(least, "root").select("d", "component_id")
@@ -476,11 +568,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int
     Documents without words stay. Repeated rows are one document, also where no other is like it.
     """
     scratch = Scratch(spark)
-    members, _, parts = link(spark, docs, k, at_least, of)
+    members, parts = link(spark, docs, k, at_least, of, scratch)
     named = members.where("size > 0").groupBy("doc_id", "d").agg(F.count("*").alias("rows")).join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "d")).alias("best"))
     judged = named.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("d") == F.col("best.d")))
     judged = scratch.put(judged.select(F.col("d").alias("_d"), F.col("doc_id").alias("_id"), "rows", "stays"))
+    scratch.drop(members, parts)
     out = judged.where("not stays").select("_d", "_id")
     keyed = _with_digest(docs)
     side = F.broadcast(out) if out.count() <= BROADCAST_SETS else out
