@@ -465,6 +465,18 @@ def test_pieces_parity_and_round_trip(spark):
     assert pieces.encode(spark, docs.limit(0)).count() == 0
 
 
+def test_pieces_odd_tables(spark):
+    """Repeated rows, ties and columns with names that the operator uses inside."""
+    docs = spark.createDataFrame([(1, "one two", "x", "y"), (1, "one two", "x", "y"), (None, "two  one ", None, None), (2, "b " * 200_000 + "é\u0001", "", "")], "doc_id long, text string, ids string, n_tokens string")
+    got = pieces.encode(spark, docs).collect()
+    assert [c for c in pieces.encode(spark, docs).columns] == ["doc_id", "n_tokens", "ids"] and len(got) == 4
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(r.doc_id), sp.encode(r.text)) for r in docs.collect())
+    assert pieces.summarize(spark, docs).where("round_trip").count() == 4 and pieces.parity(spark, docs).count() == 0
+
+
 def test_unigram_model_is_rebuilt():
     import struct
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tests.llm.test_llm import DOCS, ODD, corpus, jaccard_by_hand, mix_by_hand, words
 from waybill.llm import pieces
@@ -38,5 +40,5 @@ def test_pipeline(spark, tmp_path):
     longest = max(len(words(r.text)) for r in out["secrets"])
     assert all(abs(taken.get(s, 0) - t) <= longest for s, t in target.items())
     codec = pieces.codec_of(pieces.read_model(spark))
-    want = sorted((r.doc_id, len(codec.run([r.text or ""])[0][0]) // 4) for r in out["mix"])
+    want = sorted((r.doc_id, int(codec.run(pa.array([r.text or ""])).sizes()[0])) for r in out["mix"])
     assert sorted((r.doc_id, r.n_tokens) for r in out["tokens"]) == want and all(len(r.ids) == r.n_tokens for r in out["tokens"])

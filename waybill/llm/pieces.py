@@ -7,7 +7,8 @@ produced from a text, as in the original. Where no piece holds the marker after
 runs of the marker, which cannot change the result and lets equal words be encoded once.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null id list decodes to null; an empty
-table gives no rows; very long texts are batched by size. Texts that hold the marker itself decode with spaces, as in
+table gives no rows; repeated rows and texts are encoded one by one; a column named as the ids is replaced; very long
+texts are batched by size. Texts that hold the marker itself decode with spaces, as in
 the original.
 """
 
@@ -22,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of text that are encoded at a time; encodings take many times the space of the text.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 8_000_000
 #: Distinct parts that a process remembers.
 CACHE = 300_000
 
@@ -157,7 +159,7 @@ def build(m: Model):
 
 
 class Codec:
-    """Encodes and decodes batches of texts. Where parts are independent, each distinct part is encoded once.
+    """Encodes and decodes batches of texts. Where parts are independent, each distinct part of a batch is encoded once.
 
     ``ids`` are packed as little-endian int32. Parts not seen yet go to the library as one multithreaded batch.
     """
@@ -174,6 +176,10 @@ class Codec:
         self.plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
         self.packed: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
+        kinds = self.model.pieces
+        self.starts = np.array([p.startswith(MARK) for p, _, _ in kinds])
+        self.spelled = pa.array([p.replace(MARK, " ").encode() for p, _, _ in kinds], pa.large_binary())
+        self.unspelled = np.array([k not in (NORMAL, USER) for _, _, k in kinds])
 
     def _parts(self, text: str) -> list[str]:
         """Parts of a text without their first marker."""
@@ -192,6 +198,8 @@ class Codec:
             self.packed.clear()
             self.text.clear()
         new = [x for x in parts if x not in self.packed]
+        if not new:
+            return
         found = [e.ids for e in self.part.encode_batch_fast([x[1:] if x[:1] == _BARE else MARK + x for x in new], add_special_tokens=False)]
         for x, ids, back in zip(new, found, self.part.decode_batch(found, skip_special_tokens=False), strict=True):
             self.packed[x], self.text[x] = struct.pack(f"<{len(ids)}i", *ids), back
@@ -201,19 +209,110 @@ class Codec:
         self.text.clear()
         give_back()
 
-    def run(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Packed ids and decoded texts."""
+    def run(self, texts: pa.Array) -> "Encoded":
+        """Encodes texts (no nulls) and decodes their ids again."""
+        if not (self.by_parts and self.plain):
+            return Encoded.of(*self._run_each(texts.to_pylist()))
+        # texts that split at single blanks stay in Arrow: only distinct parts are looked at in Python
+        odd = pc.or_(pc.or_(pc.match_substring(texts, MARK), pc.match_substring(texts, "  ")), pc.or_(pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")), pc.equal(texts, "")))
+        lists, order = pc.split_pattern(texts, " "), None
+        if odd.true_count:
+            at = np.concatenate([np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), np.flatnonzero(odd.to_numpy(zero_copy_only=False))])
+            others = pa.array([self._parts(x) for x in texts.filter(odd).to_pylist()], pa.list_(texts.type))
+            lists, order = pa.concat_arrays([lists.filter(pc.invert(odd)), others]), np.argsort(at)
+        ends = np.asarray(lists.offsets).astype(np.int64)
+        ends -= ends[0]
+        coded = lists.flatten().dictionary_encode()
+        ids, text = self._encode_parts(coded.dictionary)
+        ids, text = ids.take(coded.indices), text.take(coded.indices)
+        return Encoded(np.asarray(ids.values), np.asarray(ids.offsets).astype(np.int64)[ends], text.buffers()[2], np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[ends] if len(text) else ends, order, 1)
+
+    def _encode_parts(self, parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded bytes of distinct parts. Those with one marker go to the library as words of a few long batches:
+        a token that starts with the marker starts the next part."""
+        marked = pc.binary_join_element_wise(MARK, parts, "")
+        single = pc.invert(pc.match_substring(parts, MARK)).to_numpy(zero_copy_only=False)
+        words = marked.filter(pa.array(single)).to_pylist()
+        step = max(1, -(-len(words) // 8))
+        found = self.part.encode_batch_fast([words[i : i + step] for i in range(0, len(words), step)], is_pretokenized=True, add_special_tokens=False) if words else []
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in found)])
+        starts = np.flatnonzero(self.starts[ids])
+        if len(starts) != len(words):
+            raise ValueError("a part doesn't start with the marker")
+        starts = np.append(starts, len(ids)).astype(np.int32)
+        coded = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids))
+        spelled = self.spelled.take(pa.array(ids))
+        ends = np.frombuffer(spelled.buffers()[1], np.int64, len(ids) + 1)[starts] if len(ids) else starts.astype(np.int64)
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.ascontiguousarray(ends)), spelled.buffers()[2]])
+        # bytes, unknown pieces and several markers: as the library decodes them
+        odd = np.flatnonzero(np.add.reduceat(self.unspelled[ids], starts[:-1])) if len(words) else np.zeros(0, np.int64)
+        if len(odd):
+            mask = np.zeros(len(words), bool)
+            mask[odd] = True
+            back = self.part.decode_batch([ids[starts[i] : starts[i + 1]].tolist() for i in odd.tolist()], skip_special_tokens=False)
+            text = pc.replace_with_mask(text, pa.array(mask), pa.array([x.encode() for x in back], pa.large_binary()))
+        if single.all():
+            return coded, text
+        several = [e.ids for e in self.part.encode_batch_fast(marked.filter(pa.array(~single)).to_pylist(), add_special_tokens=False)]
+        back = [x.encode() for x in self.part.decode_batch(several, skip_special_tokens=False)]
+        order = pa.array(np.argsort(np.concatenate([np.flatnonzero(single), np.flatnonzero(~single)])))
+        return pa.concat_arrays([coded, pa.array(several, coded.type)]).take(order), pa.concat_arrays([text, pa.array(back, pa.large_binary())]).take(order)
+
+    def _run_each(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Packed ids and decoded texts, text by text."""
         if not self.by_parts:
             found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return [struct.pack(f"<{len(x)}i", *x) for x in found], self.whole.decode_batch(found, skip_special_tokens=False)
         split = [self._parts(x) for x in texts]
-        self._learn(set().union(*split) - self.packed.keys() if len(self.packed) <= self.cache else set().union(*split))
+        self._learn(set().union(*split))
         packed, back = self.packed.__getitem__, self.text.__getitem__
         cut = 1 if self.model.dummy_prefix else 0
         decoded = ["".join(map(back, x)) for x in split]
         return [b"".join(map(packed, x)) for x in split], [x[cut:] if x[:1] == " " else x for x in decoded]
 
 
+@dataclass
+class Encoded:
+    """Ids and decoded texts of a batch: flat ids with the bounds of each text, the bytes of the decoded texts with theirs.
+
+    ``order`` gives the place of each text of the batch where they aren't in order; ``cut`` blanks that start a decoded
+    text are the marker's.
+    """
+
+    ids: np.ndarray
+    id_ends: np.ndarray
+    text: bytes | pa.Buffer | None
+    text_ends: np.ndarray
+    order: np.ndarray | None = None
+    cut: int = 0
+
+    @classmethod
+    def of(cls, packed: list[bytes], back: list[str]) -> "Encoded":
+        raw = [x.encode("utf-8", "surrogatepass") for x in back]
+        ends = lambda sizes: np.cumsum([0, *sizes], dtype=np.int64)
+        return cls(np.frombuffer(b"".join(packed), "<i4"), ends(len(x) // 4 for x in packed), b"".join(raw), ends(map(len, raw)))
+
+    def _places(self) -> list[int]:
+        return list(range(len(self.id_ends) - 1)) if self.order is None else self.order.tolist()
+
+    def sizes(self) -> np.ndarray:
+        n = np.diff(self.id_ends)
+        return n if self.order is None else n[self.order]
+
+    def packed(self) -> list[bytes]:
+        raw, ends = memoryview(np.ascontiguousarray(self.ids)).cast("B"), (4 * self.id_ends).tolist()
+        return [bytes(raw[ends[i] : ends[i + 1]]) for i in self._places()]
+
+    def decoded(self) -> list[bytes]:
+        raw, ends = memoryview(self.text or b""), self.text_ends.tolist()
+        out = [bytes(raw[ends[i] : ends[i + 1]]) for i in self._places()]
+        return [x[1:] if x[:1] == b" " else x for x in out] if self.cut else out
+
+    def lists(self) -> pa.Array:
+        out = pa.ListArray.from_arrays(pa.array(self.id_ends.astype(np.int32)), pa.array(self.ids))
+        return out if self.order is None else out.take(pa.array(self.order))
+
+
 #: Marks the key of a part that doesn't start with the marker; no text holds a lone surrogate.
 _BARE = "\ud800"
 _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -261,11 +360,9 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(data.value, cache=cache)
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in slices([len(x) for x in texts], BATCH_CHARS // 2):
-                packed, _ = codec.run(texts[a:b])
-                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            texts = batch.column(len(kept))
+            for a, b in slices(pc.utf8_length(texts).to_pylist(), BATCH_CHARS // 2):
+                found = codec.run(texts.slice(a, b - a)).lists()
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))] + [found], [*kept, ids])
         codec.forget()
 
@@ -297,20 +394,25 @@ def summarize(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(data.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices([len(x) for x in texts]):
-                packed, back = codec.run(texts[a:b])
+            texts = batch.column(1)
+            for a, b in slices(pc.utf8_length(texts).to_pylist()):
+                part = texts.slice(a, b - a)
+                found = codec.run(part)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array([len(x) // 4 for x in packed], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
-                        pa.array([x == y for x, y in zip(back, texts[a:b], strict=True)], pa.bool_()),
+                        pa.array(found.sizes()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in found.packed()], pa.string()),
+                        pa.array([x == y for x, y in zip(found.decoded(), part.cast(pa.binary()).to_pylist(), strict=True)], pa.bool_()),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return _id_and_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, round_trip boolean")
+
+
+def _id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def parity(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -323,14 +425,14 @@ def parity(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataFram
         sp = sentencepiece.SentencePieceProcessor(model_proto=data.value)
         codec = codec_of(data.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices([len(x) for x in texts]):
-                packed, back = codec.run(texts[a:b])
-                theirs = sp.encode(texts[a:b], num_threads=1)
-                bad = [i for i, x in enumerate(theirs) if struct.pack(f"<{len(x)}i", *x) != packed[i] or sp.decode(x) != back[i]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(bad, pa.int64())), pa.array([texts[a + i] for i in bad], pa.string())], ["doc_id", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+            texts = batch.column(1)
+            for a, b in slices(pc.utf8_length(texts).to_pylist()):
+                found = codec.run(texts.slice(a, b - a))
+                theirs = sp.encode(texts.slice(a, b - a).to_pylist(), num_threads=1)
+                bad = [i for i, (x, ids, back) in enumerate(zip(theirs, found.packed(), found.decoded(), strict=True)) if struct.pack(f"<{len(x)}i", *x) != ids or sp.decode(x).encode() != back]
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a).take(pa.array(bad, pa.int64())) for i in range(2)], ["doc_id", "text"])
+
+    return _id_and_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
