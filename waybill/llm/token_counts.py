@@ -4,13 +4,15 @@ Every whole text is encoded; documents are then aggregated by length, so what is
 distinct length however many documents there are. Suffix sums go by blocks of lengths: sums of blocks, then within the
 block, so no task scans all lengths.
 
-Defined results: a null or empty text has length 0; an empty table gives no rows; texts are encoded whole, special
-token strings as ordinary text.
+Defined results: a null or empty text has length 0; repeated rows count each; an empty table gives no rows; texts are
+encoded whole, special token strings as ordinary text, runs of white space of any length included.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,16 +26,38 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 64
 
-_BUILT: dict[int, object] = {}
+#: White space as the pattern's \\s has it.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of white space from this length are taken out before the pattern sees a text, whose search would go too deep.
+LONG_RUN = 2000
+
+_BUILT: dict[bytes, object] = {}
+_LONG = re.compile(f"{SPACE}{{{LONG_RUN},}}")
 
 
 def _encoding(data: bytes):
-    if len(data) not in _BUILT:
+    key = hashlib.sha256(data).digest()
+    if key not in _BUILT:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-        _BUILT[len(data)] = tiktoken.Encoding("waybill", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _BUILT[len(data)]
+        _BUILT[key] = tiktoken.Encoding("waybill", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _BUILT[key]
+
+
+def count_tokens(enc, text: str, long_run: re.Pattern = _LONG) -> int:
+    """Tokens of a whole text.
+
+    The pattern makes of a run of white space before another character one piece of all but its last character, which
+    goes with what follows, and one piece of the whole run at the end of a text. Long runs are cut out by that rule and
+    merged on their own, which gives the same tokens.
+    """
+    total = at = 0
+    for m in long_run.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(enc.encode_ordinary(text[at:] if at else text))
 
 
 def lengths(spark: SparkSession, docs: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -44,10 +68,10 @@ def lengths(spark: SparkSession, docs: DataFrame, ranks: str = RANKS) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(data.value)
         for batch in batches:
-            counts = [len(enc.encode_ordinary(x.as_py() or "")) for x in batch.column(1)]
+            counts = [count_tokens(enc, x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long")
 
 
 def histogram(counted: DataFrame) -> DataFrame:
