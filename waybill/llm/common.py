@@ -32,6 +32,14 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` has it (Spark compares names without case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)

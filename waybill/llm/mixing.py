@@ -6,7 +6,9 @@ sum before its bucket plus the sum before it within the bucket. About sqrt(docum
 scans short, also for a source with a third of all rows: no task takes a whole source.
 
 Defined results: a null source is a source of its own and comes last; a null text has size 0; documents of size 0 take
-nothing; equal (doc_id, seed) order by size; an empty table gives no rows; further columns are ignored.
+nothing; rows equal in doc_id and text are taken as often as their
+number allows, whichever of them; an empty table gives no rows; further columns are ignored by ``mix`` and kept by
+``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.common import Scratch, table, word_count
+from waybill.llm.common import Scratch, free, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -26,9 +28,11 @@ MAX_EPOCHS = 2
 BROADCAST_SOURCES = 50_000
 
 
-def random_key(doc_id: Column, seed: int) -> Column:
-    """48 hash bits of the id as a long: uniform, and the same on every engine that has md5."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("long")
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """48 hash bits of the id and the text as a long: uniform also where ids repeat or are null, and the same on every
+    engine that has md5."""
+    said = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -87,7 +91,7 @@ def mix(
 def _placed(spark: SparkSession, docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int, whole: bool) -> DataFrame:
     scratch = Scratch(spark)
     sized = scratch.put(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
         .withColumn("no_source", F.col("source").isNull())
         .withColumn("source", F.coalesce("source", F.lit("")))
     )
@@ -123,15 +127,27 @@ def mixed(
     The last epoch of a source ends at one place of its order, so a row decides for itself by its place: no join on ids,
     and no text is dealt out.
     """
-    placed = _placed(spark, docs, weights, share, max_epochs, seed, whole=True)
+    scratch = Scratch(spark)
     place = F.struct("key", "doc_id", "size")
-    cuts = Scratch(spark).put(placed.groupBy("no_source", "source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("last") > 0, place)).alias("_cut")))
-    keyed = docs.withColumn("_at", F.struct(random_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size")))
-    side = cuts.select(F.col("no_source").alias("_none"), F.col("source").alias("_source"), "_epochs", "_cut")
+    placed = scratch.put(_placed(spark, docs, weights, share, max_epochs, seed, whole=True).select("no_source", "source", place.alias("place"), "epochs", (F.col("last") > 0).alias("more")))
+    by = ["no_source", "source"]
+    cuts = placed.groupBy(*by).agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("more"), F.col("place"))).alias("cut"))
+    # rows equal in id and text have one place; of those at the cut, only some may have the last epoch
+    tied = placed.join(cuts.select(*by, "cut"), by).where(F.col("place") == F.col("cut")).groupBy(*by).agg(F.count_if("more").alias("some"), F.count("*").alias("all"))
+    cuts = scratch.put(cuts.join(tied, by, "left"))
+    scratch.drop(placed)
+    none, source, epochs, cut, some, every, at, rank, time = (free(x, docs.columns) for x in ("_none", "_source", "_epochs", "_cut", "_some", "_all", "_at", "_rank", "_time"))
+    side = cuts.select(F.col("no_source").alias(none), F.col("source").alias(source), F.col("epochs").alias(epochs), F.col("cut").alias(cut), F.col("some").alias(some), F.col("all").alias(every))
     side = F.broadcast(side) if side.count() <= BROADCAST_SOURCES else side
-    met = keyed.join(side, (keyed["source"].isNull() == F.col("_none")) & (F.coalesce(keyed["source"], F.lit("")) == F.col("_source")))
-    times = F.col("_epochs") + F.when(F.col("_at") <= F.col("_cut"), 1).otherwise(0)
-    return met.withColumn("_time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[keyed[c] for c in docs.columns])
+    keyed = docs.withColumn(at, F.struct(random_key(F.col("doc_id"), F.col("text"), seed).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size")))
+    met = keyed.join(side, (F.col("source").isNull() == F.col(none)) & (F.coalesce(F.col("source"), F.lit("")) == F.col(source)))
+    times = F.col(epochs) + F.when(F.col(at) <= F.col(cut), 1).otherwise(0)
+    if not cuts.where(F.col("some") < F.col("all")).isEmpty():
+        split = (F.col(at) == F.col(cut)) & (F.col(some) < F.col(every))
+        numbered = met.where(split).withColumn(rank, F.row_number().over(Window.partitionBy(none, source).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))))
+        met = met.where(~F.coalesce(split, F.lit(False))).withColumn(rank, F.lit(0)).unionByName(numbered)
+        times = F.when(F.col(rank) > F.col(some), F.col(epochs)).otherwise(times)
+    return met.withColumn(time, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +158,7 @@ SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 12))::BIGINT AS key
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17:' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS key
   FROM documents),
 totals AS (SELECT no_source, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY no_source, source),
 sources AS (SELECT *, row_number() OVER (ORDER BY no_source, source) - 1 AS rnk FROM totals),
