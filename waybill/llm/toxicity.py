@@ -2,13 +2,13 @@
 
 The score of a text is sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over its distinct terms (lower-cased words and
 pairs of neighbours are left to the factors: <v_i, v_j> is what two terms say together, such as an insult and the name
-of a group). Linear weights are learned by follow-the-regularized-leader with an L1 penalty, so terms that say nothing
-get none; only terms with a weight get factors, which keeps the interaction of a long text's thousands of neutral terms
-at exactly zero and the model small. Presence, not frequency, is the value of a term, so one insult counts the same in a
+of a group). Linear weights are learned by follow-the-regularized-leader with an L1 penalty, so many terms that
+say nothing get none; only terms with a weight get factors, which keeps the interactions of a long text's neutral terms
+few and the model small. Presence, not frequency, is the value of a term, so one insult counts the same in a
 short and a very long text.
 
 Training fits at most ``max_rows`` labelled rows (a documented bound: rows are taken in hash order of their ids, positives
-and negatives alike, and are few enough to broadcast); scoring reads every whole text. Labels, lang, source and doc_id are no inputs of a score.
+and negatives alike; a row that is repeated counts once); scoring reads every whole text. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null or empty text scores sigmoid(b); equal texts score the same; without labelled rows every text
 scores near 0; a row of ``docs`` with a null doc_id is scored, and is held out never to be trained on; labels other than 0
@@ -120,7 +120,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
         got.clear()
         give_back()
 
-    hashed = sample.mapInArrow(run, "toxic int, h long, terms array<int>").repartition(1)
+    # an id may have several texts, and a row may be repeated: the bound holds for what is fitted
+    hashed = sample.mapInArrow(run, "toxic int, h long, terms array<int>").dropDuplicates(["h", "toxic"]).orderBy("h", "toxic").limit(max_rows).repartition(1)
     r = hashed.mapInArrow(learn, "ids binary, w binary, v binary, b double").first()
     ids, w = np.frombuffer(r.ids, np.int64), np.frombuffer(r.w, np.float64)
     return Machine(ids, w, np.frombuffer(r.v, np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1)), r.b)
