@@ -5,10 +5,12 @@
    fits) each node takes its nearest as a first list.
 3. NN-descent: the neighbours of a node, in both directions, are compared with each other; what is nearer than the last
    of a list enters it. Only pairs with an entry that is new since the last round are compared. Rounds end when few
-   entries change.
+   entries change. Lists that are full of edges at the threshold are saturated: they are enlarged to twice their length,
+   their entries count as new, and the rounds go on, until no list is saturated or the largest length is reached.
 4. Edges at the threshold make components, whose members are all compared, chunk against chunk: that gives exact numbers
-   of links, without a row for each pair. A list filled with such edges may hide others, so restarts keep no lists: new
-   trees deal all nodes, and all links of a chunk between components count (a spanning forest of them is kept).
+   of links, without a row for each pair. What a list of the largest length still hides is looked for by restarts that
+   keep no lists: new trees deal all nodes, and all links of a chunk between components count (a spanning forest of them
+   is kept).
 5. Recall is audited: a stated number of nodes, drawn anew each time, is compared with all vectors by brute force. The
    audit only measures. While it sees a missed link, more trees follow; if the mean recall of the asked nodes is still
    below the bound after the last of them, all vectors are compared, block against block.
@@ -20,6 +22,7 @@ vec_id takes part, and components carry their smallest vec_id; an empty table gi
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 from waybill.llm.common import Scratch, connected_components, table
 
 LEAF, CHUNK, LOCAL, BLOCK = 64, 512, 96, 2048
+#: Length to which saturated lists grow.
+LONGEST = 32
+log = logging.getLogger(__name__)
 #: Nodes that are compared with all vectors to measure recall.
 AUDIT = 1000
 
@@ -136,7 +142,8 @@ def _dealt(nodes: DataFrame, depth: int, seeds: range) -> DataFrame:
                     )
 
     dealt = nodes.select("node", "root", "dim", "vec").mapInArrow(deal, "tree bigint, code bigint, along double, node bigint, root bigint, dim int, vec binary")
-    return dealt.repartition("tree", "code").sortWithinPartitions("tree", "code", "along")
+    # by ranges of the sort order, so that a block of any size is spread over tasks
+    return dealt.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along")
 
 
 def forest(nodes: DataFrame, depth: int, seeds: range, k: int) -> DataFrame:
@@ -209,13 +216,22 @@ def all_crossings(rooted: DataFrame, threshold: float) -> DataFrame:
     return dealt.repartition("dim", "lo", "hi").sortWithinPartitions("dim", "lo", "hi").mapInArrow(run, _EDGES)
 
 
-def nearest(edges: DataFrame, k: int) -> DataFrame:
+def nearest(edges: DataFrame) -> DataFrame:
+    """The k nearest of each node, k being a column that is equal within a node."""
     order = Window.partitionBy("node").orderBy(F.desc("sim"), "other")
-    return edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+    return edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("k")).drop("place")
 
 
-def descend(nodes: DataFrame, graph: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """One round: neighbours of a node, both ways, meet; graph is (node, other, sim, fresh)."""
+def enlarge(graph: DataFrame, threshold: float) -> DataFrame:
+    """The graph with saturated lists twice as long, and what is in them new again."""
+    full = graph.groupBy("node").agg(F.count_if(F.col("sim") >= threshold).alias("close"), F.max("k").alias("k")).where((F.col("close") >= F.col("k")) & (F.col("k") < LONGEST)).select("node", F.lit(True).alias("full"))
+    full = graph.join(full, "node", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    return full.withColumn("k", F.when(F.col("full"), F.col("k") * 2).otherwise(F.col("k"))).withColumn("fresh", F.col("fresh") | F.col("full")).drop("full")
+
+
+def descend(nodes: DataFrame, graph: DataFrame, k: int, scratch: Scratch, turn: int = 0) -> DataFrame:
+    """One round: neighbours of a node, both ways, meet; graph is (node, other, sim, fresh, k). Neighbourhoods of more than
+    LOCAL are cut into other groups each ``turn``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, s, held = [], [], [], 0
@@ -239,15 +255,18 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int, scratch: Scratch) -> Dat
                 a, b, s, held = [], [], [], 0
         yield _edges(a, b, s)
 
-    floors = graph.groupBy("node").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.0)).alias("floor"))
+    lists = graph.groupBy("node").agg(F.max("k").alias("k"), F.when(F.count("*") >= F.max("k"), F.min("sim")).otherwise(F.lit(-1.0)).alias("floor"))
     both = graph.select("node", "other", "fresh").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh"))
     met = both.groupBy("node", "other").agg(F.max("fresh").alias("fresh")).withColumnRenamed("node", "by")
-    full = met.join(nodes.select(F.col("node").alias("other"), "dim", "vec"), "other").join(floors.withColumnRenamed("node", "other"), "other", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
-    dealt = full.select("by", "other", "fresh", "floor", "dim", "vec").repartition("by").sortWithinPartitions("by", F.xxhash64("by", "other"))
+    # a hub's neighbourhood goes to as many tasks as it has chunks
+    hubs = met.groupBy("by").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).where("parts > 1")
+    full = met.join(nodes.select(F.col("node").alias("other"), "dim", "vec"), "other").join(lists.select(F.col("node").alias("other"), "floor"), "other", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+    full = full.join(hubs, "by", "left").withColumn("order", F.xxhash64("by", "other", F.lit(turn))).withColumn("part", F.pmod("order", F.coalesce("parts", F.lit(1))))
+    dealt = full.select("by", "other", "fresh", "floor", "dim", "vec", "part", "order").repartition("by", "part").sortWithinPartitions("by", "part", "order")
     new = dealt.mapInArrow(meet, _EDGES).groupBy("node", "other").agg(F.max("sim").alias("sim"))
     merged = graph.select("node", "other", "sim", F.lit(False).alias("fresh")).unionByName(new.withColumn("fresh", F.lit(True)))
     one = merged.groupBy("node", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    return scratch.put(nearest(one, k))
+    return scratch.put(nearest(one.join(lists.select("node", "k"), "node", "left").withColumn("k", F.coalesce("k", F.lit(k)))))
 
 
 def audit(spark: SparkSession, rooted: DataFrame, threshold: float, draw: int, rows: int = AUDIT) -> tuple[float, int]:
@@ -288,7 +307,7 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
 
     A component is cut into chunks, and every two chunks of it meet in one place: no task holds more than two.
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("chunks"))
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     cut = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     meet = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = meet.select("root", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "chunk", "node", "dim", "copies", "vec")
@@ -343,19 +362,29 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     at = F.col("sim") >= threshold
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
-    graph = scratch.put(nearest(forest(nodes, depth, range(trees), k), k).withColumn("fresh", F.lit(True)))
-    for _ in range(rounds):
-        nxt = descend(nodes, graph, k, scratch)
+    graph = scratch.put(nearest(forest(nodes, depth, range(trees), k).withColumn("k", F.lit(k))).withColumn("fresh", F.lit(True)))
+    turn = 0
+    while True:
+        for _ in range(rounds):
+            nxt = descend(nodes, graph, k, scratch, turn)
+            scratch.drop(graph)
+            graph, turn = nxt, turn + 1
+            if graph.where("fresh").count() <= 0.01 * k * n:
+                break
+        larger = scratch.put(enlarge(graph, threshold))
+        grew = larger.agg(F.sum("k")).first()[0] != graph.agg(F.sum("k")).first()[0]
         scratch.drop(graph)
-        graph = nxt
-        if graph.where("fresh").count() <= 0.01 * k * n:
+        graph = larger
+        if not grew:
             break
     edges = scratch.put(graph.where(at).select(*pair).distinct())
-    saturated = not graph.where(at).groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= k).isEmpty()
+    saturated = not graph.groupBy("node").agg(F.count_if(at).alias("c"), F.max("k").alias("k")).where("c >= k").isEmpty()
+    scratch.drop(graph)
     for more in range(rounds + 1):
         roots = scratch.put(connected_components(spark, edges, scratch))
         rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         recall, missed = audit(spark, rooted, threshold, more)
+        log.info("recall %.5f over an audit of %d nodes, %d links missed, after %d restarts", recall, AUDIT, missed, more)
         # what a full list hides is looked for at least once; the last audit may see misses within the bound
         if missed == 0 and (more > 0 or not saturated) or recall >= least_recall and more == rounds:
             break
@@ -372,6 +401,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     named = nodes.join(roots, "node", "left").join(least, "root", "left").join(links, "node", "left").select(
         "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
+    scratch.drop(edges)
     out = rows.join(named, "vec", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
