@@ -4,9 +4,12 @@ A text splits at blank lines into sections, a section at line ends into paragrap
 to twelve words that end early at punctuation, so that an edit moves no boundary beyond the next punctuation mark. Every
 level hashes the hashes below it with SHA-256. A split loses nothing, so equal roots mean equal texts.
 
-The fingerprint is a string: the root, then the first eight hex digits of every leaf, paragraphs parted by "," and
-sections by "/". Two stored fingerprints can be compared without their texts: roots for equality, the leaf sets for
-likeness (Dice coefficient), and the first branch that differs for the place of an edit.
+The fingerprint is a string of all levels: the root, then for every section the first eight hex digits of its hash, ":",
+and its paragraphs, each with the digits of its own hash and of its leaves. Paragraphs are parted by "," and sections by
+"/". Two stored fingerprints are compared without their texts, from the root down: equal roots are equal texts; equal
+sections are alike as a whole and are not descended, in the others equal paragraphs are alike as a whole, and only leaves
+of paragraphs that differ are compared. The likeness is the Dice coefficient of the leaves found alike this way. The first
+section, and the first paragraph within it, that differ are the place of an edit.
 
 Defined results: a null text is an empty one; equal doc_ids order by text; null doc_ids come last in descending order;
 a table of one row is its own next document; an empty table gives no rows.
@@ -15,6 +18,7 @@ a table of one row is its own next document; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,9 +47,22 @@ def tree(text: Column) -> Column:
 
 def serialize(t: Column) -> Column:
     """The fingerprint string of a tree."""
-    section = F.transform(t, lambda s: F.sha2(F.concat(F.lit("s"), F.array_join(F.transform(s, lambda p: p["hash"]), "")), 256))
-    leaves = F.transform(t, lambda s: F.array_join(F.transform(s, lambda p: p["leaves"]), ","))
-    return F.concat(F.sha2(F.concat(F.lit("r"), F.array_join(section, "")), 256), F.lit("|"), F.array_join(leaves, "/"))
+    sections = F.transform(
+        t,
+        lambda s: F.struct(
+            F.sha2(F.concat(F.lit("s"), F.array_join(F.transform(s, lambda p: p["hash"]), "")), 256).alias("hash"),
+            F.array_join(F.transform(s, lambda p: F.concat(F.substring(p["hash"], 1, DIGITS), p["leaves"])), ",").alias("below"),
+        ),
+    )
+    return F.aggregate(
+        F.array(sections),
+        F.lit(""),
+        lambda _, x: F.concat(
+            F.sha2(F.concat(F.lit("r"), F.array_join(F.transform(x, lambda s: s["hash"]), "")), 256),
+            F.lit("|"),
+            F.array_join(F.transform(x, lambda s: F.concat(F.substring(s["hash"], 1, DIGITS), F.lit(":"), s["below"])), "/"),
+        ),
+    )
 
 
 def fingerprint(text: Column) -> Column:
@@ -56,38 +73,63 @@ def root(fp: Column) -> Column:
     return F.substring(fp, 1, 64)
 
 
-def leaf_set(fp: Column) -> Column:
-    """Distinct leaf digests of a fingerprint string."""
-    return F.array_distinct(F.regexp_extract_all(F.substring(fp, 66, 1 << 30), F.lit(f"[0-9a-f]{{{DIGITS}}}"), 0))
+def sections(fp: Column) -> Column:
+    """The branches below the root of a fingerprint string."""
+    return F.split(F.substring(fp, 66, 1 << 30), "/", -1)
+
+
+def _paragraphs(section: Column) -> Column:
+    return F.split(F.substring(section, DIGITS + 2, 1 << 30), ",", -1)
+
+
+def _leaf_count(paragraphs: Column) -> Column:
+    return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda n, p: n + (F.length(p) / DIGITS).cast("long") - 1)
+
 
+def _leaves(paragraphs: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(F.substring(p, DIGITS + 1, 1 << 30), F.lit(f".{{{DIGITS}}}"), 0))))
 
-def likeness_of(a: Column, b: Column, leaves_a: Column, leaves_b: Column) -> Column:
-    both = F.size(leaves_a) + F.size(leaves_b)
-    shared = F.size(F.array_intersect(leaves_a, leaves_b))
-    return F.when(root(a) == root(b), F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(F.lit(2.0) * shared / both)
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two stored fingerprints, 0 to 1."""
-    return likeness_of(a, b, leaf_set(a), leaf_set(b))
+    """Likeness of two stored fingerprints, 0 to 1: whole branches where hashes are equal, leaves where they differ."""
+
+    def leaves(x: Column) -> Column:
+        alike, u, v = x["alike"], _leaves(x["u"]), _leaves(x["v"])
+        counts = F.struct(F.size(F.array_intersect(u, v)).alias("both"), (F.size(u) + F.size(v)).alias("all"))
+        return _let(counts, lambda c: F.when(2 * alike + c["all"] == 0, F.lit(0.0)).otherwise(F.lit(2.0) * (alike + c["both"]) / (2 * alike + c["all"])))
+
+    def paragraphs(x: Column) -> Column:
+        u = F.array_distinct(F.flatten(F.transform(x["u"], _paragraphs)))
+        v = F.array_distinct(F.flatten(F.transform(x["v"], _paragraphs)))
+        met = F.struct(x["alike"].alias("alike"), u.alias("u"), v.alias("v"))
+        down = lambda y: F.struct((y["alike"] + _leaf_count(F.array_intersect(y["u"], y["v"]))).alias("alike"), F.array_except(y["u"], y["v"]).alias("u"), F.array_except(y["v"], y["u"]).alias("v"))
+        return _let(met, lambda y: _let(down(y), leaves))
+
+    def branches(x: Column) -> Column:
+        equal = F.array_intersect(x["u"], x["v"])
+        alike = F.aggregate(equal, F.lit(0).cast("long"), lambda n, s: n + _leaf_count(_paragraphs(s)))
+        down = F.struct(alike.alias("alike"), F.array_except(x["u"], x["v"]).alias("u"), F.array_except(x["v"], x["u"]).alias("v"))
+        return _let(down, paragraphs)
+
+    met = F.struct(sections(a).alias("u"), sections(b).alias("v"))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(_let(met, branches))
 
 
 def first_difference(a: Column, b: Column) -> Column:
     """struct(section, paragraph), from 1, of the first branch in which two fingerprints differ; null if none does."""
+    place = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False).cast("int")
 
-    def parts(x: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.split(F.substring(x, 66, 1 << 30), "/", -1),
-                lambda s, i: F.transform(F.split(s, ",", -1), lambda p, j: F.struct((i + 1).alias("section"), (j + 1).alias("paragraph"), p.alias("leaves"))),
-            )
-        )
+    def inner(x: Column) -> Column:
+        below = lambda s: F.when(x["i"] <= F.size(s), _paragraphs(F.get(s, x["i"] - 1))).otherwise(F.array().cast("array<string>"))
+        return F.struct(x["i"].alias("section"), place(below(x["u"]), below(x["v"])).alias("paragraph"))
 
-    n = F.greatest(F.size(parts(a)), F.size(parts(b)))
-    pairs = F.arrays_zip(parts(a).alias("x"), parts(b).alias("y"))
-    unequal = F.filter(pairs, lambda z: ~z["x"].eqNullSafe(z["y"]))
-    at = F.coalesce(unequal[0]["x"], unequal[0]["y"])
-    return F.when((n > 0) & (F.size(unequal) > 0), F.struct(at["section"].alias("section"), at["paragraph"].alias("paragraph")))
+    met = F.struct(sections(a).alias("u"), sections(b).alias("v"))
+    return F.when(root(a) != root(b), _let(met, lambda x: _let(F.struct(place(x["u"], x["v"]).alias("i"), x["u"].alias("u"), x["v"].alias("v")), inner)))
 
 
 def neighbours(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
@@ -138,7 +180,7 @@ def edits(docs: DataFrame) -> DataFrame:
     edited = (
         lead.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
         .withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-        .withColumn("leaves", leaf_set(F.col("fingerprint")))
+        .withColumn("edit", first_difference(F.col("fingerprint"), F.col("edited_fingerprint")))
     )
     return edited.select(
         "doc_id",
@@ -146,8 +188,10 @@ def edits(docs: DataFrame) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        likeness_of(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("leaves"), leaf_set(F.col("edited_fingerprint"))).alias("near_edited"),
-        likeness_of(F.col("fingerprint"), F.col("next_fingerprint"), F.col("leaves"), leaf_set(F.col("next_fingerprint"))).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("edit.section").alias("edit_section"),
+        F.col("edit.paragraph").alias("edit_paragraph"),
     )
 
 
@@ -166,16 +210,34 @@ leaved AS (
   SELECT rn, what, list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
     lambda p: list_transform(regexp_extract_all(p, '(?:[^ ]*[^ .!?;:,] +){0,11}(?:[^ ]+ *| +)'), lambda l: sha256(l)))) AS tree
   FROM three),
-printed AS (
-  SELECT rn, what,
-    sha256('r' || array_to_string(list_transform(tree, lambda s: sha256('s' || array_to_string(list_transform(s, lambda p: sha256('p' || array_to_string(p, ''))), ''))), ''))
-    || '|' || array_to_string(list_transform(tree, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda l: substr(l, 1, 8)), '')), ',')), '/') AS fp,
-    list_distinct(list_transform(flatten(flatten(tree)), lambda l: substr(l, 1, 8))) AS leaves
-  FROM leaved)
-SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
-  CASE WHEN a.fp[1:64] = b.fp[1:64] THEN 1.0::DOUBLE WHEN len(a.leaves) + len(b.leaves) = 0 THEN 0.0::DOUBLE
-       ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END AS near_edited,
-  CASE WHEN a.fp[1:64] = c.fp[1:64] THEN 1.0::DOUBLE WHEN len(a.leaves) + len(c.leaves) = 0 THEN 0.0::DOUBLE
-       ELSE 2.0::DOUBLE * len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves)) END AS near_next
-FROM e JOIN printed a ON a.rn = e.rn AND a.what = 'a' JOIN printed b ON b.rn = e.rn AND b.what = 'b' JOIN printed c ON c.rn = e.rn AND c.what = 'c'
+hashed AS (
+  SELECT rn, what, list_transform(tree, lambda s: list_transform(s, lambda p: {'h': sha256('p' || array_to_string(p, '')), 'l': array_to_string(list_transform(p, lambda l: substr(l, 1, 8)), '')})) AS t
+  FROM leaved),
+named AS (
+  SELECT rn, what, list_transform(t, lambda s: {'h': sha256('s' || array_to_string(list_transform(s, lambda p: p.h), '')), 'b': array_to_string(list_transform(s, lambda p: substr(p.h, 1, 8) || p.l), ',')}) AS t FROM hashed),
+printed AS MATERIALIZED (
+  SELECT rn, what, sha256('r' || array_to_string(list_transform(t, lambda s: s.h), '')) AS root, list_transform(t, lambda s: substr(s.h, 1, 8) || ':' || s.b) AS parts FROM named),
+met AS (
+  SELECT e.rn, x.what, a.root = x.root AS same, a.root || '|' || array_to_string(a.parts, '/') AS fp, x.root || '|' || array_to_string(x.parts, '/') AS other_fp, a.parts AS u, x.parts AS v
+  FROM e JOIN printed a ON a.rn = e.rn AND a.what = 'a' JOIN printed x ON x.rn = e.rn AND x.what <> 'a'),
+level1 AS (
+  SELECT *, coalesce(list_sum(list_transform(list_filter(list_distinct(u), lambda s: list_contains(v, s)), lambda s: list_sum(list_transform(string_split(substr(s, 10), ','), lambda p: length(p) // 8 - 1)))), 0) AS alike1,
+    list_distinct(flatten(list_transform(list_filter(u, lambda s: NOT list_contains(v, s)), lambda s: string_split(substr(s, 10), ',')))) AS pu,
+    list_distinct(flatten(list_transform(list_filter(v, lambda s: NOT list_contains(u, s)), lambda s: string_split(substr(s, 10), ',')))) AS pv,
+    list_position(list_transform(range(1, greatest(len(u), len(v)) + 1), lambda i: u[i] IS NOT DISTINCT FROM v[i]), false) AS first_at
+  FROM met),
+level2 AS (
+  SELECT *, alike1 + coalesce(list_sum(list_transform(list_filter(pu, lambda p: list_contains(pv, p)), lambda p: length(p) // 8 - 1)), 0) AS alike,
+    list_distinct(flatten(list_transform(list_filter(pu, lambda p: NOT list_contains(pv, p)), lambda p: regexp_extract_all(substr(p, 9), '.{8}')))) AS lu,
+    list_distinct(flatten(list_transform(list_filter(pv, lambda p: NOT list_contains(pu, p)), lambda p: regexp_extract_all(substr(p, 9), '.{8}')))) AS lv,
+    CASE WHEN first_at <= len(u) THEN string_split(substr(u[first_at], 10), ',') ELSE [] END AS qu, CASE WHEN first_at <= len(v) THEN string_split(substr(v[first_at], 10), ',') ELSE [] END AS qv
+  FROM level1),
+scored AS (
+  SELECT *, CASE WHEN same THEN 1.0::DOUBLE WHEN 2 * alike + len(lu) + len(lv) = 0 THEN 0.0::DOUBLE
+      ELSE 2.0::DOUBLE * (alike + len(list_filter(lu, lambda l: list_contains(lv, l)))) / (2 * alike + len(lu) + len(lv)) END AS near,
+    list_position(list_transform(range(1, greatest(len(qu), len(qv)) + 1), lambda i: qu[i] IS NOT DISTINCT FROM qv[i]), false) AS inner_at
+  FROM level2)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, b.fp AS fingerprint, b.other_fp AS edited_fingerprint, b.near AS near_edited, c.near AS near_next,
+  CASE WHEN NOT b.same THEN b.first_at END AS edit_section, CASE WHEN NOT b.same THEN b.inner_at END AS edit_paragraph
+FROM e JOIN scored b ON b.rn = e.rn AND b.what = 'b' JOIN scored c ON c.rn = e.rn AND c.what = 'c'
 """
