@@ -74,6 +74,13 @@ def test_chat_snapshots(spark):
     assert got[3][2].count("<|im_end|>") == 3 and "<|im_end |>" in got[3][2]
 
 
+def test_chat_odd(spark):
+    """Turns without a conversation, very long texts, columns with names that the operator uses inside."""
+    rows = [(None, 0, "user", "hi", 1, 2)] * 3 + [(None, 0, "user", "long " * 100_000, 1, 2), (1, 0, "user", "hi", 1, 2), (1, 1, "bot", "yo", 1, 2), (2, 0, "a", "b", 1, 2)]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int, h1 int")).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.copies) for r in got) == [(0, 1, 1), (1, 2, 1), (2, 1, 1)] and max(len(r.chat) for r in got) > 500_000
+
+
 def test_chat_empty(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -123,6 +130,16 @@ def test_mixed_documents(spark):
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {k: v for k, v in want.items() if v}
 
 
+def test_mixed_ties(spark):
+    """Rows equal in id and text lie at one place of the order; the cut may fall among them."""
+    rows = [(None, "a b c d", "en", "s", 1, None, None)] * 100 + [(1, "w " * 300, "en", "t", 1, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(spark, docs).collect()
+    target = {r.source: r.target for r in got}
+    out = mixing.mixed(spark, docs).collect()
+    assert abs(sum(len(words(r.text)) for r in out if r.source == "s") - target["s"]) <= 4
+
+
 def test_mixing_empty(spark, empty):
     assert mixing.mix(spark, empty).count() == 0 and mixing.mixed(spark, empty).count() == 0
 
@@ -193,6 +210,60 @@ def test_toxicity_odd(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ODD) and toxicity.reject(spark, empty, m).count() == 0
 
 
+def test_toxicity_bound_holds(spark):
+    """Repeated rows count once, different texts of one id at most max_rows times."""
+    docs = spark.createDataFrame([(1, f"text {'abcdefghij'[i % 10]}") for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.sample(docs, marks).count() == 10 and toxicity.sample(docs, marks, 7).count() == 7
+    assert toxicity.sample(docs, marks.where("false")).count() == 0
+
+
+def test_toxicity_score_by_hand(spark):
+    """A score is the sigmoid of bias, weights and all pairs of factors, each pair looked at."""
+    rng = np.random.default_rng(6)
+    texts = ["alpha beta gamma", "beta delta", "", "epsilon " * 50 + "alpha", None, "Alpha BETA"]
+    ids = np.sort(np.unique(np.concatenate([toxicity.terms("alpha beta delta"), toxicity.terms("zeta")])))
+    m = toxicity.Machine(ids, rng.normal(size=len(ids)), rng.normal(size=(len(ids), 4)), -0.3)
+    got = {r.doc_id: r.score for r in toxicity.score(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    for i, t in enumerate(texts):
+        at = [j for j, x in enumerate(ids) if x in set(toxicity.terms(t).tolist())]
+        z = m.b + sum(m.w[j] for j in at) + sum(float(m.v[a] @ m.v[b]) for x, a in enumerate(at) for b in at[x + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_machine_learns_pairs_by_default():
+    """At default settings, among two thousand noise terms, on texts not seen: only both terms together count."""
+
+    def texts(n, seed):
+        rng = np.random.default_rng(seed)
+        pairs = rng.random((n, 2)) < 0.3
+        rows = [np.unique(np.concatenate([rng.integers(100, 2100, 30), [11] * int(a), [12] * int(b)]).astype(np.int64)) for a, b in pairs]
+        return rows, pairs.all(1), pairs.any(1)
+
+    rows, y, _ = texts(4000, 9)
+    m = toxicity.fit(rows, y.astype(float))
+    place = {int(t): i for i, t in enumerate(m.ids)}
+    rows, y, either = texts(1500, 10)
+    said = np.array([toxicity.squash(m.margin(np.array([place[t] for t in r if t in place], np.int64))) >= 0.5 for r in rows])
+    assert np.mean(said == y) > 0.98 and np.mean(said[either & ~y]) < 0.02
+
+
+# any operator that keeps the columns of its input
+
+CLASH = ["findings", "parts", "_digest", "_d", "_id", "_at", "_none", "_source", "_time", "_toxicity", "_spans", "_before", "rows", "stays", "key", "size"]
+
+
+def test_clashing_names_are_kept(spark, forest):
+    rows = [(*r[:5], *[f"{c}{i}" for c in CLASH]) for i, r in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH))
+    m = toxicity.train(spark, docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    outs = [toxicity.reject(spark, docs, m), jaccard_join.deduplicate(spark, docs), secret_scan.redact(secret_scan.scan(docs, forest)), mixing.mixed(spark, docs)]
+    for out in outs:
+        got = out.collect()
+        assert out.columns == docs.columns and {tuple(r[c] for c in CLASH) for r in got} <= {r[5:] for r in rows} and got
+    assert outs[0].count() == outs[2].count() == len(rows)
+
+
 # 5 secrets
 
 
@@ -202,7 +273,7 @@ def forest(spark):
 
 
 def test_secrets(spark, odd, forest):
-    scanned = secret_scan.scan(odd.drop("seen"), forest)
+    scanned = secret_scan.scan(odd, forest)
     found = secret_scan.findings(scanned).collect()
     hits = [r for r in found if r.secret]
     text = ODD[-1][1]
@@ -212,6 +283,27 @@ def test_secrets(spark, odd, forest):
     assert out.where("doc_id = 4").first().text is None
 
 
+def test_secrets_empty(spark, empty, forest):
+    assert secret_scan.findings(secret_scan.scan(empty, forest)).count() == 0 and secret_scan.redact(secret_scan.scan(empty, forest)).count() == 0
+
+
+def test_candidates_by_hand(spark, forest):
+    """Spans and digests against a plain scan of the same pattern."""
+    pattern = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20,}={0,2}")
+    texts = [r[1] or "" for r in ODD] + ["x " + "Q7" * 30 + " y " + "z" * 21 + "== end", "é" * 30 + " " + "A1b2" * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.length, r.value_sha256) for r in secret_scan.findings(secret_scan.scan(docs, forest)).collect()}
+    want = {(i, m.start(), len(m[0]), hashlib.sha256(m[0].encode()).hexdigest()) for i, t in enumerate(texts) for m in pattern.finditer(t)}
+    assert want <= got and {(i, texts[i][a : a + n]) for i, a, n, _ in got - want} == {(7, "hunter2x")}
+
+
+def test_secrets_of_any_length(spark, forest):
+    rng = np.random.default_rng(7)
+    run = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    sizes = [129, 513, 5_000, 1_000_000]
+    assert masked(spark, forest, [f"password={run(n)} and" for n in sizes]) == ["password=<SECRET> and"] * len(sizes)
+
+
 def masked(spark, forest, texts):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     return [r.text for r in secret_scan.redact(secret_scan.scan(docs, forest)).orderBy("doc_id").collect()]
@@ -262,6 +354,40 @@ def test_token_lengths(spark, odd):
     assert token_counts.quantiles(hist, [0.5]).first().length == sorted(n)[3]
 
 
+def test_token_lengths_of_any_text(spark):
+    """Counts against the library on texts it can take, and long runs of white space it can't."""
+    enc = token_counts._encoding(open(token_counts.RANKS, "rb").read())
+    rng = np.random.default_rng(3)
+    parts = [" ", "  ", "\n", "\t", "a", "bc", "Z9", ".", "'s", "\u65e5", "\x1c", "\r\n"]
+    short = re.compile(f"{token_counts.SPACE}{{3,}}")
+    for _ in range(2000):
+        t = "".join(rng.choice(parts, int(rng.integers(0, 14))))
+        assert token_counts.count_tokens(enc, t, short) == len(enc.encode_ordinary(t))
+    long = [" " * 10**7, "\n" * 10**6 + "x", "a" * 10**6, "x" + " " * 5000 + "y", "", None]
+    got = {r.doc_id: r.n_tokens for r in token_counts.lengths(spark, spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()}
+    assert got[3] == len(enc.encode_ordinary(long[3])) and got[4] == got[5] == 0 and got[0] == 10**7 and len(got) == 6
+
+
+def test_token_lengths_against_plain_merging(spark):
+    """Encoding against byte pair merging written out, over the pieces of the pattern."""
+    import regex
+
+    ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.RANKS, "rb").read().splitlines())}
+
+    def merged(piece):
+        x = [piece[i : i + 1] for i in range(len(piece))]
+        while len(x) > 1:
+            rank, i = min((ranks.get(x[i] + x[i + 1], 1 << 60), i) for i in range(len(x) - 1))
+            if rank == 1 << 60:
+                break
+            x[i : i + 2] = [x[i] + x[i + 1]]
+        return len(x)
+
+    texts = ["It's a plain text, isn't it?  Yes.\n\n 42 things", "Sch\u00f6ne Gr\u00fc\u00dfe \u65e5\u672c\u8a9e \U0001f389", "", "   lead and trail   "]
+    got = {r.doc_id: r.n_tokens for r in token_counts.lengths(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: sum(merged(p.encode()) for p in regex.findall(token_counts.PATTERN, t)) for i, t in enumerate(texts)}
+
+
 def test_token_lengths_empty(spark, empty):
     assert token_counts.histogram(token_counts.lengths(spark, empty)).count() == 0
 
@@ -278,6 +404,15 @@ def test_urls(spark):
     assert url_filter.judge(spark, spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_with_many_constant_parameters(spark):
+    """Tokens of the same rows are one item: thirty constant parameters are no 2^30 sets."""
+    query = "&".join(f"p{i}=1" for i in range(30))
+    rows = [(i, f"https://shop.org/fr/x?{query}") for i in range(200)] + [(1000 + i, f"https://s{i}.net/a?u=1") for i in range(100)]
+    rows += [(2000, f"https://other.com/x?{query}"), (2001, "https://other.com/x?p7=1"), (2002, "https://other.com/" + "y" * 100_000)]
+    got = {r.page_id: (r.verdict, r.mined) for r in url_filter.judge(spark, spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[2000][0] == "allow" and got[2001][1] and got[2002][0] == "allow"
+
+
 # 8 embeddings
 
 
@@ -300,6 +435,25 @@ def test_embeddings_empty(spark):
     assert nn_descent.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_doubles_and_clashing_names(spark):
+    rows = [(i, [1.0, 0.001 * i], 1, 2, 3) for i in range(5)] + [(9, [0.0, 1.0], 1, 2, 3), (9, [0.0, 1.0], 1, 2, 3)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in nn_descent.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int, vec int, root int")).collect())
+    assert got == [(i, 4, 0) for i in range(5)] + [(9, 1, 9)] * 2
+
+
+def test_saturated_lists_are_enlarged(spark):
+    """Twenty near neighbours fill a list of two; enlarging shows more of them."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1, 8)) + 0.02 * rng.normal(size=(20, 8))
+    scratch = nn_descent.Scratch(spark)
+    _, nodes = nn_descent.nodes_of(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>"), scratch)
+    graph = nn_descent.nearest(nn_descent.forest(nodes, 0, range(1), 2).withColumn("k", F.lit(2))).withColumn("fresh", F.lit(False))
+    grown = nn_descent.enlarge(graph, 0.9)
+    assert {(r.k, r.fresh) for r in grown.collect()} == {(4, True)}
+    longer = nn_descent.descend(nodes, grown, 2, scratch)
+    assert longer.groupBy("node").count().agg(F.min("count")).first()[0] == 4
+
+
 def skewed(pairs=900, alone=1200, copies=1000, dim=32):
     """Vectors with a large group of near copies and many isolated pairs, and the truth about their links."""
     rng = np.random.default_rng(8)

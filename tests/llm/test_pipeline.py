@@ -14,7 +14,7 @@ from waybill.llm import pieces
 def test_pipeline(spark, tmp_path):
     bad = [(500 + i, f"plain words {i} here and there with some nastyword inside {i * 7}", "en", "b", 1, None, None) for i in range(12)]
     rows = corpus(3) + [(1000 + (r[0] or 0), *r[1:]) for r in ODD[:-1]] + [(2000, ODD[-1][1], *ODD[-1][2:])] + bad
-    docs = spark.createDataFrame(rows, DOCS).drop("score", "seen")
+    docs = spark.createDataFrame(rows, DOCS)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(r[0], 1, int("nastyword" in (r[1] or ""))) for r in rows]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -42,3 +42,10 @@ def test_pipeline(spark, tmp_path):
     codec = pieces.codec_of(pieces.read_model(spark))
     want = sorted((r.doc_id, int(codec.run(pa.array([r.text or ""])).sizes()[0])) for r in out["mix"])
     assert sorted((r.doc_id, r.n_tokens) for r in out["tokens"]) == want and all(len(r.ids) == r.n_tokens for r in out["tokens"])
+
+
+def test_pipeline_empty(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "lang", "source", "n_chars", "score", "seen", "n_tokens", "ids"]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import Scratch, connected_components, give_back, table
+from waybill.llm.common import Scratch, connected_components, free, give_back, table
 
 #: Bits of a print, of which the first BUCKET_BITS choose the bucket and the rest fit in 32 bits.
 PRINT_BITS, BUCKET_BITS, CELL_BITS = 38, 6, 26
@@ -572,30 +572,32 @@ def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int
     named = members.where("size > 0").groupBy("doc_id", "d").agg(F.count("*").alias("rows")).join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "d")).alias("best"))
     judged = named.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("d") == F.col("best.d")))
-    judged = scratch.put(judged.select(F.col("d").alias("_d"), F.col("doc_id").alias("_id"), "rows", "stays"))
+    name, d, i = (free(x, docs.columns) for x in ("_digest", "_d", "_id"))
+    judged = scratch.put(judged.select(F.col("d").alias(d), F.col("doc_id").alias(i), F.col("rows").alias("n_rows"), F.col("stays").alias("one_stays")))
     scratch.drop(members, parts)
-    out = judged.where("not stays").select("_d", "_id")
-    keyed = _with_digest(docs)
+    out = judged.where("not one_stays").select(d, i)
+    keyed = _with_digest(docs, name)
     side = F.broadcast(out) if out.count() <= BROADCAST_SETS else out
-    kept = keyed.join(side, (keyed["_digest"] == F.col("_d")) & keyed["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    again = judged.where("stays and rows > 1").select("_d", "_id")
+    same = (F.col(name) == F.col(d)) & F.col("doc_id").eqNullSafe(F.col(i))
+    kept = keyed.join(side, same, "left_anti")
+    again = judged.where("one_stays and n_rows > 1").select(d, i)
     if not again.isEmpty():
         # rows that are repeated whole: one of each
-        twice = (kept["_digest"] == F.col("_d")) & kept["doc_id"].eqNullSafe(F.col("_id"))
-        once = kept.join(again, twice, "left_semi").dropDuplicates(["_digest", "doc_id"])
+        twice = same
+        once = kept.join(again, twice, "left_semi").dropDuplicates([name, "doc_id"])
         kept = kept.join(again, twice, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
-def _with_digest(docs: DataFrame) -> DataFrame:
+def _with_digest(docs: DataFrame, name: str) -> DataFrame:
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(words_of(x.as_py())) for x in batch.column(at)], pa.binary())], [*names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(words_of(x.as_py())) for x in batch.column(at)], pa.binary())], [*names, name])
 
-    return docs.mapInArrow(run, docs.withColumn("_digest", F.lit(None).cast("binary")).schema)
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("binary")).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters of text that are encoded at a time; encodings take many times the space of the text.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 #: Distinct parts that a process remembers.
 CACHE = 300_000
 

@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import table
+from waybill.llm.common import free, table
 
 NAMES = "passwords?|passwd|pwd|passphrase|secrets?|token|api[_-]?keys?|access[_-]?keys?|auth|credentials?|bearer|private[_-]?keys?"
 #: What may follow such a name; before it anything may stand (DB_PASSWORD, client_secret, userPassword).
@@ -164,7 +164,9 @@ def as_expression(model: RandomForestClassificationModel) -> Callable[[Column],
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """``docs`` with parts (text between candidates) and findings array<struct(start, value, score, secret)>, null where none."""
+    """``docs`` with two more columns, the last ones: findings array<struct(start, value, score, secret)> and parts (text
+    between candidates), null where none. They take longer names where ``docs`` has these."""
+    own = {x: free(x, docs.columns) for x in ("_spans", "_seen", "_judged", "findings", "parts")}
     score = as_expression(model)
     t = F.col(text)
     # the text before a candidate is looked at past the candidate before it, which may be the name of this one
@@ -178,31 +180,33 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
             F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["part"])).alias("start"), F.right(F.concat(a["tail"], x["part"]), F.lit(CONTEXT)).alias("before"), x["value"].alias("value"), F.left(x["rest"], F.lit(8)).alias("after")))).alias("out"),
         ),
     )["out"]
-    seen = F.transform(F.col("_spans"), lambda x: F.struct(x.alias("span"), F.struct(*[c.cast("double").alias(k) for k, c in features(x["before"], x["value"], x["after"]).items()]).alias("f")))
-    judged = F.transform(F.col("_seen"), lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["value"].alias("value"), score(x["f"]).alias("score")))
+    seen = F.transform(F.col(own["_spans"]), lambda x: F.struct(x.alias("span"), F.struct(*[c.cast("double").alias(k) for k, c in features(x["before"], x["value"], x["after"]).items()]).alias("f")))
+    judged = F.transform(F.col(own["_seen"]), lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["value"].alias("value"), score(x["f"]).alias("score")))
     with_any = (t.contains("=") | t.contains(":") | t.rlike(HINT)) & t.rlike(CANDIDATE)
     return (
-        docs.withColumn("_spans", F.when(with_any, spans))
-        .withColumn("_seen", F.when(F.col("_spans").isNotNull(), seen))
-        .withColumn("_judged", F.when(F.col("_seen").isNotNull(), judged))
-        .withColumn("findings", F.transform("_judged", lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), x["score"].alias("score"), (x["score"] >= threshold).alias("secret"))))
-        .withColumn("parts", F.when(with_any, parts))
-        .drop("_spans", "_seen", "_judged")
+        docs.withColumn(own["_spans"], F.when(with_any, spans))
+        .withColumn(own["_seen"], F.when(F.col(own["_spans"]).isNotNull(), seen))
+        .withColumn(own["_judged"], F.when(F.col(own["_seen"]).isNotNull(), judged))
+        .withColumn(own["findings"], F.transform(own["_judged"], lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), x["score"].alias("score"), (x["score"] >= threshold).alias("secret"))))
+        .withColumn(own["parts"], F.when(with_any, parts))
+        .drop(own["_spans"], own["_seen"], own["_judged"])
     )
 
 
 def findings(scanned: DataFrame) -> DataFrame:
-    """One row per candidate: doc_id, start, length, value_sha256, score, secret."""
-    return scanned.where("findings is not null").select("doc_id", F.explode("findings").alias("f")).select(
+    """One row per candidate of what ``scan`` returned: doc_id, start, length, value_sha256, score, secret."""
+    found = scanned.columns[-2]
+    return scanned.where(F.col(found).isNotNull()).select("doc_id", F.explode(found).alias("f")).select(
         "doc_id", F.col("f.start").cast("long").alias("start"), F.length("f.value").cast("long").alias("length"), F.sha2("f.value", 256).alias("value_sha256"), "f.score", "f.secret"
     )
 
 
 def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
-    """``scanned`` without its own columns, secrets in the text replaced by MASK."""
-    values = F.concat(F.transform("findings", lambda x: F.when(x["secret"], F.lit(MASK)).otherwise(x["value"])), F.array(F.lit("")))
-    masked = F.array_join(F.zip_with("parts", values, lambda p, v: F.concat(p, v)), "")
-    return scanned.withColumn(text, F.when(F.exists("findings", lambda x: x["secret"]), masked).otherwise(F.col(text))).drop("findings", "parts")
+    """What ``scan`` was given, from what it returned, with secrets in the text replaced by MASK."""
+    found, parts = scanned.columns[-2:]
+    values = F.concat(F.transform(found, lambda x: F.when(x["secret"], F.lit(MASK)).otherwise(x["value"])), F.array(F.lit("")))
+    masked = F.array_join(F.zip_with(parts, values, lambda p, v: F.concat(p, v)), "")
+    return scanned.withColumn(text, F.when(F.exists(found, lambda x: x["secret"]), masked).otherwise(F.col(text))).drop(found, parts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

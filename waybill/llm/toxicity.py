@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import give_back, table
+from waybill.llm.common import free, give_back, table
 
 BITS = 22
 MAX_ROWS = 16_000
@@ -101,17 +101,24 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **fitting: float) -> Machine:
-    """The sample is hashed into terms on the executors, and one task fits on its at most ``max_rows`` term sets."""
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """At most ``max_rows`` labelled texts as rows (toxic, h, terms): an id may have several texts, and a repeated row counts
+    once."""
     marked = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = marked.withColumn("h", F.xxhash64(F.lit(3), "doc_id")).orderBy("h", "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("text", "h").alias("h"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("text", "h").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms(x.as_py()).astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["toxic", "h", "terms"])
 
+    return texts.mapInArrow(run, "toxic int, h long, terms array<int>").dropDuplicates(["h", "toxic"]).orderBy("h", "toxic").limit(max_rows)
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **fitting: float) -> Machine:
+    """The sample is hashed into terms on the executors, and one task fits on its at most ``max_rows`` term sets."""
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(h, y, np.asarray(t.values, dtype=np.int64)) for b in batches for h, y, t in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2), strict=True)]
         got.sort(key=lambda x: x[:2])
@@ -120,9 +127,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
         got.clear()
         give_back()
 
-    # an id may have several texts, and a row may be repeated: the bound holds for what is fitted
-    hashed = sample.mapInArrow(run, "toxic int, h long, terms array<int>").dropDuplicates(["h", "toxic"]).orderBy("h", "toxic").limit(max_rows).repartition(1)
-    r = hashed.mapInArrow(learn, "ids binary, w binary, v binary, b double").first()
+    r = sample(docs, labels, max_rows).repartition(1).mapInArrow(learn, "ids binary, w binary, v binary, b double").first()
     ids, w = np.frombuffer(r.ids, np.int64), np.frombuffer(r.w, np.float64)
     return Machine(ids, w, np.frombuffer(r.v, np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 1)), r.b)
 
@@ -162,7 +167,8 @@ def score(spark: SparkSession, docs: DataFrame, machine: Machine, keep: Sequence
 
 def reject(spark: SparkSession, docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
-    return score(spark, docs, machine, keep=docs.columns, name="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = free("_toxicity", docs.columns)
+    return score(spark, docs, machine, keep=docs.columns, name=name).where(F.col(name) < threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
