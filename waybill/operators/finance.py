@@ -36,7 +36,7 @@ def daily_profit(orders: DataFrame, fuel: DataFrame, fees: DataFrame, default_ce
 
 
 def calendar_days(daily: DataFrame) -> DataFrame:
-    return daily.withColumn("has_revenue", F.col("revenue_cents") > 0).withColumn("has_fuel", F.col("fuel_cents") > 0).orderBy("date")
+    return daily.withColumn("has_revenue", F.col("revenue_cents") > 0).withColumn("has_fuel", F.col("fuel_cents") > 0)
 
 
 def period_total(daily: DataFrame) -> DataFrame:
@@ -51,12 +51,12 @@ def trend(daily: DataFrame, today: str, n: int = 8) -> DataFrame:
 
 
 def csv_rows(daily: DataFrame) -> DataFrame:
-    """Rows of the export in order: ord, line. The total comes from a rollup over the dates."""
+    """Rows of the export: all, ord, line, to be written by (all, ord). The total comes from a rollup over the dates."""
     total = daily.rollup("date").agg(*[F.sum(c).alias(c) for c in ("revenue_cents", "fuel_cents", "net_cents", "deliveries")], F.grouping("date").alias("all"))
     cells = [F.when(F.col("all") == 1, F.lit("total")).otherwise(F.col("date")), *[F.col(c) for c in ("revenue_cents", "fuel_cents", "net_cents", "deliveries")]]
     lines = total.select("all", F.col("date").alias("ord"), F.concat_ws(",", *[csv_cell(c) for c in cells]).alias("line"))
     # an empty table still has a total
-    return lines.where("all = 0 or line is not null").orderBy("all", "ord")
+    return lines.where("all = 0 or line is not null")
 
 
 def _efficiency(df: DataFrame) -> DataFrame:

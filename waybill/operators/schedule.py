@@ -94,7 +94,9 @@ def calendar_items(orders: DataFrame) -> DataFrame:
         F.col("id").alias("order_id"),
         F.col("service_date").alias("date"),
         F.col("strict_deadline_at").alias("deadline_at"),
+        "start_at",
         "event_at",
+        "planned_at",
         F.coalesce(first_truthy(F.col("venue_name"), F.col("product_name"), F.col("address")), F.lit(DEFAULT_TITLE)).alias("title"),
         F.coalesce("address", F.lit("")).alias("address"),
         "status",
@@ -102,13 +104,13 @@ def calendar_items(orders: DataFrame) -> DataFrame:
     )
 
 
-def calendar_order(start: str | None = None, planned: bool = True) -> Column:
+def calendar_order(screen: bool = False) -> Column:
     """Sort key of the calendar, a string: deadline, start, event, planned arrival, end of day.
 
     The screen's variant leaves the planned arrival out and ends the day at T23:59.
     """
-    parts = [F.col("deadline_at"), *([F.col(start)] if start else []), F.col("event_at"), *([F.col("planned_at")] if planned == "planned_at" else [])]
-    return F.coalesce(first_truthy(*parts), F.concat(F.col("date"), F.lit("T23:59:59" if planned else "T23:59")))
+    parts = [F.col("deadline_at"), F.col("start_at"), F.col("event_at"), *([] if screen else [F.col("planned_at")])]
+    return F.coalesce(first_truthy(*parts), F.concat(F.col("date"), F.lit("T23:59" if screen else "T23:59:59")))
 
 
 def in_range(orders: DataFrame, first: str, last: str) -> DataFrame:
@@ -149,10 +151,11 @@ def month_grid(items: DataFrame, first_of_month: str) -> DataFrame:
 
 
 def planned_notifications(orders: DataFrame, now_ms: int, strict_leads: Sequence[int] = (60, 30), event_leads: Sequence[int] = (120, 60), strict_on: bool = True, event_on: bool = True) -> DataFrame:
-    """Notifications still to come of open orders: id, order_id, kind, fire_at_ms, title, body."""
+    """Notifications still to come of open orders: id, order_id, kind, fire_at_ms, title, body, and ord, the place of the
+    lead in the order they are generated in: ties of fire_at_ms go by order_id, then ord."""
     ms = lambda c: F.unix_millis(instant(F.col(c)))
     kinds = [("strictDeadline", "strict", "strict_deadline_at", strict_leads, strict_on), ("eventTime", "event", "event_at", event_leads, event_on)]
-    leads = [F.struct(F.lit(kind).alias("kind"), F.lit(tag).alias("tag"), F.lit(n).alias("lead"), F.lit(i).alias("ord"), ms(c).alias("at")) for kind, tag, c, ns, on in kinds if on for i, n in enumerate(ns)]
+    leads = [F.struct(F.lit(kind).alias("kind"), F.lit(tag).alias("tag"), F.lit(n).alias("lead"), F.lit(i).alias("ord"), ms(c).alias("at")) for i, (kind, tag, c, n) in enumerate((k, t, c, n) for k, t, c, ns, on in kinds if on for n in ns)]
     if not leads:
         leads = [F.struct(F.lit("").alias("kind"), F.lit("").alias("tag"), F.lit(0).alias("lead"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("at"))]
     fired = orders.where(F.col("status").isin("pending", "reviewRequired")).select("*", F.explode(F.array(*leads)).alias("n"))
@@ -164,6 +167,7 @@ def planned_notifications(orders: DataFrame, now_ms: int, strict_leads: Sequence
         at.alias("fire_at_ms"),
         F.concat(F.when(F.col("n.kind") == "strictDeadline", F.lit("배송 엄수 ")).otherwise(F.lit("예식/행사 ")), F.col("n.lead").cast("string"), F.lit("분 전")).alias("title"),
         F.concat(F.coalesce(first_truthy(F.col("product_name"), F.col("venue_name")), F.lit("delivery")), F.lit(" · "), F.coalesce(F.nullif(F.col("address"), F.lit("")), F.lit("address not confirmed"))).alias("body"),
+        F.col("n.ord").alias("ord"),
     )
 
 
@@ -195,5 +199,5 @@ def search(deliveries: DataFrame, query: str, status: str | None, columns: Seque
 
 def items_by_date(items: DataFrame) -> DataFrame:
     """Items of each date in screen order: date, ids."""
-    key = calendar_order(planned=False)
+    key = calendar_order(screen=True)
     return items.withColumn("_k", key).groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "id"))), lambda x: x["id"]).alias("ids"))

@@ -217,13 +217,13 @@ def order_to_legacy(spark, d):
 
 
 _ITEMS = B.with_ctes("b_orders") + """, items AS (
-  SELECT 'calendar-' || id AS id, id AS order_id, service_date AS date, strict_deadline_at AS deadline_at, event_at, coalesce(nullif(venue_name, ''), nullif(product_name, ''), nullif(address, ''), '배달 일정') AS title, address, status,
+  SELECT 'calendar-' || id AS id, id AS order_id, service_date AS date, strict_deadline_at AS deadline_at, start_at, event_at, planned_at, coalesce(nullif(venue_name, ''), nullif(product_name, ''), nullif(address, ''), '배달 일정') AS title, address, status,
     CASE WHEN event_at IS NOT NULL THEN 'critical' ELSE 'normal' END AS priority FROM b_orders WHERE service_date IS NOT NULL)"""
 
 
-@query(_ITEMS + " SELECT *, coalesce(deadline_at, event_at, date || 'T23:59:59') AS sort_key FROM items")
+@query(_ITEMS + " SELECT *, coalesce(deadline_at, start_at, event_at, planned_at, date || 'T23:59:59') AS sort_key FROM items")
 def calendar_items(spark, d):
-    return schedule.calendar_items(B.orders(spark, d)).withColumn("sort_key", schedule.calendar_order()).orderBy("sort_key")
+    return schedule.calendar_items(B.orders(spark, d)).withColumn("sort_key", schedule.calendar_order())
 
 
 @query(B.with_ctes("b_orders") + " SELECT id, service_date FROM b_orders WHERE service_date BETWEEN '1996-02-01' AND '1996-02-29'")
@@ -268,16 +268,16 @@ def month_grid_urgency(spark, d):
     return schedule.month_grid(B.calendar(spark, d), "2024-01-01")
 
 
-_NOTES = B.with_ctes("b_orders") + f""", leads AS (SELECT * FROM (VALUES ('strictDeadline', 'strict', 60), ('strictDeadline', 'strict', 30), ('eventTime', 'event', 120), ('eventTime', 'event', 60)) AS t(kind, tag, lead)),
+_NOTES = B.with_ctes("b_orders") + f""", leads AS (SELECT * FROM (VALUES ('strictDeadline', 'strict', 60, 0), ('strictDeadline', 'strict', 30, 1), ('eventTime', 'event', 120, 2), ('eventTime', 'event', 60, 3)) AS t(kind, tag, lead, ord)),
 timed AS (SELECT o.*, l.*, epoch_ms(CASE WHEN l.tag = 'strict' THEN strict_deadline_at ELSE event_at END::TIMESTAMPTZ) AS at_ms FROM b_orders o, leads l WHERE status IN ('pending', 'reviewRequired')),
 notes AS (
   SELECT 'waybill-' || id || '-' || tag || '-' || lead AS id, id AS order_id, kind, at_ms - lead * 60000 AS fire_at_ms, CASE WHEN tag = 'strict' THEN '배송 엄수 ' ELSE '예식/행사 ' END || lead || '분 전' AS title,
-    coalesce(product_name, venue_name, 'delivery') || ' · ' || address AS body FROM timed WHERE at_ms <> 0 AND at_ms - lead * 60000 > {NOW_MS})"""
+    coalesce(product_name, venue_name, 'delivery') || ' · ' || address AS body, ord FROM timed WHERE at_ms <> 0 AND at_ms - lead * 60000 > {NOW_MS})"""
 
 
 @query(_NOTES + " SELECT * FROM notes")
 def planned_notifications(spark, d):
-    return schedule.planned_notifications(B.orders(spark, d), NOW_MS).orderBy("fire_at_ms")
+    return schedule.planned_notifications(B.orders(spark, d), NOW_MS)
 
 
 @query(_NOTES + " SELECT kind, count(*) AS n FROM notes GROUP BY kind")
@@ -285,9 +285,9 @@ def notification_counts(spark, d):
     return schedule.planned_notifications(B.orders(spark, d), NOW_MS).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(_NOTES + " SELECT id, fire_at_ms FROM notes ORDER BY fire_at_ms, id LIMIT 12")
+@query(_NOTES + " SELECT id, fire_at_ms FROM notes ORDER BY fire_at_ms, order_id, ord LIMIT 12")
 def next_notifications(spark, d):
-    return schedule.planned_notifications(B.orders(spark, d), NOW_MS).orderBy("fire_at_ms", "id").limit(12).select("id", "fire_at_ms")
+    return schedule.planned_notifications(B.orders(spark, d), NOW_MS).orderBy("fire_at_ms", "order_id", "ord").limit(12).select("id", "fire_at_ms")
 
 
 @query(
@@ -323,7 +323,7 @@ def delivery_search(spark, d):
     return schedule.search(B.orders(spark, d), " ASIA NATION_1 ", "pending", ["product_name", "address", "vendor_name"]).select("id")
 
 
-@query(_ITEMS + " SELECT date, list(id ORDER BY coalesce(deadline_at, event_at, date || 'T23:59'), id) AS ids FROM items GROUP BY date")
+@query(_ITEMS + " SELECT date, list(id ORDER BY coalesce(deadline_at, start_at, event_at, date || 'T23:59'), id) AS ids FROM items GROUP BY date")
 def items_by_date(spark, d):
     return schedule.items_by_date(schedule.calendar_items(B.orders(spark, d)))
 

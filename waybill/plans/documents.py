@@ -473,15 +473,17 @@ def live_session_totals(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT event_id AS key, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'old' END AS value, event_id % 50 AS confidence FROM events WHERE event_type <> 'error'), i AS (SELECT event_id AS key, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'new' END AS value, event_id % 70 AS confidence FROM events WHERE event_type <> 'view')
-SELECT c.key, CASE WHEN (trim(c.value) = '' AND trim(i.value) <> '') OR i.confidence > c.confidence THEN i.value ELSE c.value END AS value, CASE WHEN (trim(c.value) = '' AND trim(i.value) <> '') OR i.confidence > c.confidence THEN i.confidence ELSE c.confidence END AS confidence FROM c LEFT JOIN i ON i.key = c.key"""
+    """WITH c AS (SELECT user_id AS session, event_id AS key, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'old' END AS value, event_id % 50 AS confidence FROM events WHERE event_type <> 'error' AND user_id % 4 <> 0),
+i AS (SELECT user_id AS session, event_id AS key, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'new' END AS value, event_id % 70 AS confidence FROM events WHERE event_type <> 'view')
+SELECT c.session, c.key, CASE WHEN (trim(c.value) = '' AND trim(i.value) <> '') OR i.confidence > c.confidence THEN i.value ELSE c.value END AS value, CASE WHEN (trim(c.value) = '' AND trim(i.value) <> '') OR i.confidence > c.confidence THEN i.confidence ELSE c.confidence END AS confidence
+FROM c LEFT JOIN i ON i.key = c.key AND i.session = c.session UNION ALL SELECT * FROM i WHERE session NOT IN (SELECT session FROM c)"""
 )
 def merge_fields(spark, d):
     e = F.col("event_id")
-    ev = B.read(spark, d, "events")
-    c = ev.where("event_type <> 'error'").select(e.alias("key"), F.when(e % 3 == 0, "").otherwise("old").alias("value"), (e % 50).alias("confidence"))
-    i = ev.where("event_type <> 'view'").select(e.alias("key"), F.when(e % 5 == 0, " ").otherwise("new").alias("value"), (e % 70).alias("confidence"))
-    return live.merge_fields(c, i)
+    ev = B.read(spark, d, "events").withColumn("session", F.col("user_id"))
+    c = ev.where("event_type <> 'error' and user_id % 4 <> 0").select("session", e.alias("key"), F.when(e % 3 == 0, "").otherwise("old").alias("value"), (e % 50).alias("confidence"))
+    i = ev.where("event_type <> 'view'").select("session", e.alias("key"), F.when(e % 5 == 0, " ").otherwise("new").alias("value"), (e % 70).alias("confidence"))
+    return live.merge_fields(c, i, by=["session"])
 
 
 @query("SELECT user_id AS session, max(event_id % 90) AS confidence, sum(event_id % 300)::BIGINT AS processing_ms, sum(1)::BIGINT AS variants, bool_or(event_id % 17 = 0) AS fallback, list(event_type ORDER BY event_id) AS unmapped, arg_max(event_type, (event_id % 40, event_id)) AS event_type FROM events GROUP BY user_id")

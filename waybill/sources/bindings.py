@@ -47,6 +47,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("status"),
             F.when((k % 17 != 0) & (k % 3 == 0), F.concat(iso(F.col("o_orderdate")), F.lit("T"), F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":30:00+09:00"))).alias("strict_deadline_at"),
             F.when((k % 17 != 0) & (k % 4 == 0), F.concat(iso(F.col("o_orderdate")), F.lit("T"), F.lpad((k % 20 + 3).cast("string"), 2, "0"), F.lit(":00:00+09:00"))).alias("event_at"),
+            F.when(k % 7 == 0, F.concat(iso(F.col("o_orderdate")), F.lit("T"), F.lpad((k % 12 + 8).cast("string"), 2, "0"), F.lit(":00:00+09:00"))).alias("start_at"),
+            F.when(k % 5 == 1, F.concat(iso(F.col("o_orderdate")), F.lit("T"), F.lpad((k % 10 + 7).cast("string"), 2, "0"), F.lit(":45:00+09:00"))).alias("planned_at"),
             F.when(k % 11 != 0, F.concat(F.lit("wreath "), F.col("c_mktsegment"))).alias("product_name"),
             F.when(k % 5 == 0, F.concat(F.lit("hall "), F.col("n_name"))).alias("venue_name"),
             F.col("c_name").alias("vendor_name"),
@@ -197,6 +199,8 @@ CTES = {
     r_name || ' ' || n_name || ' ' || c_mktsegment AS address, {_STATUS} AS status,
     CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 3 = 0 THEN {_DAY} || 'T' || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':30:00+09:00' END AS strict_deadline_at,
     CASE WHEN o_orderkey % 17 <> 0 AND o_orderkey % 4 = 0 THEN {_DAY} || 'T' || lpad((o_orderkey % 20 + 3)::VARCHAR, 2, '0') || ':00:00+09:00' END AS event_at,
+    CASE WHEN o_orderkey % 7 = 0 THEN {_DAY} || 'T' || lpad((o_orderkey % 12 + 8)::VARCHAR, 2, '0') || ':00:00+09:00' END AS start_at,
+    CASE WHEN o_orderkey % 5 = 1 THEN {_DAY} || 'T' || lpad((o_orderkey % 10 + 7)::VARCHAR, 2, '0') || ':45:00+09:00' END AS planned_at,
     CASE WHEN o_orderkey % 11 <> 0 THEN 'wreath ' || c_mktsegment END AS product_name, CASE WHEN o_orderkey % 5 = 0 THEN 'hall ' || n_name END AS venue_name,
     c_name AS vendor_name, (o_orderkey % 200) / 10.0::DOUBLE AS distance_km
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",

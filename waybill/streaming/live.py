@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PHONE = re.compile(r"^(?:01[016789]-\d{3,4}-\d{4}|02-\d{3,4}-\d{4}|0[3-6]\d-\d{3,4}-\d{4})$")
+from waybill.functions.text import VALID_PHONE
+
+PHONE = re.compile(VALID_PHONE)
 #: field -> (keys, least confidence, validation)
 FIELDS: dict[str, tuple[tuple[str, ...], int, Callable[[str], bool] | None]] = {
     "merchant": (("orderingVendorName", "venueName"), 85, None),
@@ -120,12 +122,20 @@ def summary(decided: DataFrame) -> DataFrame:
     return decided.groupBy("session").agg(last, F.count("*").alias("frames"), *counts).select("session", "l.locked", "l.ready", "frames", "skipped_interval", "skipped_busy", "rejected_quality", "accepted")
 
 
-def merge_fields(current: DataFrame, incoming: DataFrame, key: str = "key") -> DataFrame:
-    """Fields with incoming ones where those fill a blank or are surer; a field that only comes in is not added."""
-    i = incoming.select(key, F.col("value").alias("_v"), F.col("confidence").alias("_c"))
+def merge_fields(current: DataFrame, incoming: DataFrame, key: str = "key", by: Sequence[str] = ()) -> DataFrame:
+    """Fields with incoming ones where those fill a blank or are surer.
+
+    A field that only comes in is not added, unless its whole group (``by``, such as a session; without it the table) has
+    no fields yet: then the incoming ones are taken as they are.
+    """
+    on = [*by, key]
+    i = incoming.select(*on, F.col("value").alias("_v"), F.col("confidence").alias("_c"))
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     take = F.col("_c").isNotNull() & ((blank(F.col("value")) & ~blank(F.col("_v"))) | (F.col("_c") > F.col("confidence")))
-    return current.join(i, key, "left").withColumn("_t", take).select(*[F.when(F.col("_t"), F.col({"value": "_v", "confidence": "_c"}[c])).otherwise(F.col(c)).alias(c) if c in ("value", "confidence") else F.col(c) for c in current.columns])
+    merged = current.join(i, on, "left").withColumn("_t", take).select(*[F.when(F.col("_t"), F.col({"value": "_v", "confidence": "_c"}[c])).otherwise(F.col(c)).alias(c) if c in ("value", "confidence") else F.col(c) for c in current.columns])
+    groups = current.select(*by).distinct() if by else current.select(F.lit(1).alias("_g")).limit(1)
+    fresh = (incoming if by else incoming.withColumn("_g", F.lit(1))).join(groups, list(by) or ["_g"], "left_anti")
+    return merged.unionByName(fresh.select(*current.columns))
 
 
 def merge_results(results: DataFrame, key: str = "session", ord: str = "ord") -> DataFrame:
