@@ -118,13 +118,17 @@ def time_of(value: Column) -> Column:
     return first_truthy(F.split_part(value, F.lit(" "), F.lit(2)), value)
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:  # Spark has no Unicode normalisation
-    for s in texts:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _normalized(form: str) -> Callable[[Column], Column]:
+    @F.pandas_udf(T.StringType())
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
+    return run
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+def composed(text: Column, form: str = "NFKC") -> Column:
+    """Unicode normal form. Spark has none, so texts beyond ASCII go through Python; an ASCII text is its own normal form
+    and stays in the JVM. A column of a table, not of a lambda: normalise where texts come in."""
+    plain = F.coalesce(text.rlike(r"\A\p{ASCII}*\z"), F.lit(False))
+    return F.coalesce(F.when(plain, text), _normalized(form)(F.when(~plain, text)))

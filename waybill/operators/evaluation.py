@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.functions.semantics import trim_all
+from waybill.functions.semantics import composed, trim_all
 
 
 def strip_unknown(text: Column, token: str = "[불명]") -> Column:
@@ -15,26 +15,26 @@ def strip_unknown(text: Column, token: str = "[불명]") -> Column:
 
 
 def for_errors(text: Column) -> Column:
-    """Text for the error rate: lower case, without white space, bars and bullets."""
-    return F.regexp_replace(F.lower(strip_unknown(text)), r"[\s|·•]", "")
+    """A text without marks of the unreadable, composed, as the error rate has it: lower case, no white space, bars and bullets."""
+    return F.regexp_replace(F.lower(text), r"[\s|·•]", "")
 
 
 def for_coverage(text: Column) -> Column:
-    """Text for token coverage: runs of letters and digits."""
-    return trim_all(F.regexp_replace(F.lower(strip_unknown(text)), r"[^\p{L}\p{N}]+", " "))
+    """The same text as token coverage has it: runs of letters and digits."""
+    return trim_all(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def score_samples(samples: DataFrame, golden: str = "golden", prediction: str = "prediction") -> DataFrame:
     """Adds empty, golden_chars, distance, cer, coverage of each sample; a missing prediction is an empty one."""
-    g, p = for_errors(F.col(golden)), for_errors(F.coalesce(F.col(prediction), F.lit("")))
-    tokens = F.filter(F.split(for_coverage(F.col(golden)), r"\s+"), lambda t: t != "")
-    there = for_coverage(F.coalesce(F.col(prediction), F.lit("")))
+    a, b = F.col("_a"), F.col("_b")
+    tokens = F.filter(F.split(for_coverage(a), r"\s+"), lambda t: t != "")
     return (
-        samples.withColumns({"_g": g, "_p": p, "_t": tokens, "_c": there})
+        samples.withColumns({"_a": composed(strip_unknown(F.col(golden))), "_b": composed(strip_unknown(F.coalesce(F.col(prediction), F.lit(""))))})
+        .withColumns({"_g": for_errors(a), "_p": for_errors(b), "_t": tokens, "_c": for_coverage(b)})
         .withColumn("empty", F.col("_p") == "").withColumn("golden_chars", F.length("_g").cast("long")).withColumn("distance", F.levenshtein("_p", "_g").cast("long"))
         .withColumn("cer", F.when(F.col("golden_chars") > 0, F.round(F.col("distance") / F.col("golden_chars"), 4)).otherwise(0.0))
         .withColumn("coverage", F.when(F.size("_t") > 0, F.round(F.size(F.filter("_t", lambda t: F.contains(F.col("_c"), t))) / F.size("_t"), 4)).otherwise(1.0))
-        .drop("_g", "_p", "_t", "_c")
+        .drop("_a", "_b", "_g", "_p", "_t", "_c")
     )
 
 

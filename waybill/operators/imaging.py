@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions.semantics import round_half_up
 
+# Constants of the quality formula (fixed values).
 IDEAL_BRIGHTNESS = 0.66
 LONG_SIDE, SHORT_SIDE, DETECTOR_SIDE = 2400, 1080, 960
 TILE_COLUMNS, TILE_ROWS = 6, 8

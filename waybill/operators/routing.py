@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waybill.functions.semantics import code_unit_sum, squeeze
 from waybill.functions.text import ADDRESS_DETAIL
 
+# Start of the day, names of regions, words that are no address (fixed values).
 START = (37.5033, 127.0442)
 REGIONS = "서울|경기|인천|부산|대구|대전|광주|울산|세종|제주|강원|충청|충북|충남|전라|전북|전남|경상|경북|경남"
 ADDRESS_NOISE = r"(?i)(?:tel|hp|전화|연락처|휴대폰|핸드폰|받는\s*분|수령|인수|발주|배송화원|상품|메모|비고)"
@@ -59,6 +60,7 @@ def address_candidates(df: DataFrame, address: str, district: str, noise: str =
     ``district`` is the column with the configured district found in the address, if any.
     """
     a = squeeze(F.coalesce(F.col(address), F.lit("")))
+    # messages as callers know them (fixed values)
     texts = {"missing": "주소가 없습니다.", "noise": "주소에 라벨·전화번호가 섞여 있어 직접 확인이 필요합니다.", "poor": "주소의 지역·도로·건물 정보가 부족합니다.", "district": "등록된 배송 지역과 매칭되지 않았습니다."}
     none = F.array().cast("array<string>")
     mixed = a.rlike(noise)

@@ -2,7 +2,8 @@
 
 Frames of a session come in the order of (captured_ms, frame_id). A frame is dropped while the sampling interval since the
 last sampled one runs (so is a late one, whose gap is negative) or while the recogniser is busy, which is modelled by the
-processing time of the frame before; a sampled frame that fails the quality gate has used up its interval.
+processing time of the frame before; a sampled frame that fails the quality gate has used up its interval. A frame whose
+optional column ``reset`` is true is none: the session starts afresh.
 """
 
 from __future__ import annotations
@@ -87,6 +88,10 @@ def step(state: dict[str, Any], frame: dict[str, Any], interval_ms: int = 500, n
 def _run(session: Any, frames: pd.DataFrame, state: dict[str, Any], interval_ms: int, need_quality: bool) -> pd.DataFrame:
     out = []
     for f in frames.sort_values(["captured_ms", "frame_id"], kind="stable").to_dict("records"):
+        if f.get("reset") is True:
+            state.update(fresh())
+            out.append((session, f["frame_id"], f["captured_ms"], "reset", 0, False, json.dumps(state, sort_keys=True)))
+            continue
         f["found"] = [dict(x) if isinstance(x, dict) else x.asDict() for x in (f["found"] if f["found"] is not None else [])]
         decision = step(state, f, interval_ms, need_quality)
         locked = sum(x["status"] == "locked" for x in state["fields"].values())
@@ -103,16 +108,29 @@ def batch(frames: DataFrame, interval_ms: int = 500, need_quality: bool = True)
     return frames.groupBy("session").applyInPandas(fold, OUT)
 
 
-def stream(frames: DataFrame, interval_ms: int = 500, need_quality: bool = True) -> DataFrame:
-    """The same over a streaming table; the state of a session is kept as JSON until it is no longer needed."""
+def stream(frames: DataFrame, interval_ms: int = 500, need_quality: bool = True, idle: str = "10 minutes") -> DataFrame:
+    """The same over a streaming table; the state of a session is kept as JSON until all its fields are locked or it has
+    been idle for a while, so states don't pile up with the number of sessions. A frame of a session that is ready starts
+    a new one.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = json.loads(state.get[0]) if state.exists else fresh()
         got = list(parts)
-        yield _run(key[0], pd.concat(got) if got else pd.DataFrame(columns=["frame_id", "captured_ms", "passed", "processing_ms", "found"]), s, interval_ms, need_quality)
-        state.update((json.dumps(s),))
-
-    return frames.groupBy("session").applyInPandasWithState(fold, OUT, "state string", "append", "NoTimeout")
+        out = _run(key[0], pd.concat(got) if got else pd.DataFrame(columns=["frame_id", "captured_ms", "passed", "processing_ms", "found"]), s, interval_ms, need_quality)
+        if len(out) and bool(out["ready"].iloc[-1]):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(s),))
+            state.setTimeoutDuration(idle_ms)
+        yield out
+
+    return frames.groupBy("session").applyInPandasWithState(fold, OUT, "state string", "append", "ProcessingTimeTimeout")
 
 
 def summary(decided: DataFrame) -> DataFrame:
