@@ -6,7 +6,6 @@ Recognition itself happens elsewhere: what it found comes as tables, a row per d
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from waybill.functions import text as X
 from waybill.functions.semantics import composed, round_half_up, squeeze, trim_all
 from waybill.operators import receipts, schedule, spatial
 from waybill.operators.finance import order_fees
+from waybill.sources.files import written
 
 ON = ["doc_id", "variant"]
 
@@ -34,8 +34,7 @@ def parse_recognised(docs: DataFrame, lines: DataFrame, year: int) -> tuple[Data
     both = docs.select("doc_id", F.coalesce("full_text", F.lit("")).alias("full_text")).join(layout, "doc_id", "left").withColumn("layout", F.coalesce(F.nullif(F.col("layout"), F.lit("")), F.col("full_text")))
     scored = both.withColumns({"_l": X.evidence_score(composed(F.col("layout"))), "_f": X.evidence_score(composed(F.col("full_text")))})
     texts = scored.select("doc_id", F.when(F.col("_l") >= F.col("_f"), F.col("layout")).otherwise(F.col("full_text")).alias("text"))
-    # parsed once, read several times; blocks that are lost with an executor are parsed again
-    fields = receipts.parse_receipts(texts).persist(StorageLevel.DISK_ONLY)
+    fields = written(receipts.parse_receipts(texts))  # parsed once, read several times
     sure = receipts.document_confidence(fields)
     return texts.join(sure, "doc_id", "left"), spatial.merge_candidates(fields, spatial.field_candidates(lines, year))
 
@@ -66,23 +65,23 @@ def read_receipts(assets: DataFrame, recognised: DataFrame, lines: DataFrame, ye
     document_confidence, reasons, fallback, event_type, core_fields) and field rows of the documents that were read;
     status is read, no-image, no-text or no-evidence.
     """
-    given = assets.where(filled(F.col("raw_text"))).select("doc_id", F.col("raw_text").alias("text"))
-    rest = assets.where(~filled(F.col("raw_text")))
-    seen = rest.where(filled(F.col("uri"))).select("doc_id").join(recognised.where(filled(F.col("full_text"))), "doc_id")
-    first = seen.where("variant = 'first'").select("doc_id", "full_text")
+    # all variants are parsed as documents of their own, in one pass
+    kind = dict(assets.dtypes)["doc_id"]
+    key = F.concat_ws(":", "variant", F.col("doc_id").cast("string")).alias("doc_id")
+    apart = lambda df: df.withColumn("variant", F.split_part("doc_id", F.lit(":"), F.lit(1))).withColumn("doc_id", F.regexp_replace("doc_id", "^[^:]*:", "").cast(kind))
+    given = assets.where(filled(F.col("raw_text"))).select("doc_id", F.lit("given").alias("variant"), F.col("raw_text").alias("full_text"))
+    seen = assets.where(~filled(F.col("raw_text")) & filled(F.col("uri"))).select("doc_id").join(recognised.where(filled(F.col("full_text"))), "doc_id").select("doc_id", "variant", "full_text")
+    first = seen.where("variant = 'first'")
     tilted = spatial.skew(lines.where("variant = 'first'").drop("variant")).where("confident").select("doc_id")
-    turned = seen.where("variant = 'rotated'").join(tilted, "doc_id", "left_semi").join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", "full_text")
-    parts = []
-    for variant, docs in (("first", first), ("rotated", turned)):
-        boxes = lines.where(F.col("variant") == variant).drop("variant").join(docs.select("doc_id"), "doc_id", "left_semi")
-        texts, fields = parse_recognised(docs, boxes, year)
-        parts.append((texts.withColumn("variant", F.lit(variant)), fields.withColumn("variant", F.lit(variant))))
-    texts, fields = parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1]).persist(StorageLevel.DISK_ONLY)
+    turned = seen.where("variant = 'rotated'").join(tilted, "doc_id", "left_semi").join(first.select("doc_id"), "doc_id", "left_semi")
+    docs = written(given.unionByName(first).unionByName(turned))
+    boxes = written(lines.join(docs.select(*ON), ON, "left_semi"))
+    texts, fields = parse_recognised(docs.select(key, "full_text"), boxes.select(key, *[c for c in boxes.columns if c not in ON]), year)
+    texts, fields = apart(texts), written(apart(fields))
     counts = fields.groupBy(*ON).agg(F.count_if(filled(F.col("value"))).alias("populated"), F.count_if(F.col("required") & filled(F.col("value"))).alias("required"))
-    chosen = choose_variant(texts.join(counts, ON))
-    plain = receipts.parse_receipts(given).withColumn("variant", F.lit("given")).persist(StorageLevel.DISK_ONLY)
-    chosen_fields = fields.join(chosen.select(*ON), ON, "left_semi").unionByName(plain, allowMissingColumns=True)
-    chosen_texts = texts.join(chosen, ON).unionByName(given.join(receipts.document_confidence(plain), "doc_id", "left").select("doc_id", "text", "document_confidence", F.lit("given").alias("variant"), F.lit(1).alias("variants_compared")))
+    chosen = choose_variant(texts.where("variant <> 'given'").join(counts, ON)).unionByName(given.select("doc_id", "variant", F.lit(1).alias("variants_compared")))
+    chosen_fields = fields.join(chosen.select(*ON), ON, "left_semi")
+    chosen_texts = texts.join(chosen, ON)
     enriched = receipts.enrich(chosen_fields).drop("document_confidence", "conflict")
     out = assets.select("doc_id", "uri", "raw_text").join(chosen_texts, "doc_id", "left").join(enriched, "doc_id", "left").withColumn("_t", composed(F.coalesce("text", F.lit(""))))
     status = (

@@ -30,17 +30,18 @@ def query(sql: str | None = None):
 _NORM = r"regexp_replace(lower(trim({0})), '[\s:.\-_/\\\[\]()<>{{}}#*]', '', 'g')"
 _SCORE = """CASE WHEN norm = target THEN 1.0::DOUBLE
   WHEN least(length(norm), length(target)) >= 2 AND (contains(norm, target) OR contains(target, norm)) THEN 0.85::DOUBLE * (least(length(norm), length(target)) / greatest(length(norm), length(target))::DOUBLE)
+  WHEN least(length(norm), length(target)) < 0.6::DOUBLE * greatest(length(norm), length(target)) THEN NULL
   WHEN 1 - levenshtein(target, norm) / greatest(length(norm), length(target))::DOUBLE >= 0.6 THEN 0.6::DOUBLE * (1 - levenshtein(target, norm) / greatest(length(norm), length(target))::DOUBLE) END"""
 _PARSED = B.with_ctes("b_lines", "b_registry") + rf""",
 reg AS (SELECT key, ord, {_NORM.format("alias")} AS norm FROM b_registry),
-base AS (SELECT order_key, line_no, trim(text) AS t FROM b_lines WHERE trim(text) <> ''),
+base AS MATERIALIZED (SELECT order_key, line_no, trim(text) AS t FROM b_lines WHERE trim(text) <> ''),
 cut AS (SELECT *, strpos(t, ':') AS pos, strpos(t, ':') > 1 AND NOT regexp_matches(substr(t, 1, strpos(t, ':') - 1), '[0-9]') AS colon, regexp_split_to_array(t, '\s+') AS w FROM base),
-labels AS (
+labels AS MATERIALIZED (
   SELECT order_key, line_no, NULL AS k, trim(substr(t, 1, pos - 1)) AS label, trim(substr(t, pos + 1)) AS value FROM cut WHERE colon
   UNION ALL SELECT order_key, line_no, k, array_to_string(w[1:k], ' '), array_to_string(w[k + 1:], ' ') FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM cut WHERE NOT colon)),
-distinct_labels AS (SELECT DISTINCT label, {_NORM.format("label")} AS target FROM labels),
-scored AS (SELECT label, key, ord, {_SCORE} AS score FROM distinct_labels, reg WHERE target <> ''),
-matched AS (SELECT label, arg_max(key, (score, -ord)) AS key, max(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY label),
+distinct_labels AS MATERIALIZED (SELECT DISTINCT label, {_NORM.format("label")} AS target FROM labels),
+scored AS MATERIALIZED (SELECT label, key, ord, {_SCORE} AS score FROM distinct_labels, reg WHERE target <> ''),
+matched AS MATERIALIZED (SELECT label, arg_max(key, (score, -ord)) AS key, max(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY label),
 hits AS (SELECT l.*, m.key, m.score FROM labels l JOIN matched m ON m.label = l.label WHERE l.k IS NULL OR m.score >= 0.8),
 parsed AS (
   SELECT c.order_key, c.line_no, h.key, h.score, CASE WHEN c.colon THEN trim(substr(c.t, 1, c.pos - 1)) ELSE coalesce(h.label, '') END AS label, CASE WHEN c.colon THEN trim(substr(c.t, c.pos + 1)) ELSE coalesce(h.value, c.t) END AS value
@@ -51,10 +52,15 @@ said AS (SELECT *, CASE WHEN kind = 'value' THEN key WHEN kind = 'orphan' AND pk
 placed AS (SELECT *, CASE WHEN dest IS NOT NULL THEN row_number() OVER (PARTITION BY order_key, dest ORDER BY line_no) END AS nth FROM said)"""
 
 
+def _documents(spark, d):
+    """Parsed lines of each order, within its row."""
+    docs = B.receipt_documents(spark, d).withColumn("t", F.transform("lines", lambda x: x["text"]))
+    return receipts.parse_lines(docs, "t", B.REGISTRY)
+
+
 def _parsed(spark, d):
-    lines = B.receipt_lines(spark, d).groupBy("order_key").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-    p = receipts.parse_lines(lines.withColumn("t", F.transform("l", lambda x: x["text"])), "t", B.REGISTRY)
-    return p.select("order_key", F.explode("parsed").alias("p"), "l").select("order_key", F.get("l", F.col("p.line_no") - 1)["line_no"].alias("line_no"), "p.key", "p.score", "p.label", "p.value")
+    p = _documents(spark, d)
+    return p.select("order_key", F.explode("parsed").alias("p"), "lines").select("order_key", F.get("lines", F.col("p.line_no") - 1)["line_no"].alias("line_no"), "p.key", "p.score", "p.label", "p.value")
 
 
 @query(_PARSED + " SELECT order_key, line_no, key, round(score, 6) AS score, label, value FROM parsed")
@@ -72,12 +78,11 @@ def unmapped_lines(spark, d):
     return receipts.fold_lines(_parsed(spark, d), "order_key")[1]
 
 
-@query(_PARSED + " SELECT order_key, count(*) AS fields FROM placed WHERE nth = 1 GROUP BY order_key")
+@query(_PARSED + " SELECT order_key, list(dest || '=' || value ORDER BY dest) AS fields FROM placed WHERE nth = 1 GROUP BY order_key")
 def receipt_records(spark, d):
     """The fold within the row instead of over exploded lines."""
-    lines = B.receipt_lines(spark, d).groupBy("order_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("t"))
-    p = receipts.parse_lines(lines, "t", B.REGISTRY).withColumn("f", receipts.fold_in_row(F.col("parsed")))
-    return p.select("order_key", F.size("f.fields").cast("long").alias("fields"))
+    p = _documents(spark, d).withColumn("f", receipts.fold_in_row(F.col("parsed")))
+    return p.select("order_key", F.array_sort(F.transform(F.map_entries("f.fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("fields"))
 
 
 @query(
@@ -181,12 +186,13 @@ def document_confidence(spark, d):
 
 @query(
     "WITH " + _FIELDS_SQL
-    + """, g AS (SELECT doc_id // 10 AS doc_id, list(key ORDER BY doc_id) FILTER (required AND trim(value) = '') AS miss, floor(avg(confidence) FILTER (required) + 0.5)::INT AS c, list(key ORDER BY doc_id) FILTER (required AND status IN ('warning', 'review')) AS unsure FROM s GROUP BY 1)
-SELECT doc_id, c AS document_confidence, coalesce(len(miss), 0) + coalesce(len(unsure), 0) + CASE WHEN c < 82 THEN 1 ELSE 0 END AS reasons, coalesce(len(miss), 0) + coalesce(len(unsure), 0) + CASE WHEN c < 82 THEN 1 ELSE 0 END > 0 AS fallback FROM g"""
+    + """, g AS (SELECT doc_id // 10 AS doc_id, coalesce(list('필수 항목 누락: ' || key ORDER BY doc_id) FILTER (required AND trim(value) = ''), []) AS miss, floor(avg(confidence) FILTER (required) + 0.5)::INT AS c,
+  coalesce(list('필수 항목 확인 필요: ' || key ORDER BY doc_id) FILTER (required AND status IN ('warning', 'review')), []) AS unsure FROM s GROUP BY 1), r AS (SELECT doc_id, c, miss || CASE WHEN c < 82 THEN ['문서 신뢰도 낮음: ' || c || '%'] ELSE [] END || unsure AS reasons FROM g)
+SELECT doc_id, c AS document_confidence, reasons, len(reasons) > 0 AS fallback FROM r"""
 )
 def ocr_enrichment(spark, d):
     f = _fields(spark, d).withColumns({"ord": F.col("doc_id"), "label": F.col("key"), "source": F.lit("")}).withColumn("doc_id", F.floor(F.col("doc_id") / 10))
-    return receipts.enrich(f).select("doc_id", "document_confidence", F.size("reasons").alias("reasons"), "fallback")
+    return receipts.enrich(f).select("doc_id", "document_confidence", "reasons", "fallback")
 
 
 @query(
@@ -216,13 +222,16 @@ def parse_receipts(spark, d):
     return receipts.parse_receipts(_korean(spark, d)).select("doc_id", "key", "value", "confidence", "status")
 
 
-@query("SELECT c_nationkey AS route, count(*) AS stops, count(*) * (count(*) + 1) // 2 AS visits FROM customer GROUP BY c_nationkey")
-def nearest_neighbor_totals(spark, d):
-    t = routing.nearest_neighbor(B.stops(spark, d))
-    return t.groupBy("route").agg(F.count_distinct("ord").alias("stops"), F.sum("visit").alias("visits"))
+_TOUR = """WITH RECURSIVE s AS MATERIALIZED (SELECT c_nationkey AS route, c_custkey AS ord, 37.4 + (c_custkey * 7919 % 1000) / 4000.0::DOUBLE AS lat, 126.8 + (c_custkey * 104729 % 1000) / 4000.0::DOUBLE AS lon FROM customer),
+t(route, seen, ord, lat, lon, visit) AS (
+  SELECT DISTINCT route, []::BIGINT[], NULL::BIGINT, 37.5033::DOUBLE, 127.0442::DOUBLE, 0::BIGINT FROM s
+  UNION ALL
+  SELECT route, list_append(seen, x.ord), x.ord, x.lat, x.lon, visit + 1 FROM (
+    SELECT t.route, t.seen, t.visit, arg_min({'ord': s.ord, 'lat': s.lat, 'lon': s.lon}, (pow(sin(radians(s.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - t.lon) / 2), 2), s.ord)) AS x
+    FROM t JOIN s ON s.route = t.route AND NOT list_contains(t.seen, s.ord) GROUP BY t.route, t.seen, t.visit))"""
 
 
-@query()
+@query(_TOUR + " SELECT route, ord, visit FROM t WHERE visit > 0")
 def nearest_neighbor_route(spark, d):
     return routing.nearest_neighbor(B.stops(spark, d))
 
@@ -284,7 +293,14 @@ def spatial_candidates(spark, d):
     return spatial.field_candidates(_boxes(spark, d).withColumn("text", text).withColumn("confidence", F.lit(70.0)), 2026).select("doc_id", "key", "value", "confidence", "place")
 
 
-@query()
+@query(
+    _BOXES
+    + """, ok AS (SELECT doc_id, x + width / 2 AS cx, y + height / 2 AS cy, height FROM b), size AS (SELECT doc_id, count(*) AS n, greatest(1.0::DOUBLE, quantile_cont(height, 0.5) * 0.6::DOUBLE) AS bucket FROM ok GROUP BY doc_id),
+turned AS (SELECT ok.doc_id, deg, floor((cy * cos(radians(deg)) - cx * sin(radians(deg))) / bucket + 0.5) AS place FROM ok JOIN size ON size.doc_id = ok.doc_id, (SELECT -20 + i * 0.5::DOUBLE AS deg FROM range(0, 81) r(i)) WHERE n >= 6),
+scores AS (SELECT doc_id, deg, sum(c * c)::BIGINT AS score FROM (SELECT doc_id, deg, place, count(*) AS c FROM turned GROUP BY ALL) GROUP BY doc_id, deg),
+best AS (SELECT doc_id, arg_max(deg, (score, -deg)) AS deg, max(score) AS score, max(score) FILTER (deg = 0) AS zero FROM scores GROUP BY doc_id)
+SELECT s.doc_id, round(b.deg, 2) AS degrees, abs(b.deg) >= 1.5 AND (b.score - b.zero) / b.zero::DOUBLE >= 0.02 AS confident, n AS sample_lines FROM size s JOIN best b ON b.doc_id = s.doc_id"""
+)
 def skew_estimate(spark, d):
     return spatial.skew(_boxes(spark, d))
 
@@ -340,18 +356,19 @@ def provenance_report(spark, d):
     return venues.provenance(B.read(spark, d, "part").select(F.when(s % 4 == 0, "localdata").when(s % 4 == 1, "official").when(s % 4 == 2, "web").alias("source"), F.when(s % 3 == 0, "funeral").otherwise("wedding").alias("type")))
 
 
-_EVAL = """WITH g AS (SELECT item_id, 'brand ' || item_id || ' [x] Type-' || (item_id * 7 % 13) || ' | steel' AS golden, CASE WHEN item_id % 9 = 0 THEN NULL WHEN item_id % 2 = 0 THEN 'brand ' || item_id || ' type ' || (item_id * 7 % 13) || ' stel' ELSE 'brand' || item_id END AS prediction FROM benchmark),
-n AS (SELECT *, regexp_replace(regexp_replace(lower(golden), '\\[[^\\]\\n]+\\]', '', 'g'), '[\\s|]', '', 'g') AS gc, regexp_replace(lower(coalesce(prediction, '')), '[\\s|]', '', 'g') AS pc,
-  list_filter(string_split(trim(regexp_replace(regexp_replace(lower(golden), '\\[[^\\]\\n]+\\]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda t: t <> '') AS toks, trim(regexp_replace(lower(coalesce(prediction, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS pt FROM g),
+_EVAL = """WITH g AS (SELECT item_id, regexp_replace(b.text, '[^\\x00-\\x7F]', '?', 'g') AS golden, regexp_replace(d.text, '[^\\x00-\\x7F]', '?', 'g') AS prediction FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
+u AS (SELECT item_id, regexp_replace(golden, '\\[[^\\]\\n]+\\]', '', 'g') AS golden, regexp_replace(coalesce(prediction, ''), '\\[[^\\]\\n]+\\]', '', 'g') AS prediction FROM g),
+n AS (SELECT item_id, regexp_replace(lower(golden), '[\\s|\\x0B]', '', 'g') AS gc, regexp_replace(lower(prediction), '[\\s|\\x0B]', '', 'g') AS pc,
+  list_filter(string_split(trim(regexp_replace(lower(golden), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda t: t <> '') AS toks, trim(regexp_replace(lower(prediction), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS pt FROM u),
 s AS (SELECT item_id, pc = '' AS empty, length(gc) AS golden_chars, levenshtein(pc, gc) AS distance, round(levenshtein(pc, gc) / length(gc)::DOUBLE, 4) AS cer, round(len(list_filter(toks, lambda t: contains(pt, t))) / len(toks)::DOUBLE, 4) AS coverage FROM n)"""
 
 
 def _samples(spark, d):
-    i = F.col("item_id")
-    s = lambda c: c.cast("string")
-    golden = F.concat(F.lit("brand "), s(i), F.lit(" [x] Type-"), s(i * 7 % 13), F.lit(" | steel"))
-    pred = F.when(i % 9 == 0, None).when(i % 2 == 0, F.concat(F.lit("brand "), s(i), F.lit(" type "), s(i * 7 % 13), F.lit(" stel"))).otherwise(F.concat(F.lit("brand"), s(i)))
-    return evaluation.score_samples(B.read(spark, d, "benchmark").select("item_id", golden.alias("golden"), pred.alias("prediction")))
+    """Whole benchmark texts against whole documents of the same number; other than ASCII is '?', as SQL counts bytes."""
+    ascii_only = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    docs = B.read(spark, d, "documents").select(F.col("doc_id").alias("item_id"), ascii_only("text").alias("prediction"))
+    g = B.read(spark, d, "benchmark").select("item_id", ascii_only("text").alias("golden")).join(docs, "item_id", "left")
+    return evaluation.score_samples(g)
 
 
 @query(_EVAL + " SELECT * FROM s")
@@ -364,15 +381,16 @@ def cer_report(spark, d):
     return evaluation.summarize(_samples(spark, d), 0.45)
 
 
-_GRID = """WITH grid AS (SELECT a * 3 + b AS config, a AS left_slack, b AS right_grow FROM range(0, 3) t(a), range(0, 3) u(b)), r AS (SELECT g.*, l.doc_id AS sample, (l.doc_id * (config + 1)) % 4 AS required, (l.doc_id + config) % 9 AS populated, (l.doc_id * 7 + config * config) % 5 AS hits, 50 + (l.doc_id * 3 + config * 11) % 40 AS confidence FROM labels l, grid g)"""
+_GRID = """WITH grid AS (SELECT a * 3 + b AS config, a AS left_slack, b AS right_grow FROM range(0, 3) t(a), range(0, 3) u(b)), r AS (SELECT g.*, l.doc_id AS sample, (x * (config + 1)) % 4 AS required, (x + config) % 9 AS populated, (x * 7 + config * config) % 5 AS hits, 50 + (x * 3 + config * 11) % 40 AS confidence FROM (SELECT l.doc_id, len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) AS x FROM labels l JOIN documents d ON d.doc_id = l.doc_id) l, grid g)"""
 
 
 def _grid(spark, d):
+    """Nine configurations on the labelled documents; what they score follows from the number of words."""
     g = spark.range(9).select(F.col("id").alias("config"), F.floor(F.col("id") / 3).alias("left_slack"), (F.col("id") % 3).alias("right_grow"))
-    x, c = F.col("sample"), F.col("config")
-    return B.read(spark, d, "labels").select(F.col("doc_id").alias("sample")).join(F.broadcast(g)).withColumns(  # nine configurations
-        {"required": x * (c + 1) % 4, "populated": (x + c) % 9, "hits": (x * 7 + c * c) % 5, "confidence": F.lit(50) + (x * 3 + c * 11) % 40}
-    )
+    x, c = F.col("x"), F.col("config")
+    words = B.read(spark, d, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("x"))
+    labelled = B.read(spark, d, "labels").select("doc_id").join(words, "doc_id").withColumnRenamed("doc_id", "sample")
+    return labelled.join(F.broadcast(g)).withColumns({"required": x * (c + 1) % 4, "populated": (x + c) % 9, "hits": (x * 7 + c * c) % 5, "confidence": F.lit(50) + (x * 3 + c * 11) % 40}).drop("x")
 
 
 @query(_GRID + " SELECT config, sum(required)::BIGINT AS required, sum(populated)::BIGINT AS populated, sum(hits)::BIGINT AS hits, round(avg(confidence), 6) AS confidence, round(sum(required) * 120 + sum(populated) * 18 + sum(hits) * 28 + round(avg(confidence), 6), 6) AS score FROM r GROUP BY config")
@@ -438,8 +456,20 @@ def _pixels(spark, d):
     return e.select("image", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), g.alias("red"), g.alias("green"), g.alias("blue"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id AS image, unnest(range(0, 64)) AS i, embedding AS v FROM embeddings), p AS (SELECT image, i % 8 AS x, i // 8 AS y, floor(abs(v[i + 1]::DOUBLE) * 900)::INT % 256 AS g FROM e), l AS (SELECT *, (g * 0.299::DOUBLE + g * 0.587::DOUBLE + g * 0.114::DOUBLE) / 255 AS lum FROM p),
+n AS (SELECT *, lag(lum) OVER (PARTITION BY image, y ORDER BY x) + lead(lum) OVER (PARTITION BY image, y ORDER BY x) + lag(lum) OVER (PARTITION BY image, x ORDER BY y) + lead(lum) OVER (PARTITION BY image, x ORDER BY y) - lum * 4 AS lap FROM l),
+s AS (SELECT image, avg(lum) AS mean, sqrt(var_pop(lum)) AS tile, avg((lum < 0.18)::INT) AS dark, avg((lum > 0.94)::INT) AS blown, avg((lum > 0.48)::INT) AS paper, var_pop(lap) * 255 * 255 AS sharp,
+  (max(x) FILTER (lum > 0.48) - min(x) FILTER (lum > 0.48) + 1) * (max(y) FILTER (lum > 0.48) - min(y) FILTER (lum > 0.48) + 1) / 64.0::DOUBLE AS box,
+  degrees(atan2(covar_pop(x, y) FILTER (lum > 0.48) * 2, var_pop(x) FILTER (lum > 0.48) - var_pop(y) FILTER (lum > 0.48))) / 2 AS angle FROM n GROUP BY image),
+t AS (SELECT *, CASE WHEN paper > 0.035 AND box IS NOT NULL THEN box ELSE 0 END AS bx, CASE WHEN paper > 0.035 AND box IS NOT NULL THEN abs(angle) % 90 END AS off FROM s),
+q AS (SELECT image, floor(greatest(0, least(100, log10(sharp + 1) * 34)) + 0.5) AS blur, floor(greatest(0, least(100, 100 - CASE WHEN mean < 0.66 THEN (0.66 - mean) * 150 ELSE (mean - 0.66) * 55 END - dark * 65 - blown * 20)) + 0.5) AS brightness,
+  CASE WHEN paper < 0.04 THEN 20 WHEN bx < 0.22 THEN floor(bx * 180 + 0.5) WHEN bx > 0.98 THEN 88 ELSE floor(least(100, bx * 55 + 52) + 0.5) END AS coverage, CASE WHEN off IS NULL THEN 35 ELSE floor(greatest(0, least(100, 100 - least(off, 90 - off) * 5.5)) + 0.5) END AS skew, floor(greatest(0, least(100, 100 - tile * 185)) + 0.5) AS shadow FROM t),
+z AS (SELECT *, floor(blur * 0.27::DOUBLE + brightness * 0.22::DOUBLE + coverage * 0.23::DOUBLE + skew * 0.12::DOUBLE + shadow * 0.16::DOUBLE + 0.5) AS score FROM q)
+SELECT image, score, blur, brightness, coverage::DOUBLE AS coverage, skew::DOUBLE AS skew, shadow, score >= 68 AND blur >= 50 AND brightness >= 50 AND coverage >= 50 AS passed FROM z"""
+)
 def image_quality_scores(spark, d):
+    """Images too small for tiles, so the spread over tiles is that of the pixels; tiles have a unit test."""
     return imaging.quality(imaging.pixel_statistics(_pixels(spark, d))).select("image", "score", "blur", "brightness", "coverage", "skew", "shadow", "passed")
 
 
@@ -461,15 +491,34 @@ def _frames(spark, d):
     return B.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), e.cast("string").alias("frame_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("captured_ms"), (e % 11 != 0).alias("passed"), (e % 900).alias("processing_ms"), found.alias("found"))
 
 
-@query()
+_LIVE = """WITH RECURSIVE f AS MATERIALIZED (
+  SELECT user_id::VARCHAR AS session, event_id::VARCHAR AS frame_id, epoch_ms(ts) AS now_ms, event_id % 11 <> 0 AS passed, event_id % 900 AS busy, 'v' || (floor(value)::BIGINT % 3) AS v, (60 + floor(value)::BIGINT % 40)::DOUBLE AS mc, event_id % 5 <> 0 AS tel, event_id % 7 <> 0 AS addr,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id::VARCHAR) AS n FROM events),
+t AS (
+  SELECT DISTINCT session, 0::BIGINT AS n, NULL::BIGINT AS last_ms, NULL::BIGINT AS till_ms, '' AS mv, 0.0::DOUBLE AS mc, 0 AS ms, '' AS av, 0 AS ac, 0 AS a_s, 0 AS ps, NULL::VARCHAR AS frame_id, NULL::BIGINT AS at_ms, NULL::VARCHAR AS decision FROM f
+  UNION ALL
+  SELECT session, n, CASE WHEN skipped THEN last_ms ELSE now_ms END, CASE WHEN runs THEN now_ms + busy ELSE till_ms END, CASE WHEN m THEN v ELSE mv END, CASE WHEN m THEN greatest(mc, fmc) ELSE mc END, CASE WHEN m THEN CASE WHEN v = mv THEN ms + 1 ELSE 1 END ELSE ms END,
+    CASE WHEN a THEN v ELSE av END, CASE WHEN a THEN 82 ELSE ac END, CASE WHEN a THEN CASE WHEN v = av THEN a_s + 1 ELSE 1 END ELSE a_s END, CASE WHEN p THEN ps + 1 ELSE ps END, frame_id, now_ms,
+    CASE WHEN too_early THEN 'skipped-interval' WHEN skipped THEN 'skipped-busy' WHEN NOT runs THEN 'rejected-quality' WHEN CASE WHEN m THEN CASE WHEN v = mv THEN ms + 1 ELSE 1 END ELSE ms END >= 2 AND CASE WHEN a THEN CASE WHEN v = av THEN a_s + 1 ELSE 1 END ELSE a_s END >= 2 AND CASE WHEN p THEN ps + 1 ELSE ps END >= 2 THEN 'ready' ELSE 'accepted' END
+  FROM (SELECT *, runs AND ms < 2 AND fmc >= 85 AND (mv = '' OR v = mv OR fmc > mc) AS m, runs AND a_s < 2 AND addr AND (av = '' OR v = av OR 82 > ac) AS a, runs AND ps < 2 AND tel AS p FROM (
+    SELECT x.*, NOT skipped AND passed AS runs FROM (
+      SELECT t.session, f.n, t.last_ms, t.till_ms, t.mv, t.mc, t.ms, t.av, t.ac, t.a_s, t.ps, f.frame_id, f.now_ms, f.passed, f.busy, f.v, f.mc AS fmc, f.tel, f.addr, coalesce(f.now_ms - t.last_ms < 500, false) AS too_early, coalesce(f.now_ms - t.last_ms < 500, false) OR coalesce(f.now_ms < t.till_ms, false) AS skipped
+      FROM t JOIN f ON f.session = t.session AND f.n = t.n + 1) x))),
+d AS (SELECT session, n, at_ms, frame_id, decision, (ms >= 2)::INT + (a_s >= 2)::INT + (ps >= 2)::INT AS locked FROM t WHERE n > 0)"""
+
+
+@query(_LIVE + " SELECT session, frame_id, decision, locked::BIGINT AS locked, locked = 3 AS ready FROM d")
 def live_session(spark, d):
     return live.batch(_frames(spark, d)).select("session", "frame_id", "decision", "locked", "ready")
 
 
-@query("SELECT user_id::VARCHAR AS session, count(*) AS frames FROM events GROUP BY user_id")
+@query(
+    _LIVE
+    + """ SELECT session, arg_max(locked, (at_ms, frame_id))::BIGINT AS locked, arg_max(locked, (at_ms, frame_id)) = 3 AS ready, count(*) AS frames, count(*) FILTER (decision = 'skipped-interval') AS skipped_interval, count(*) FILTER (decision = 'skipped-busy') AS skipped_busy,
+  count(*) FILTER (decision = 'rejected-quality') AS rejected_quality, count(*) FILTER (decision = 'accepted') AS accepted FROM d GROUP BY session"""
+)
 def live_session_totals(spark, d):
-    s = live.summary(live.batch(_frames(spark, d)))
-    return s.select("session", F.col("frames"))
+    return live.summary(live.batch(_frames(spark, d)))
 
 
 @query(

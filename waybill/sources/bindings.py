@@ -162,11 +162,10 @@ LINES = (
 )
 
 
-def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label and value lines rendered from orders: (order_key, line_no, text)."""
-    o = orders(spark, sf_dir)
+def receipt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label and value lines rendered from orders, an array for each: (order_key, lines array<struct(line_no, text)>)."""
     rendered = F.array(*[F.when(F.expr(cond), F.struct(F.lit(no).alias("line_no"), F.expr(text).alias("text"))) for no, cond, text in LINES])
-    return o.select("order_key", F.explode(F.filter(rendered, lambda x: x["text"].isNotNull())).alias("l")).select("order_key", "l.line_no", "l.text")
+    return orders(spark, sf_dir).select("order_key", F.filter(rendered, lambda x: x["text"].isNotNull()).alias("lines"))
 
 
 #: Alias table of the rendered receipts: key, label and aliases in order.
