@@ -502,7 +502,7 @@ def contract(spark: SparkSession, parts: DataFrame | None, links: DataFrame, scr
     ends = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     joined = connected_components(spark, ends, scratch)
     moved = parts.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    out = scratch.put(moved.unionByName(joined.join(parts.select("node"), "node", "left_anti")))
+    out = scratch.put(moved.unionByName(joined.join(parts.select("node"), "node", "left_anti")).coalesce(spark.sparkContext.defaultParallelism))
     scratch.drop(joined, parts)
     return out
 
@@ -510,16 +510,19 @@ def contract(spark: SparkSession, parts: DataFrame | None, links: DataFrame, scr
 def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, of: int = 100, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """members (doc_id, d, size) and components (node, root) of the sets that have a link."""
     scratch = scratch or Scratch(spark)
+    # tables of a few numbers a row: as many files as there are cores, whatever the number of partitions before
+    cores = spark.sparkContext.defaultParallelism
+    small = lambda df: scratch.put(df.coalesce(cores))
     freq = count_shingles(spark, docs, k)
     indexed = scratch.put(index(spark, docs, freq, k, at_least, of))
-    members = scratch.put(indexed.where("shingle is null").select("doc_id", "d", "size"))
+    members = small(indexed.where("shingle is null").select("doc_id", "d", "size"))
     listed = scratch.put(candidates(indexed.where("shingle is not null"), at_least, of))
     scratch.drop(indexed)
     pairs = listed.where("b is not null").select("a", "b").distinct()
     long_lists = listed.where("shingle is not null").select("shingle", F.col("a").alias("d"), "size", "place")
     wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long_lists.select(F.col("d").alias("a"))).distinct()
     one = members.groupBy("d").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.put(one.join(wanted.withColumnRenamed("a", "d"), "d"))
+    wanted = small(one.join(wanted.withColumnRenamed("a", "d"), "d"))
     texts = fetch(spark, docs, wanted, scratch)
     scratch.drop(wanted)
 
@@ -529,17 +532,17 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, at_least: int = 80, o
     # lists whose sets are all of one component are answered
     led = long_lists.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
     unanswered = led.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
-    kept = scratch.put(long_lists.join(unanswered, "shingle"))
-    bits = scratch.put(sketches(texts.join(kept.select("d").distinct(), "d", "left_semi"), k))
+    kept = small(long_lists.join(unanswered, "shingle"))
+    bits = sketches(texts.join(kept.select("d").distinct(), "d", "left_semi"), k)
     dealt = scratch.put(cells(kept.join(bits, "d"), at_least, of))
-    scratch.drop(listed, kept, bits)
+    scratch.drop(listed, kept)
     seen, tries = [tried], 1
     while True:
-        found = scratch.put(across(dealt, parts, at_least, of, tries))
+        found = small(across(dealt, parts, at_least, of, tries))
         known = seen[0].select("a", "b")
         for t in seen[1:]:
             known = known.unionByName(t.select("a", "b"))
-        tried = scratch.put(compare(found.where("a is not null").join(known, ["a", "b"], "left_anti"), texts, k))
+        tried = small(compare(found.where("a is not null").join(known, ["a", "b"], "left_anti"), texts, k))
         asked, new, cut = tried.count(), tried.where(linked).count(), not found.where("a is null").isEmpty()
         scratch.drop(found)
         if not asked and not cut:
