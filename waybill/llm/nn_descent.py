@@ -365,7 +365,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     graph = scratch.put(nearest(forest(nodes, depth, range(trees), k).withColumn("k", F.lit(k))).withColumn("fresh", F.lit(True)))
     turn = 0
     while True:
-        for _ in range(rounds):
+        # a larger list needs one round to fill: what is new in it meets all neighbours at once
+        for _ in range(1 if turn else rounds):
             nxt = descend(nodes, graph, k, scratch, turn)
             scratch.drop(graph)
             graph, turn = nxt, turn + 1
