@@ -327,6 +327,34 @@ def test_secret_names_with_prefix_and_suffix(spark, forest):
     assert masked(spark, forest, plain) == plain
 
 
+#: Words as a corpus has them, and forms of secrets and of others that no seed has.
+CORPUS_WORDS = ["delivery", "system", "between", "network", "reading", "account", "private", "morning", "station", "library", "garden", "winter", "letter", "engine", "silver", "window"]
+
+
+def held_out_forms(n=60):
+    import random
+
+    rng = random.Random(13)
+    run = lambda k, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(a) for _ in range(k))
+    word = lambda: rng.choice(CORPUS_WORDS)
+    yes = [lambda: f"slack xoxb-{run(12, '0123456789')}-{run(24)} here", lambda: f"export GITLAB_TOKEN=glpat-{run(20)} done", lambda: f"npm_{run(36)} in the file", lambda: f'"aws_secret_access_key": "{run(40)}" end', lambda: f"client_secret={run(6)}~{run(28)} end"]
+    no = [lambda: f"see {word()}-{word()}-{word()}-{word()} for more", lambda: f"the function {word()}_{word()}_{word()}_{word()}(x)", lambda: f"open /{word()}/{word()}/{word()}/{word()}.txt now", lambda: f"revision: {run(40, '0123456789abcdef')} merged", lambda: f"token: {word()}, and so on", lambda: f"{word()}{word().title()}{word().title()}{word().title()} was called"]
+    return [(f(), 1) for f in yes for _ in range(n)] + [(f(), 0) for f in no for _ in range(n)]
+
+
+def test_forest_on_forms_it_has_not_seen(spark):
+    corpus_docs = spark.createDataFrame([(i, " ".join(CORPUS_WORDS)) for i in range(3)] + [(9, "once only")], "doc_id long, text string")
+    words = secret_scan.dictionary(corpus_docs)
+    assert sorted(words) == sorted(CORPUS_WORDS) and secret_scan.dictionary(corpus_docs, 3) == sorted(CORPUS_WORDS)[:3] and secret_scan.dictionary(corpus_docs.limit(0)) == []
+    model = secret_scan.fit(secret_scan.seed_findings(spark, 120, words), words)
+    cases = held_out_forms()
+    found = {r.doc_id for r in secret_scan.findings(secret_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"), model)).where("secret").collect()}
+    hit = [i in found for i, _ in enumerate(cases)]
+    truth = [y == 1 for _, y in cases]
+    precision, recall = sum(h and t for h, t in zip(hit, truth, strict=True)) / max(1, sum(hit)), sum(h and t for h, t in zip(hit, truth, strict=True)) / sum(truth)
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
+
+
 def test_forest_as_expression(spark, forest):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array

@@ -2,8 +2,9 @@
 
 Candidates are long runs of token characters and shorter values that are assigned to a secret-like name. A random forest
 (Spark's own, fitted in the JVM) judges each by its length, character classes and transitions between them, how much of
-it is made of common letter groups, whether it looks like a path, and the words beside it. The fitted trees are turned
-into one column expression, so that finding, judging and masking are a projection over the scan: no join, no shuffle,
+it is made of words of a dictionary and of common letter groups, whether it looks like a path, and the words beside it.
+The dictionary is the corpus's own: the words that most documents have, counted over all of them. The fitted trees are
+turned into one column expression, so that finding, judging and masking are a projection over the scan: no join, no shuffle,
 and no text leaves its row.
 
 The forest learns from labelled findings (before, value, after, label). Without any of your own, ``seed_findings`` makes
@@ -16,7 +17,7 @@ of the value, never the value; repeated rows are scanned one by one; an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -45,8 +46,11 @@ CONTEXT = 40
 #: Letter groups that words of European languages are made of.
 GROUPS = "tion|ing|ent|ment|the|and|ion|ed|er|es|en|on|an|in|re|at|or|ch|ou|le|de|te|st|th|ie|ei|sch|ver|ung|ado|aci|qu|que|un|eau|eux|la|os|as|be|ge|is|it|to|al|ar|ha|nd|nt|ly|ble"
 
+#: Words of the dictionary: the list is collected and becomes part of the expression.
+MOST_WORDS, LEAST_LETTERS = 2000, 4
+
 FEATURES = (
-    "length", "digits", "upper", "lower", "symbols", "turns", "distinct", "coverage", "vowels", "longest", "hex", "path", "named", "hashed", "quoted", "placeholder",
+    "length", "digits", "upper", "lower", "symbols", "turns", "distinct", "known", "coverage", "vowels", "longest", "hex", "path", "named", "hashed", "quoted", "placeholder",
 )
 
 
@@ -54,7 +58,22 @@ def _share(c: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(c, F.lit(f"[^{pattern}]"), F.lit(""))) / F.length(c)
 
 
-def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
+def dictionary(docs: DataFrame, most: int = MOST_WORDS, text: str = "text") -> list[str]:
+    """The ``most`` words of four letters or more that occur in most documents, two at least; equal counts by the word."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"[a-z]{{{LEAST_LETTERS},}}"), 0))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def known_share(value: Column, words: Sequence[str]) -> Column:
+    """Share of a value that is words of the dictionary: runs of letters, cut where a capital follows a small letter."""
+    if not words:
+        return F.lit(0.0)
+    runs = F.transform(F.split(value, "[^A-Za-z]+|(?<=[a-z])(?=[A-Z])"), F.lower)
+    return F.aggregate(F.filter(runs, lambda x: x.isin(*words)), F.lit(0), lambda n, x: n + F.length(x)) / F.length(value)
+
+
+def features(before: Column, value: Column, after: Column, words: Sequence[str] = ()) -> dict[str, Column]:
     """What the forest sees of a candidate and the text beside it, as doubles."""
     low = F.lower(value)
     groups = F.regexp_replace(low, F.lit(GROUPS), F.lit(""))
@@ -70,6 +89,7 @@ def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
         "symbols": 1.0 - _share(value, "A-Za-z0-9"),
         "turns": turns / F.length(value),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
+        "known": known_share(value, words),
         "coverage": 1.0 - F.length(groups) / F.length(value),
         "vowels": _share(low, "aeiou"),
         "longest": runs.cast("double"),
@@ -83,8 +103,8 @@ def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
     }
 
 
-def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
-    """Labelled findings (before, value, after, label) of usual forms, the same on every run."""
+def seed_findings(spark: SparkSession, per_form: int = 400, words: Sequence[str] = ()) -> DataFrame:
+    """Labelled findings (before, value, after, label) of usual forms, the same on every run for the same dictionary."""
     h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")).cast("binary"), 256)
     pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.abs(F.xxhash64(F.lit(salt), "id")) % len(xs) + 1).cast("int"))
     b64 = lambda salt, n: F.substring(F.translate(F.base64(F.unhex(F.concat(h(salt), h(salt + "'")))), "=\r\n", "A"), 1, n)
@@ -127,6 +147,16 @@ def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
         (0, pick("d5", "the ", "and ", ""), F.array_join(F.array_repeat(word, size("d6", 2, 30)), "-"), F.lit(" ")),
         (0, pick("e5", "", " ", "\n"), F.repeat(pick("e6", "-", "_", "-+", "/"), size("e7", 20, 600)), F.lit(" ")),
     ]
+    if words:
+        # names and phrases of the corpus's own words
+        own = lambda salt: F.element_at(F.split(F.lit(" ".join(words)), " "), (F.abs(F.xxhash64(F.lit(salt), "id")) % len(words) + 1).cast("int"))
+        joined = lambda sep, *salts: F.concat_ws(sep, *[own(x) for x in salts])
+        forms += [
+            (0, pick("o1", "the ", "see ", "\n"), joined("-", "oa", "ob", "oc", "od", "oe"), F.lit(" ")),
+            (0, pick("o2", "call ", "name ", ""), joined("_", "of", "og", "oh", "oi", "oj"), F.lit("(")),
+            (0, pick("o3", "https://", "in ", "path: "), joined("/", "ok", "ol", "om", "on", "oo"), F.lit(" ")),
+            (0, F.concat(pick("o4", "token", "secret", "auth", "password"), F.lit(": ")), own("op"), pick("o5", ".", ",", " ")),
+        ]
     base = spark.range(0, per_form, 1, 1)
     rows = [base.select(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(float(y)).alias("label")) for y, b, v, a in forms]
     out = rows[0]
@@ -135,15 +165,24 @@ def seed_findings(spark: SparkSession, per_form: int = 400) -> DataFrame:
     return out
 
 
-def fit(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
-    seen = findings.select("label", *[c.cast("double").alias(k) for k, c in features(F.col("before"), F.col("value"), F.col("after")).items()])
+def fit(findings: DataFrame, words: Sequence[str] = (), trees: int = 20, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
+    """The forest; it keeps the dictionary that it was fitted with."""
+    seen = findings.select("label", *[c.cast("double").alias(k) for k, c in features(F.col("before"), F.col("value"), F.col("after"), words).items()])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen.coalesce(4)).select("features", "label").persist()
     try:
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(rows)
+        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(rows)
+        model.words = list(words)
+        return model
     finally:
         rows.unpersist()
 
 
+def learn(spark: SparkSession, docs: DataFrame) -> RandomForestClassificationModel:
+    """A forest fitted on the seed findings with the dictionary of ``docs``."""
+    words = dictionary(docs)
+    return fit(seed_findings(spark, words=words), words)
+
+
 def as_expression(model: RandomForestClassificationModel) -> Callable[[Column], Column]:
     """The forest as a function from a struct of FEATURES to the share of votes for label 1."""
 
@@ -180,7 +219,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
             F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["part"])).alias("start"), F.right(F.concat(a["tail"], x["part"]), F.lit(CONTEXT)).alias("before"), x["value"].alias("value"), F.left(x["rest"], F.lit(8)).alias("after")))).alias("out"),
         ),
     )["out"]
-    seen = F.transform(F.col(own["_spans"]), lambda x: F.struct(x.alias("span"), F.struct(*[c.cast("double").alias(k) for k, c in features(x["before"], x["value"], x["after"]).items()]).alias("f")))
+    seen = F.transform(F.col(own["_spans"]), lambda x: F.struct(x.alias("span"), F.struct(*[c.cast("double").alias(k) for k, c in features(x["before"], x["value"], x["after"], model.words).items()]).alias("f")))
     judged = F.transform(F.col(own["_seen"]), lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["value"].alias("value"), score(x["f"]).alias("score")))
     with_any = (t.contains("=") | t.contains(":") | t.rlike(HINT)) & t.rlike(CANDIDATE)
     return (
@@ -210,4 +249,5 @@ def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(scan(table(spark, sf_dir, "documents").select("doc_id", "text"), fit(seed_findings(spark))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return findings(scan(docs, learn(spark, docs)))
