@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked where they stand; no document goes. n_chars follows a changed text."""
     before = free("_before", docs.columns)
-    clean = secret_scan.redact(secret_scan.scan(docs.withColumn(before, F.col("text")), secret_scan.fit(secret_scan.seed_findings(spark))))
+    clean = secret_scan.redact(secret_scan.scan(docs.withColumn(before, F.col("text")), secret_scan.learn(spark, docs)))
     changed = ~F.col("text").eqNullSafe(F.col(before))
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
