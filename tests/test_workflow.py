@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.operators import finance, joins, pixels, registration, settings, venues
+from waybill.operators import finance, imaging, joins, pixels, registration, settings, venues
 from waybill.sources import files
 from waybill.streaming import live
 
@@ -233,6 +233,12 @@ def test_images_of_a_table(spark):
     assert (got["a"].width, got["a"].height, got["a"].values) == (2, 1, [3.5]) and got["b"].values is None and got["b"].error
 
 
+def test_ctc_text_is_composed(spark):
+    steps = spark.createDataFrame([(1, i, x) for i, x in enumerate([0, 1, 1, 0, 2, 2, 3])], "sequence int, step int, label int")
+    letters = F.array(F.lit("\u1112"), F.lit("\u1161"), F.lit("\u11ab"))
+    assert imaging.ctc_collapse(steps, dictionary=letters).first().text == "\ud55c"
+
+
 def test_session_reset(spark):
     found = [{"key": k, "value": v, "confidence": 95.0, "status": "confirmed", "errors": []} for k, v in (("venueName", "x"), ("deliveryAddress", "y"), ("recipientTel", "010-1234-5678"))]
     rows = [("s", str(i), 1000 * i, True, 10, found, i == 2) for i in range(1, 6)]

@@ -111,6 +111,11 @@ def proof_error(result: Column, reason: Column) -> Column:
     return F.when((result == "failed") & missing, "Failed delivery proof requires a failure reason.").when((result == "revisitNeeded") & missing, "Revisit proof requires a reason.")
 
 
+def clear_proof(orders: DataFrame, now: Column) -> DataFrame:
+    """Orders whose result is taken back: pending again, without proof and time of completion."""
+    return orders.withColumns({"status": F.lit("pending"), "proofOfDelivery": F.lit(None).cast(orders.schema["proofOfDelivery"].dataType), "schedule": F.col("schedule").withField("completedAt", F.lit(None).cast("string")), "updatedAt": now})
+
+
 def append_photo(proof_column: Column, uri: Column, now: Column) -> Column:
     """A photo is evidence, not a result: the status of an existing proof stays, a new one is pending."""
     fresh = F.struct(F.lit("pending").alias("status"), now.alias("recordedAt"), F.array(uri).alias("photoUris"))

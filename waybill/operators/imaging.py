@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.functions.semantics import round_half_up
+from waybill.functions.semantics import composed, round_half_up, trim_all
 
 # Constants of the quality formula (fixed values).
 IDEAL_BRIGHTNESS = 0.66
@@ -120,7 +120,11 @@ def ctc_collapse(steps: DataFrame, key: str = "sequence", step: str = "step", la
     w = Window.partitionBy(key).orderBy(step)
     kept = steps.withColumn("_p", F.lag(label).over(w)).where((F.col(label) != 0) & (F.col("_p").isNull() | (F.col("_p") != F.col(label))))
     out = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(step, label))), lambda x: x[label]).alias("labels"))
-    return out.withColumn("text", F.array_join(F.transform("labels", lambda i: F.get(dictionary, i - 1)), "")) if dictionary is not None else out
+    if dictionary is None:
+        return out
+    # letters that were read apart are joined to syllables
+    joined = out.withColumn("text", F.array_join(F.transform("labels", lambda i: F.get(dictionary, i - 1)), ""))
+    return joined.withColumn("text", trim_all(composed(F.col("text"), "NFC")))
 
 
 def step_probability(logits: Column) -> Column:

@@ -87,6 +87,14 @@ def select_candidate(df: DataFrame, chosen: Column) -> DataFrame:
     return df.withColumn("selected", F.when(there, chosen)).withColumn("status", F.when(there, "verified").otherwise(F.col("status")))
 
 
+def apply_selected(orders: DataFrame, verified: DataFrame) -> DataFrame:
+    """Orders (id, address, latitude, longitude) with the place of the chosen candidate (id, candidates, selected), if any."""
+    chosen = verified.where("selected is not null").select("id", F.get(F.filter("candidates", lambda c: c["id"] == F.col("selected")), 0).alias("_c"))
+    j = orders.join(chosen, "id", "left")
+    place = lambda name, field: F.when(F.col("_c").isNotNull(), F.col("_c")[field]).otherwise(F.col(name))
+    return j.withColumns({"address": place("address", "display"), "latitude": place("latitude", "latitude"), "longitude": place("longitude", "longitude")}).drop("_c")
+
+
 def trusted_destination(address: Column, latitude: Column, longitude: Column) -> Column:
     finite = lambda x: x.isNotNull() & ~F.isnan(x)
     return F.coalesce((address != "") & finite(latitude) & finite(longitude), F.lit(False))

@@ -310,6 +310,17 @@ def median_line_height(spark, d):
     return _boxes(spark, d).groupBy("doc_id").agg(F.percentile("height", 0.5).alias("median_height"))
 
 
+@query(
+    _BOXES
+    + """, c AS (SELECT *, x + width / 2 AS cx, y + height / 2 AS cy, x + width AS rt, y + height AS bt FROM b), pg AS (SELECT doc_id, max(rt) AS w, max(bt) AS h FROM c GROUP BY doc_id)
+SELECT a.doc_id, 'productName' AS key, a.line_no AS a_line, k.line_no AS c_line FROM c a JOIN c k ON k.doc_id = a.doc_id AND k.line_no <> a.line_no JOIN pg ON pg.doc_id = a.doc_id
+  WHERE a.line_no % 4 = 0 AND k.cx BETWEEN a.rt - pg.w * 0.015 AND a.rt + pg.w * 0.55 AND k.cy BETWEEN a.cy - pg.h * 0.12 AND a.cy + pg.h * 0.07"""
+)
+def field_search_view(spark, d):
+    b = _boxes(spark, d).withColumn("text", F.when(F.col("line_no") % 4 == 0, "상품명").otherwise(F.concat(F.lit("t"), "line_no"))).withColumn("confidence", F.lit(70.0))
+    return spatial.inspect(b, ["productName", "memo"]).select("doc_id", "key", "a_line", "c_line")
+
+
 @query()
 def reading_order(spark, d):
     return spatial.reading_order(_boxes(spark, d).withColumn("text", F.concat(F.lit("t"), "line_no")))
@@ -521,6 +532,15 @@ def live_session_totals(spark, d):
     return live.summary(live.batch(_frames(spark, d)))
 
 
+@query(
+    _LIVE
+    + """, g AS (SELECT session, arg_max(locked, (at_ms, frame_id))::BIGINT AS locked, count(*) FILTER (decision = 'accepted') AS a, count(*) FILTER (decision = 'rejected-quality') AS r FROM d GROUP BY session)
+SELECT session, locked, 3 AS total, 3 - locked AS remaining, CASE WHEN a > 0 THEN a || '개 프레임 누적' WHEN r > 0 THEN r || '개 프레임 재촬영 필요' ELSE '프레임 대기 중' END AS frames, CASE WHEN a > 0 THEN '다음 프레임 촬영' ELSE '첫 프레임 촬영' END AS capture, locked || '/3' AS step FROM g"""
+)
+def live_presentation(spark, d):
+    return live.presentation(live.batch(_frames(spark, d)))
+
+
 @query(
     """WITH c AS (SELECT user_id AS session, event_id AS key, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'old' END AS value, event_id % 50 AS confidence FROM events WHERE event_type <> 'error' AND user_id % 4 <> 0),
 i AS (SELECT user_id AS session, event_id AS key, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'new' END AS value, event_id % 70 AS confidence FROM events WHERE event_type <> 'view')

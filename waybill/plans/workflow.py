@@ -430,6 +430,25 @@ def selected_candidates(spark, d):
     return routing.select_candidate(c, F.when(k % 3 == 0, "c1").otherwise("nowhere")).select("c_custkey", "selected", "status")
 
 
+@query(
+    "SELECT o_orderkey AS k, 'pending' AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'd' END AS deadline, NULL::VARCHAR AS completed, true AS cleared, 'now' AS updated FROM orders"
+)
+def cleared_proofs(spark, d):
+    k = F.col("o_orderkey")
+    o = B.read(spark, d, "orders").select(k.alias("k"), F.lit("completed").alias("status"), F.struct(F.when(k % 2 == 0, "d").alias("strictDeadlineAt"), F.lit("then").alias("completedAt")).alias("schedule"), F.struct(F.lit("completed").alias("status")).alias("proofOfDelivery"), F.lit("then").alias("updatedAt"))
+    c = changes.clear_proof(o, F.lit("now"))
+    return c.select("k", "status", F.col("schedule.strictDeadlineAt").alias("deadline"), F.col("schedule.completedAt").alias("completed"), F.col("proofOfDelivery").isNull().alias("cleared"), F.col("updatedAt").alias("updated"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'b' ELSE 'old' END AS address, CASE WHEN c_custkey % 3 = 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS latitude FROM customer")
+def applied_addresses(spark, d):
+    k = F.col("c_custkey")
+    c = B.read(spark, d, "customer")
+    place = lambda i, a, x: F.struct(F.lit(i).alias("id"), F.lit(a).alias("display"), F.lit(x).alias("latitude"), F.lit(x).alias("longitude"))
+    v = routing.select_candidate(c.select(k.alias("id"), F.lit("candidate").alias("status"), F.array(place("c0", "a", 1.0), place("c1", "b", 2.0)).alias("candidates")), F.when(F.col("id") % 3 == 0, "c1").otherwise("nowhere"))
+    return routing.apply_selected(c.select(k.alias("id"), F.lit("old").alias("address"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude")), v).select("id", "address", "latitude")
+
+
 @query("SELECT c_custkey, ['safe', 'safe', 'direct', 'direct', 'direct', NULL, NULL][c_custkey % 7 + 1] AS kind FROM customer")
 def phone_kinds(spark, d):
     k = F.col("c_custkey")

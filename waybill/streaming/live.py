@@ -140,6 +140,15 @@ def summary(decided: DataFrame) -> DataFrame:
     return decided.groupBy("session").agg(last, F.count("*").alias("frames"), *counts).select("session", "l.locked", "l.ready", "frames", "skipped_interval", "skipped_busy", "rejected_quality", "accepted")
 
 
+def presentation(decided: DataFrame) -> DataFrame:
+    """What a screen shows of each session: locked, total and remaining fields, and what to do next (texts are fixed values)."""
+    s = summary(decided).withColumn("taken", F.col("accepted") > 0)
+    total = len(FIELDS)
+    frames = F.when(F.col("taken"), F.concat(F.col("accepted").cast("string"), F.lit("개 프레임 누적"))).when(F.col("rejected_quality") > 0, F.concat(F.col("rejected_quality").cast("string"), F.lit("개 프레임 재촬영 필요"))).otherwise("프레임 대기 중")
+    left = F.greatest(F.lit(total) - F.col("locked"), F.lit(0))
+    return s.select("session", "locked", F.lit(total).alias("total"), left.alias("remaining"), frames.alias("frames"), F.when(F.col("taken"), "다음 프레임 촬영").otherwise("첫 프레임 촬영").alias("capture"), F.concat(F.col("locked").cast("string"), F.lit(f"/{total}")).alias("step"))
+
+
 def merge_fields(current: DataFrame, incoming: DataFrame, key: str = "key", by: Sequence[str] = ()) -> DataFrame:
     """Fields with incoming ones where those fill a blank or are surer.
 
