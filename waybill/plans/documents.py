@@ -91,7 +91,7 @@ b_registry AS ({B.CTES["b_registry"]}), reg AS (SELECT key, ord, {_NORM.format("
 SELECT t.label, arg_max(s.key, (s.score, -s.ord)) AS key, round(max(s.score), 6) AS score FROM t LEFT JOIN (SELECT * FROM scored WHERE score IS NOT NULL) s ON s.label = t.label GROUP BY t.label"""
 )
 def alias_best_match(spark, d):
-    a = B.read(spark, d, "customer").join(F.broadcast(B.read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lower("c_mktsegment"), F.lit(" "), "n_name").alias("label"))
+    a = B.read(spark, d, "customer").join(B.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lower("c_mktsegment"), F.lit(" "), "n_name").alias("label"))
     b = B.read(spark, d, "part").select(F.lower("p_type").alias("label"))
     c = spark.createDataFrame([(x,) for x in ("Shp", "delivry dat", "quantty", "adress", "prodct name", "recipient phon", "xyz")], "label string")
     m = receipts.match_field(F.col("label"), receipts.registry_literal(B.REGISTRY))

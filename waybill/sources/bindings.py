@@ -25,11 +25,9 @@ def iso(x: Column) -> Column:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery orders, flat: one per order, with its customer's address.
 
-    The customer join is left to Catalyst: at a large scale both sides are facts. Nation and region have 25 and 5 rows.
+    All joins are left to Catalyst, which knows the sizes: customers are facts at a large scale, nations and regions never.
     """
-    places = F.broadcast(
-        read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    )
+    places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     k = F.col("o_orderkey")
     return (
         read(spark, sf_dir, "orders")
@@ -62,7 +60,7 @@ def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
     return (
         read(spark, sf_dir, "nation")
-        .join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("r_name").alias("region"), F.col("n_name").alias("district"), ((F.lit(10000) + n * 500) * 100).cast("long").alias("fee_cents"), n.cast("int").alias("ord"))
     )
 
