@@ -380,6 +380,11 @@ def test_token_lengths(spark, odd):
     for r in token_counts.at_limits(hist, [0, 3, 7, 10**6]).collect():
         assert (r.total_tokens, r.truncated_total, r.docs_cut) == (sum(n), sum(min(x, r.limit) for x in n), sum(x > r.limit for x in n))
     assert token_counts.quantiles(hist, [0.5]).first().length == sorted(n)[3]
+    rows = {r.length: r for r in token_counts.answers(hist, [3, 7, max(n), 10**6], [0.5, 1.0]).collect()}
+    assert set(rows) == set(n) | {3, 7, 10**6}
+    for k, r in rows.items():
+        assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.truncated_total) == (n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k), sum(min(x, k) for x in n))
+    assert [k for k, r in rows.items() if 0.5 in r.quantiles] == [sorted(n)[3]] and rows[max(n)].quantiles[-1] == 1.0
 
 
 def test_token_lengths_of_any_text(spark):

@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -102,7 +102,8 @@ def histogram(counted: DataFrame) -> DataFrame:
 
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For each limit: total_tokens, truncated_total, docs_cut (documents longer than it), tokens_cut. Exact for any limit."""
+    """For each limit: total_tokens, truncated_total, docs_cut (documents longer than it) and tokens_over (all their tokens),
+    tokens_cut. Exact for any limit."""
     spark = hist.sparkSession
     asked = spark.createDataFrame([(int(x),) for x in limits], "limit long")
     over = F.col("length") > F.col("limit")
@@ -113,6 +114,7 @@ def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
             F.sum("n_tokens").alias("total_tokens"),
             F.sum(F.when(over, F.col("limit") * F.col("n_docs")).otherwise(F.col("n_tokens"))).alias("truncated_total"),
             F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0)).alias("docs_cut"),
+            F.coalesce(F.sum(F.when(over, F.col("n_tokens"))), F.lit(0)).alias("tokens_over"),
         )
         .withColumn("tokens_cut", F.col("total_tokens") - F.col("truncated_total"))
     )
@@ -132,5 +134,18 @@ def quantiles(hist: DataFrame, fractions: list[float]) -> DataFrame:
     )
 
 
+#: Context limits and quantiles that the query answers beside the lengths that occur.
+LIMITS, FRACTIONS = tuple(1 << i for i in range(7, 18)), (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+
+
+def answers(hist: DataFrame, limits: Sequence[int] = LIMITS, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
+    """The histogram with a row also for limits that no document has as its length, and the quantiles that a length answers."""
+    asked = at_limits(hist, list(limits)).join(hist.select(F.col("length").alias("limit")), "limit", "left_anti")
+    zero = F.lit(0).cast("long")
+    between = asked.select(F.col("limit").alias("length"), zero.alias("n_docs"), zero.alias("n_tokens"), F.col("docs_cut").alias("docs_at_least"), F.col("tokens_over").alias("tokens_at_least"), "truncated_total")
+    found = quantiles(hist, list(fractions)).groupBy("length").agg(F.array_sort(F.collect_list("fraction")).alias("quantiles"))
+    return hist.unionByName(between).join(found, "length", "left").withColumn("quantiles", F.coalesce("quantiles", F.array().cast("array<double>")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram(lengths(spark, table(spark, sf_dir, "documents")))
+    return answers(Scratch(spark).put(histogram(lengths(spark, table(spark, sf_dir, "documents")))))
