@@ -52,7 +52,8 @@ def pixel_statistics(pixels: DataFrame) -> DataFrame:
     """Statistics of each image from its pixels: luminance, dark, blown and paper shares, box, skew, sharpness, tiles."""
     lum = (F.col("red") * 0.299 + F.col("green") * 0.587 + F.col("blue") * 0.114) / 255
     hi, lo = F.greatest("red", "green", "blue"), F.least("red", "green", "blue")
-    p = pixels.withColumn("lum", lum).withColumn("paper", (F.col("lum") > 0.48) & (F.when(hi == 0, 0.0).otherwise((hi - lo) / hi) < 0.42))
+    # dealt once by image: every window and aggregate below finds its rows together
+    p = pixels.repartition("image").withColumn("lum", lum).withColumn("paper", (F.col("lum") > 0.48) & (F.when(hi == 0, 0.0).otherwise((hi - lo) / hi) < 0.42))
     size = p.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     on = lambda c: F.when(F.col("paper"), F.col(c))
     base = p.groupBy("image").agg(
