@@ -229,9 +229,10 @@ def enlarge(graph: DataFrame, threshold: float) -> DataFrame:
     return full.withColumn("k", F.when(F.col("full"), F.col("k") * 2).otherwise(F.col("k"))).withColumn("fresh", F.col("fresh") | F.col("full")).drop("full")
 
 
-def descend(nodes: DataFrame, graph: DataFrame, k: int, scratch: Scratch, turn: int = 0) -> DataFrame:
+def descend(nodes: DataFrame, graph: DataFrame, k: int, scratch: Scratch, turn: int = 0, threshold: float = -1.0) -> DataFrame:
     """One round: neighbours of a node, both ways, meet; graph is (node, other, sim, fresh, k). Neighbourhoods of more than
-    LOCAL are cut into other groups each ``turn``."""
+    LOCAL are cut into other groups each ``turn``. Into a list that was enlarged beyond ``k`` only edges at the threshold
+    come: its first places are full of nearer ones."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, s, held = [], [], [], 0
@@ -255,7 +256,7 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int, scratch: Scratch, turn:
                 a, b, s, held = [], [], [], 0
         yield _edges(a, b, s)
 
-    lists = graph.groupBy("node").agg(F.max("k").alias("k"), F.when(F.count("*") >= F.max("k"), F.min("sim")).otherwise(F.lit(-1.0)).alias("floor"))
+    lists = graph.groupBy("node").agg(F.max("k").alias("k"), F.when(F.count("*") >= F.max("k"), F.min("sim")).when(F.max("k") > k, F.lit(threshold)).otherwise(F.lit(-1.0)).alias("floor"))
     both = graph.select("node", "other", "fresh").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh"))
     met = both.groupBy("node", "other").agg(F.max("fresh").alias("fresh")).withColumnRenamed("node", "by")
     # a hub's neighbourhood goes to as many tasks as it has chunks
@@ -367,7 +368,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     while True:
         # a larger list needs one round to fill: what is new in it meets all neighbours at once
         for _ in range(1 if turn else rounds):
-            nxt = descend(nodes, graph, k, scratch, turn)
+            nxt = descend(nodes, graph, k, scratch, turn, threshold)
             scratch.drop(graph)
             graph, turn = nxt, turn + 1
             if graph.where("fresh").count() <= 0.01 * k * n:
