@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.operators import finance, imaging, joins, pixels, registration, settings, venues
+from waybill.operators import finance, imaging, joins, pixels, registration, routing, settings, venues
 from waybill.sources import files
 from waybill.streaming import live
 
@@ -233,6 +233,18 @@ def test_images_of_a_table(spark):
     assert (got["a"].width, got["a"].height, got["a"].values) == (2, 1, [3.5]) and got["b"].values is None and got["b"].error
 
 
+def test_tour_by_cells_equals_plain_tour():
+    rng = np.random.default_rng(11)
+    for n, clustered in ((0, False), (1, False), (700, False), (900, True)):
+        lat, lon = rng.normal(37.5, 0.1, n), rng.normal(127, 0.1, n)
+        if clustered:
+            lat[: n // 2], lon[: n // 2] = 37.5 + rng.integers(0, 4, n // 2) * 1e-3, 127.0
+            lat[5] = np.nan
+        lat, lon, start = np.radians(lat), np.radians(lon), tuple(np.radians((37.5, 127.04)))
+        assert routing.greedy_tour(lat, lon, start, 20) == routing.greedy_tour(lat, lon, start, 10**6)
+        assert sorted(routing.greedy_tour(lat, lon, start, 20)) == list(range(n))
+
+
 def test_ctc_text_is_composed(spark):
     steps = spark.createDataFrame([(1, i, x) for i, x in enumerate([0, 1, 1, 0, 2, 2, 3])], "sequence int, step int, label int")
     letters = F.array(F.lit("\u1112"), F.lit("\u1161"), F.lit("\u11ab"))

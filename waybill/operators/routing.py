@@ -17,6 +17,61 @@ REGIONS = "서울|경기|인천|부산|대구|대전|광주|울산|세종|제주
 ADDRESS_NOISE = r"(?i)(?:tel|hp|전화|연락처|휴대폰|핸드폰|받는\s*분|수령|인수|발주|배송화원|상품|메모|비고)"
 
 
+#: Stops that are searched all at once; with more left, cells around the last stop are searched first.
+DENSE = 512
+
+
+def _squares(lat: np.ndarray, lon: np.ndarray, at: tuple[float, float]) -> np.ndarray:
+    """What the distance from ``at`` grows with (radians): the square of half the chord."""
+    return np.sin((lat - at[0]) / 2) ** 2 + np.cos(at[0]) * np.cos(lat) * np.sin((lon - at[1]) / 2) ** 2
+
+
+def greedy_tour(lat: np.ndarray, lon: np.ndarray, start: tuple[float, float], dense: int = DENSE) -> list[int]:
+    """Places in visiting order (radians): the nearest one left, the earliest among equals; places that are no numbers last.
+
+    Places lie in a grid of cells. Rings of cells around the last stop are searched until what they hold is nearer than
+    anything beyond them can be, so a stop costs a few cells and not all that are left.
+    """
+    known = np.flatnonzero(~(np.isnan(lat) | np.isnan(lon)))
+    out, at, n = [], start, len(known)
+    side = max(1, int(np.sqrt(n / 2)))
+    low = (lat[known].min(), lon[known].min()) if n else (0.0, 0.0)
+    size = tuple(max(1e-9, float(np.ptp(x[known])) / side * 1.000001) for x in (lat, lon)) if n else (1.0, 1.0)
+    cells: dict[tuple[int, int], list[int]] = {}
+    where = [((lat[known] - low[0]) // size[0]).astype(int), ((lon[known] - low[1]) // size[1]).astype(int)]
+    for i, x, y in zip(known.tolist(), *(w.tolist() for w in where), strict=True):
+        cells.setdefault((x, y), []).append(i)
+    # widest at the latitude where a degree of longitude is shortest
+    narrow = float(np.cos(np.abs(np.append(lat[known], start[0])).max())) if n else 1.0
+    while n - len(out) > dense:
+        x, y = int((at[0] - low[0]) // size[0]), int((at[1] - low[1]) // size[1])
+        best, ring = (np.inf, -1), 0
+        reach = max(abs(x), abs(y), abs(x - side), abs(y - side)) + 1
+        while ring <= reach:
+            edge = [(x + i, y + j) for i in range(-ring, ring + 1) for j in ((-ring, ring) if abs(i) < ring else range(-ring, ring + 1))] if ring else [(x, y)]
+            near = [i for c in edge if c in cells for i in cells[c]]
+            if near:
+                a = _squares(lat[near], lon[near], at)
+                best = min(best, min(zip(a.tolist(), near, strict=True)))
+            if best[0] < min(np.sin(min(np.pi, ring * size[0]) / 2) ** 2, (narrow * np.sin(min(np.pi, ring * size[1]) / 2)) ** 2):
+                break
+            ring += 1
+        i = best[1]
+        out.append(i)
+        at = (lat[i], lon[i])
+        cell = (int((at[0] - low[0]) // size[0]), int((at[1] - low[1]) // size[1]))
+        cells[cell].remove(i)
+        if not cells[cell]:
+            del cells[cell]
+    left = np.array(sorted(i for c in cells.values() for i in c), int)
+    while len(left):
+        j = int(np.argmin(_squares(lat[left], lon[left], at)))
+        out.append(int(left[j]))
+        at = (lat[left[j]], lon[left[j]])
+        left = np.delete(left, j)
+    return out + [i for i in range(len(lat)) if np.isnan(lat[i]) or np.isnan(lon[i])]
+
+
 def nearest_neighbor(stops: DataFrame, route: str = "route", ord: str = "ord", start: tuple[float, float] = START) -> DataFrame:
     """Visiting order of each route: (route, ord, visit), always the nearest stop left, the earliest among equals.
 
@@ -26,16 +81,7 @@ def nearest_neighbor(stops: DataFrame, route: str = "route", ord: str = "ord", s
 
     def tour(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(ord, kind="stable")
-        lat, lon = np.radians(g["latitude"].to_numpy(float)), np.radians(g["longitude"].to_numpy(float))
-        left, out, at = np.arange(len(g)), [], np.radians(np.array(start))
-        while len(left):
-            dlat, dlon = lat[left] - at[0], lon[left] - at[1]
-            a = np.sin(dlat / 2) ** 2 + np.cos(at[0]) * np.cos(lat[left]) * np.sin(dlon / 2) ** 2
-            km = 6371 * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
-            i = int(np.nanargmin(km)) if not np.isnan(km).all() else 0
-            out.append(left[i])
-            at = np.array([lat[left[i]], lon[left[i]]])
-            left = np.delete(left, i)
+        out = greedy_tour(np.radians(g["latitude"].to_numpy(float)), np.radians(g["longitude"].to_numpy(float)), (float(np.radians(start[0])), float(np.radians(start[1]))))
         return pd.DataFrame({route: key[0], ord: g[ord].to_numpy()[out], "visit": np.arange(1, len(out) + 1)})
 
     kinds = dict(stops.dtypes)
