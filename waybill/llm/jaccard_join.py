@@ -66,6 +66,12 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _give_back() -> None:
+    """Nothing of a task stays in the worker, which later stages use again."""
+    _HASHES.clear()
+    give_back()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -155,7 +161,7 @@ def count_shingles(spark: SparkSession, docs: DataFrame, k: int) -> Frequencies:
                     yield flush()
                     n = 0
         yield flush()
-        give_back()
+        _give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
@@ -177,7 +183,7 @@ def count_shingles(spark: SparkSession, docs: DataFrame, k: int) -> Frequencies:
                 [pa.array([b], pa.int32()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary()), pa.array([values[often].tobytes()], pa.binary()), pa.array([levels.astype(np.int8).tobytes()], pa.binary())],
                 ["bucket", "cells", "prints", "levels"],
             )
-        give_back()
+        _give_back()
 
     found = docs.select("text").mapInArrow(run, "bucket int, packed binary").repartition("bucket").mapInArrow(merge, "bucket int, cells binary, prints binary, levels binary")
     cells = np.zeros(1 << (CELL_BITS - 3), np.uint8)
@@ -225,7 +231,7 @@ def index(spark: SparkSession, docs: DataFrame, freq: Frequencies, k: int, at_le
                 s = np.concatenate(out[0])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(s), batch.column(0).type), pa.array(s), pa.array(out[1], pa.binary()), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))], names)
         seen.clear()
-        give_back()
+        _give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingle bigint, d binary, size int, place int")
@@ -323,7 +329,7 @@ def sketches(texts: DataFrame, k: int) -> DataFrame:
                 m = int(parity_bits(np.array(len(h))))
                 out.append(np.packbits((np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["d", "bits"])
-        give_back()
+        _give_back()
 
     return texts.select("d", "text").mapInArrow(run, "d binary, bits binary")
 
@@ -444,7 +450,7 @@ def across(dealt: DataFrame, parts: DataFrame, at_least: int, of: int, tries: in
         yield flush()
         if cut:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary())] * 2, ["a", "b"])
-        give_back()
+        _give_back()
 
     keys = ["shingle", "cls", "lo", "hi"]
     led = dealt.join(parts.withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
@@ -459,11 +465,11 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         key, held, last = None, None, None
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for g, d, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for g, d, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if (g, d) == last:
                     continue  # a text that was written twice
                 last = (g, d)
-                h = np.unique(shingles(words_of(text), k))
+                h = np.unique(shingles(words_of(text.as_py()), k))
                 if g != key:
                     key, held = g, h
                     continue
@@ -472,6 +478,7 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 for x, v in zip(out, (g, d, int((both[1:] == both[:-1]).sum()), len(held), len(h)), strict=True):
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), *(pa.array(x, pa.int64()) for x in out[2:])], ["a", "b", "overlap", "size_a", "size_b"])
+        _give_back()
 
     # the leader of a group comes first
     members = pairs.select(F.col("a").alias("g"), F.lit(1).alias("part"), F.col("b").alias("d")).unionByName(pairs.select(F.col("a").alias("g"), F.lit(0).alias("part"), F.col("a").alias("d")).distinct())

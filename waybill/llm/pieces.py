@@ -169,7 +169,7 @@ class Codec:
 
         self.cache = cache
         self.model = parse(data)
-        self.whole = build(self.model)
+        self._whole = None
         self.by_parts = parts_are_independent(self.model)
         self.part = Tokenizer(model_of(self.model, cache))
         self.part.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
@@ -181,6 +181,13 @@ class Codec:
         self.spelled = pa.array([p.replace(MARK, " ").encode() for p, _, _ in kinds], pa.large_binary())
         self.unspelled = np.array([k not in (NORMAL, USER) for _, _, k in kinds])
 
+    @property
+    def whole(self):
+        """The tokenizer for whole texts, built where it is needed: parts that are independent do without."""
+        if self._whole is None:
+            self._whole = build(self.model)
+        return self._whole
+
     def _parts(self, text: str) -> list[str]:
         """Parts of a text without their first marker."""
         if self.plain:
@@ -361,7 +368,7 @@ def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL, text: str =
         codec = codec_of(data.value, cache=cache)
         for batch in batches:
             texts = batch.column(len(kept))
-            for a, b in slices(pc.utf8_length(texts).to_pylist(), BATCH_CHARS // 2):
+            for a, b in slices(pc.utf8_length(texts).to_pylist(), BATCH_CHARS // 4):
                 found = codec.run(texts.slice(a, b - a)).lists()
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))] + [found], [*kept, ids])
         codec.forget()
