@@ -62,7 +62,9 @@ def dictionary(docs: DataFrame, most: int = MOST_WORDS, text: str = "text") -> l
     """The ``most`` words of four letters or more that occur in most documents, two at least; equal counts by the word."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"[a-z]{{{LEAST_LETTERS},}}"), 0))
     counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # every partition sends its first words to the driver: as many partitions as cores
+    few = counted.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    return [r.word for r in few.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def known_share(value: Column, words: Sequence[str]) -> Column:
@@ -70,7 +72,8 @@ def known_share(value: Column, words: Sequence[str]) -> Column:
     if not words:
         return F.lit(0.0)
     runs = F.transform(F.split(value, "[^A-Za-z]+|(?<=[a-z])(?=[A-Z])"), F.lower)
-    return F.aggregate(F.filter(runs, lambda x: x.isin(*words)), F.lit(0), lambda n, x: n + F.length(x)) / F.length(value)
+    listed = F.split(F.lit(" ".join(words)), " ")  # one literal in the plan; candidates are few
+    return F.aggregate(F.filter(runs, lambda x: F.array_contains(listed, x)), F.lit(0), lambda n, x: n + F.length(x)) / F.length(value)
 
 
 def features(before: Column, value: Column, after: Column, words: Sequence[str] = ()) -> dict[str, Column]:
