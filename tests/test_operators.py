@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import semantics as S
 from waybill.functions import text as X
-from waybill.operators import changes, evaluation, finance, imaging, joins, receipts, routing, schedule, spatial, venues
+from waybill.operators import changes, evaluation, finance, imaging, joins, labels, receipts, routing, schedule, spatial, venues
 from waybill.plans import catalog
 from waybill.streaming import live
 
@@ -105,8 +105,8 @@ def test_times(spark, raw, want):
 
 
 def test_labels(spark):
-    reg = receipts.registry_literal()
-    got = lambda x: one(spark, receipts.match_field(F.lit(x), reg)["key"])
+    reg = labels.registry_literal(receipts.FIELDS)
+    got = lambda x: one(spark, labels.match_field(F.lit(x), reg)["key"])
     assert got("배송 일자") == "deliveryDate"
     assert got("연락쳐") == "recipientTel"
     assert got("합계 금액") is None

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: White space that trimming removes, beyond what Java's trim knows (fixed values).
 WS = r"[\s   -     　﻿]"
+#: The same, character by character.
+WS_CHARS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 KST_HOURS = 9
 
@@ -36,7 +38,7 @@ def round_half_up(x: Column, places: int = 0) -> Column:
 
 
 def trim_all(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
+    return F.btrim(x, F.lit(WS_CHARS))
 
 
 def squeeze(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions import text as X
-from waybill.operators import evaluation, imaging, receipts, routing, spatial, venues
+from waybill.operators import evaluation, imaging, labels, receipts, routing, spatial, venues
 from waybill.sources import bindings as B
 from waybill.streaming import live
 
@@ -39,10 +39,15 @@ cut AS (SELECT *, strpos(t, ':') AS pos, strpos(t, ':') > 1 AND NOT regexp_match
 labels AS MATERIALIZED (
   SELECT order_key, line_no, NULL AS k, trim(substr(t, 1, pos - 1)) AS label, trim(substr(t, pos + 1)) AS value FROM cut WHERE colon
   UNION ALL SELECT order_key, line_no, k, array_to_string(w[1:k], ' '), array_to_string(w[k + 1:], ' ') FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM cut WHERE NOT colon)),
-distinct_labels AS MATERIALIZED (SELECT DISTINCT label, {_NORM.format("label")} AS target FROM labels),
-scored AS MATERIALIZED (SELECT label, key, ord, {_SCORE} AS score FROM distinct_labels, reg WHERE target <> ''),
-matched AS MATERIALIZED (SELECT label, arg_max(key, (score, -ord)) AS key, max(score) AS score FROM scored WHERE score IS NOT NULL GROUP BY label),
-hits AS (SELECT l.*, m.key, m.score FROM labels l JOIN matched m ON m.label = l.label WHERE l.k IS NULL OR m.score >= 0.8),
+targets AS MATERIALIZED (SELECT DISTINCT label, {_NORM.format("label")} AS target, k IS NULL AS before_colon FROM labels),
+fuzzy AS MATERIALIZED (SELECT label, key, ord, {_SCORE} AS score FROM (FROM targets WHERE before_colon AND target <> ''), reg),
+strong AS (
+  SELECT label, key, ord, 1.0::DOUBLE AS score FROM targets JOIN reg ON norm = target WHERE NOT before_colon
+  UNION ALL SELECT label, key, ord, {_SCORE} FROM (FROM targets WHERE NOT before_colon AND length(target) BETWEEN 16 AND 30), (FROM reg WHERE length(norm) >= 16)),
+matched AS MATERIALIZED (
+  SELECT before_colon, label, arg_max(key, (score, -ord)) AS key, max(score) AS score
+  FROM (SELECT true AS before_colon, * FROM fuzzy WHERE score IS NOT NULL UNION ALL SELECT false, * FROM strong WHERE score >= 0.8) GROUP BY before_colon, label),
+hits AS (SELECT l.*, m.key, m.score FROM labels l JOIN matched m ON m.label = l.label AND m.before_colon = (l.k IS NULL)),
 parsed AS (
   SELECT c.order_key, c.line_no, h.key, h.score, CASE WHEN c.colon THEN trim(substr(c.t, 1, c.pos - 1)) ELSE coalesce(h.label, '') END AS label, CASE WHEN c.colon THEN trim(substr(c.t, c.pos + 1)) ELSE coalesce(h.value, c.t) END AS value
   FROM cut c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY order_key, line_no ORDER BY k DESC) AS r FROM hits) h ON h.order_key = c.order_key AND h.line_no = c.line_no AND h.r = 1),
@@ -54,13 +59,16 @@ placed AS (SELECT *, CASE WHEN dest IS NOT NULL THEN row_number() OVER (PARTITIO
 
 def _documents(spark, d):
     """Parsed lines of each order, within its row."""
-    docs = B.receipt_documents(spark, d).withColumn("t", F.transform("lines", lambda x: x["text"]))
-    return receipts.parse_lines(docs, "t", B.REGISTRY)
+    docs = B.spread(B.receipt_documents(spark, d)).withColumn("t", F.transform("lines", lambda x: x["text"]))
+    return receipts.parse_lines(docs, "t", B.REGISTRY, known=labels.learn(docs, "t", B.REGISTRY))
 
 
 def _parsed(spark, d):
     p = _documents(spark, d)
-    return p.select("order_key", F.explode("parsed").alias("p"), "lines").select("order_key", F.get("lines", F.col("p.line_no") - 1)["line_no"].alias("line_no"), "p.key", "p.score", "p.label", "p.value")
+    # lines get their own numbers within the row: an array beside the exploded rows would go along with each of them
+    own = F.transform("parsed", lambda x: F.struct(F.get("lines", x["line_no"] - 1)["line_no"].alias("line_no"), x["key"], x["score"], x["label"], x["value"]))
+    # inline and not explode, whose struct Catalyst would take apart below it, working the lines out once for each field
+    return p.select("order_key", F.inline(own))
 
 
 @query(_PARSED + " SELECT order_key, line_no, key, round(score, 6) AS score, label, value FROM parsed")
@@ -94,7 +102,7 @@ def alias_best_match(spark, d):
     a = B.read(spark, d, "customer").join(B.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lower("c_mktsegment"), F.lit(" "), "n_name").alias("label"))
     b = B.read(spark, d, "part").select(F.lower("p_type").alias("label"))
     c = spark.createDataFrame([(x,) for x in ("Shp", "delivry dat", "quantty", "adress", "prodct name", "recipient phon", "xyz")], "label string")
-    m = receipts.match_field(F.col("label"), receipts.registry_literal(B.REGISTRY))
+    m = labels.match_field(F.col("label"), labels.registry_literal(B.REGISTRY))
     return a.unionByName(b).unionByName(c).distinct().withColumn("m", m).select("label", "m.key", F.round("m.score", 6).alias("score"))
 
 

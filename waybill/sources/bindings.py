@@ -160,6 +160,12 @@ LINES = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a small file is read by fewer tasks: for work that costs much more than the rows weigh."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def receipt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label and value lines rendered from orders, an array for each: (order_key, lines array<struct(line_no, text)>)."""
     rendered = F.array(*[F.when(F.expr(cond), F.struct(F.lit(no).alias("line_no"), F.expr(text).alias("text"))) for no, cond, text in LINES])
