@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from waybill.functions import text as X
 from waybill.operators import evaluation, imaging, labels, receipts, routing, spatial, venues
 from waybill.sources import bindings as B
-from waybill.streaming import live
+from waybill.sources import files
+from waybill.streaming import live, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -500,6 +502,10 @@ def prepared_sizes(spark, d):
 
 
 def _frames(spark, d):
+    return _frames_of(B.read(spark, d, "events"))
+
+
+def _frames_of(events):
     e = F.col("event_id")
     v = F.concat(F.lit("v"), (F.floor("value") % 3).cast("string"))
     found = F.array(
@@ -507,7 +513,7 @@ def _frames(spark, d):
         F.struct(F.lit("recipientTel").alias("key"), F.when(e % 5 == 0, "bad").otherwise("010-1234-5678").alias("value"), F.lit(90.0).alias("confidence"), F.lit("confirmed").alias("status"), F.array().cast("array<string>").alias("errors")),
         F.struct(F.lit("deliveryAddress").alias("key"), v.alias("value"), F.lit(82.0).alias("confidence"), F.when(e % 7 == 0, "warning").otherwise("review").alias("status"), F.array().cast("array<string>").alias("errors")),
     )
-    return B.read(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), e.cast("string").alias("frame_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("captured_ms"), (e % 11 != 0).alias("passed"), (e % 900).alias("processing_ms"), found.alias("found"))
+    return events.select(F.col("user_id").cast("string").alias("session"), e.cast("string").alias("frame_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("captured_ms"), (e % 11 != 0).alias("passed"), (e % 900).alias("processing_ms"), found.alias("found"))
 
 
 _LIVE = """WITH RECURSIVE f AS MATERIALIZED (
@@ -531,6 +537,18 @@ def live_session(spark, d):
     return live.batch(_frames(spark, d)).select("session", "frame_id", "decision", "locked", "ready")
 
 
+@query(_LIVE + " SELECT session, frame_id, decision, locked::BIGINT AS locked, locked = 3 AS ready FROM d")
+def live_session_stream(spark, d):
+    """The same frames as a stream with durable state, run until the watermark has passed them all."""
+    schema = B.read(spark, d, "events").schema
+    found = _frames_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    decided = sessions.decide(found, late="0 seconds", idle="3650 days")
+    place = f"{files.shared_dir(spark)}/waybill-{uuid.uuid4().hex}"
+    run = decided.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(decided.schema).parquet(f"{place}/out").select("session", "frame_id", "decision", "locked", "ready")
+
+
 @query(
     _LIVE
     + """ SELECT session, arg_max(locked, (at_ms, frame_id))::BIGINT AS locked, arg_max(locked, (at_ms, frame_id)) = 3 AS ready, count(*) AS frames, count(*) FILTER (decision = 'skipped-interval') AS skipped_interval, count(*) FILTER (decision = 'skipped-busy') AS skipped_busy,

@@ -92,6 +92,7 @@ def _run(session: Any, frames: pd.DataFrame, state: dict[str, Any], interval_ms:
             state.update(fresh())
             out.append((session, f["frame_id"], f["captured_ms"], "reset", 0, False, json.dumps(state, sort_keys=True)))
             continue
+        f["processing_ms"] = 0 if pd.isna(f["processing_ms"]) else f["processing_ms"]
         f["found"] = [dict(x) if isinstance(x, dict) else x.asDict() for x in (f["found"] if f["found"] is not None else [])]
         decision = step(state, f, interval_ms, need_quality)
         locked = sum(x["status"] == "locked" for x in state["fields"].values())
