@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from waybill.functions import text as X
 from waybill.operators import changes, evaluation, imaging, receipts, registration, reports, routing, settings, spatial, venues
 from waybill.sources import bindings as B
-from waybill.sources import files
+from waybill.sources import files, ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -532,3 +533,39 @@ def venue_field_suggestions(spark, d):
     key = _pick(k, "venueName", "deliveryAddress", "memo")
     f = B.read(spark, d, "part").select(k.alias("doc_id"), key.alias("key"), F.concat(F.lit("hall of "), F.col("p_name")).alias("value"), F.array().cast("array<string>").alias("alternatives"))
     return venues.suggest_fields(f, _venues(spark, d)).select("doc_id", "key", "alternatives")
+
+
+def _changed_orders(spark, d):
+    """Orders in a store: a base, changes, compaction, and changes again in the same commit as those of another collection."""
+    o = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").cast("string").alias("day"))
+    days = o.groupBy("day").agg(F.count("*").alias("n"))
+    store = ledger.Store(spark, f"{files.shared_dir(spark)}/waybill-{uuid.uuid4().hex}", {"orders": (o.schema, ["order_key"]), "days": (days.schema, ["day"])}, buckets=16)
+    k = F.col("order_key")
+    store.begin().replace("orders", o).replace("days", days).commit()
+    store.begin().upsert("orders", o.where(k % 10 == 0).withColumn("status", F.lit("changed"))).commit()
+    store.begin().delete("orders", o.where(k % 7 == 0)).commit()
+    store.compact("orders")
+    back = o.where(k % 21 == 0).withColumn("status", F.lit("back"))
+    new = o.where(k % 50 == 0).select((k + 1_000_000_000).alias("order_key"), F.lit("new").alias("status"), "day")
+    gone = back.groupBy("day").agg(F.lit(0).cast("long").alias("n"))
+    store.begin().upsert("orders", back.unionByName(new)).patch("days", gone).commit()
+    return store
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS order_key, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+SELECT order_key, CASE WHEN order_key % 21 = 0 THEN 'back' WHEN order_key % 10 = 0 THEN 'changed' ELSE status END AS status, day FROM o WHERE order_key % 7 <> 0 OR order_key % 21 = 0
+UNION ALL SELECT order_key + 1000000000, 'new', day FROM o WHERE order_key % 50 = 0"""
+)
+def merged_on_read(spark, d):
+    """What reading makes of a base and the changes after it."""
+    return _changed_orders(spark, d).read("orders")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+SELECT day, CASE WHEN count(*) FILTER (k % 21 = 0) > 0 THEN 0 ELSE count(*) END AS n FROM o GROUP BY day"""
+)
+def patched_together(spark, d):
+    """The collection that changed in the same commit: days of orders that came back are set to none."""
+    return _changed_orders(spark, d).read("days")
