@@ -32,7 +32,7 @@ SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LONG_RUN = 2000
 
 _BUILT: dict[bytes, object] = {}
-_LONG = re.compile(f"{SPACE}{{{LONG_RUN},}}")
+LONG = re.compile(f"{SPACE}{{{LONG_RUN},}}")
 
 
 def _encoding(data: bytes):
@@ -45,7 +45,7 @@ def _encoding(data: bytes):
     return _BUILT[key]
 
 
-def count_tokens(enc, text: str, long_run: re.Pattern = _LONG) -> int:
+def count_tokens(enc, text: str, long_run: re.Pattern = LONG) -> int:
     """Tokens of a whole text.
 
     The pattern makes of a run of white space before another character one piece of all but its last character, which
