@@ -7,7 +7,7 @@ zero counts as missing where a record says so, numbers round half up, and "first
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +31,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def constant_table(buckets: Sequence[Sequence[tuple[str, int]]], key: Column) -> Column:
+    """Number of a text in a table of constants, 0 where it isn't there. The bucket of a text is its CRC-32 modulo their
+    number, so a lookup doesn't depend on the size of the table."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join("array(" + ", ".join(f"named_struct('n', {quoted(n)}, 'v', {v})" for n, v in bucket) + ")" for bucket in buckets)
+    table = F.expr(f"array({rows})").cast("array<array<struct<n:string,v:int>>>")
+    entry = F.filter(F.get(table, (F.crc32(key.cast("binary")) % len(buckets)).cast("int")), lambda e: e["n"] == key)
+    return F.coalesce(F.get(entry, 0)["v"], F.lit(0))
+
+
 def round_half_up(x: Column, places: int = 0) -> Column:
     """Half goes towards plus infinity, also below zero."""
     scale = float(10**places)

@@ -348,12 +348,29 @@ def _venue_texts(spark, d):
     return B.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("hall of "), F.col("p_name"), F.lit(" 3층")).alias("text"))
 
 
-@query()
+# all pairs of distinct texts and forms; every substring of a text is looked for in every form
+_MATCHED = r"""WITH t AS (SELECT p_partkey AS id, regexp_replace(lower('hall of ' || p_name || ' 3층'), '[\s.,/\\|()\[\]{}<>~\-:''"]+', '', 'g') AS a FROM part),
+p AS (SELECT p_name AS name, min(p_brand) AS brand, min(p_partkey) AS k FROM part GROUP BY p_name),
+v AS (SELECT name, ord, regexp_replace(lower(form), '[\s.,/\\|()\[\]{}<>~\-:''"]+', '', 'g') AS b FROM (SELECT name, name AS form, k * 2 AS ord FROM p UNION ALL SELECT name, brand || ' hall', k * 2 + 1 FROM p)),
+subs AS (SELECT a, substr(a, i, n) AS s, n FROM (SELECT DISTINCT a FROM t), range(1, 60) x(i), range(4, 60) y(n) WHERE i + n - 1 <= length(a)),
+pairs AS (SELECT a, b, max(n) AS common FROM subs JOIN (SELECT DISTINCT b FROM v) ON contains(b, s) GROUP BY a, b),
+scored AS (
+  SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN contains(a, b) THEN greatest(0.6::DOUBLE, least(1.0::DOUBLE, length(b) / 5.0::DOUBLE)) WHEN contains(b, a) THEN length(a) / length(b)::DOUBLE
+    ELSE common / least(length(a), length(b))::DOUBLE END AS score FROM pairs WHERE length(a) >= 4 AND length(b) >= 4),
+best AS (SELECT a, name, arg_max(ord, (score, -ord)) AS ord, max(score) AS score FROM scored JOIN v USING (b) WHERE score >= 0.6 GROUP BY a, name),
+placed AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, ord) AS place FROM best)"""
+
+
+@query(_MATCHED + " SELECT id, name, round(score, 6) AS score, place::INTEGER AS place FROM t JOIN placed USING (a) WHERE place <= 5")
 def venue_match(spark, d):
     return venues.match_venues(_venue_texts(spark, d), _venues(spark, d)).select("id", "name", F.round("score", 6).alias("score"), "place")
 
 
-@query()
+@query(
+    _MATCHED
+    + """, near AS (SELECT *, max(score) OVER (PARTITION BY a) AS top FROM placed WHERE place <= 7)
+SELECT id, name, round(score, 6) AS score, place::INTEGER AS place FROM t JOIN near USING (a) WHERE place <= 3 AND top - score <= 0.1"""
+)
 def venue_band(spark, d):
     return venues.suggest(_venue_texts(spark, d), _venues(spark, d)).select("id", "name", F.round("score", 6).alias("score"), "place")
 
