@@ -6,7 +6,7 @@ Recognition itself happens elsewhere: what it found comes as tables, a row per d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import text as X
@@ -183,19 +183,34 @@ LIST_ORDERS = {"fee": ("fee_cents", False), "newest": ("order_key", False), "tim
 
 def delivery_list(deliveries: DataFrame, by: str) -> DataFrame:
     """Place of each delivery in the list (from 1), in one of LIST_ORDERS, ids breaking ties. Sorting is left to the sink."""
-    from pyspark.sql import Window
-
     column, up = LIST_ORDERS[by]
     order = F.col(column).asc_nulls_last() if up else F.col(column).desc_nulls_last()
     # the list of one driver is one screen; a larger table is listed driver by driver
     return deliveries.withColumn("place", F.row_number().over(Window.partitionBy("driver").orderBy(order, "id")))
 
 
-def by_locale(labels: DataFrame, column: str) -> DataFrame:
-    """Place (from 1) of each label as readers expect it, by the Unicode collation; labels are an aggregated, short table."""
-    from pyspark.sql import Window
+def global_places(df: DataFrame, column: str, *order: Column, name: str = "place") -> DataFrame:
+    """Place (from 1) of each row's ``column`` in the order of all its distinct values; equal values share a place, nulls
+    come first, an empty table has none.
+
+    Distinct values are range-partitioned by the order, numbered within their range, and lifted by the number of values in
+    the ranges before it, of which there is one row each: no task takes them all. A value that many rows hold is one value
+    until its place is joined back, where adaptive execution can split it.
+    """
+    by = order or (F.col(column),)
+    # written, as the ranges come from a sample: a second reading must see the same ones
+    ranged = written(df.select(column).distinct().repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    places = ranged.withColumn("_in", within).join(starts, "_part").select(F.col(column).alias("_value"), (F.col("_start") + F.col("_in")).cast("long").alias(name))
+    return df.join(places, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+
 
-    return labels.withColumn("place", F.row_number().over(Window.orderBy(F.collate(F.col(column), "UNICODE"), F.col(column))))
+def by_locale(labels: DataFrame, column: str) -> DataFrame:
+    """Place (from 1) of each label as readers expect it, by the Unicode collation; equal labels share one."""
+    return global_places(labels, column, F.collate(F.col(column), "UNICODE"), F.col(column))
 
 
 # An inquiry to the makers (fixed values).

@@ -418,15 +418,20 @@ def address_masking(spark, d):
 
 
 @query(
-    "SELECT * FROM (VALUES (1, 'Invalid JSON backup file.'), (2, 'Backup root must be an object.'), (3, 'This is not a backup file of this application.'), (4, 'Unsupported backup schema version.'), (5, 'Backup contains invalid collection data.'), (6, 'Backup contains invalid contact logs.'), (7, 'Backup is missing settings.'), (8, NULL)) AS t(n, error)"
+    """SELECT DISTINCT o_custkey AS driver, CASE o_custkey % 8 WHEN 0 THEN 'Invalid JSON backup file.' WHEN 1 THEN 'Backup root must be an object.' WHEN 2 THEN 'This is not a backup file of this application.' WHEN 3 THEN 'Unsupported backup schema version.'
+  WHEN 4 THEN 'Backup contains invalid collection data.' WHEN 5 THEN 'Backup contains invalid contact logs.' WHEN 6 THEN 'Backup is missing settings.' END AS error FROM orders"""
 )
 def backup_validation(spark, d):
-    good = '"orders":[{"id":"a","status":"pending","schedule":{}}],"fuelLogs":[],"mileageLogs":[{"id":"m"}]'
-    rows = [
-        (1, "{"), (2, "[]"), (3, '{"app":"other"}'), (4, '{"app":"waybill","schemaVersion":2}'), (5, '{"app":"waybill","schemaVersion":1,"orders":[{"id":1}],"fuelLogs":[],"mileageLogs":[]}'),
-        (6, f'{{"app":"waybill","schemaVersion":1,{good},"contactLogs":[1]}}'), (7, f'{{"app":"waybill","schemaVersion":1,{good}}}'), (8, f'{{"app":"waybill-mobile","schemaVersion":1,{good},"settings":{{}}}}'),
-    ]
-    return spark.createDataFrame(rows, "n int, json string").select("n", changes.backup_error(F.col("json")).alias("error"))
+    """Backups of each driver's orders, most of them spoilt in one of seven ways."""
+    k, form = F.col("o_custkey"), F.col("o_custkey") % 8
+    record = F.struct(F.concat(F.lit("order-"), "o_orderkey").alias("id"), F.when(form != 4, F.col("o_orderstatus")).alias("status"), F.struct(F.col("o_orderdate").cast("string").alias("date")).alias("schedule"))
+    orders = B.read(spark, d, "orders").groupBy(k.alias("driver")).agg(F.to_json(F.collect_list(record)).alias("orders"))
+    form = F.col("driver") % 8
+    text = F.concat(
+        F.when(form == 1, "[").otherwise(""), F.lit('{"app":"'), F.when(form == 2, "other").otherwise("waybill"), F.lit('","schemaVersion":'), F.when(form == 3, "2").otherwise("1"), F.lit(',"orders":'), "orders", F.lit(',"fuelLogs":[],"mileageLogs":[{"id":"m"}]'),
+        F.when(form == 5, ',"contactLogs":[1]').otherwise(""), F.when(form != 6, ',"settings":{}').otherwise(""), F.when(form != 0, "}").otherwise(""), F.when(form == 1, "]").otherwise(""),
+    )
+    return orders.select("driver", changes.backup_error(text).alias("error"))
 
 
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 9000.0::DOUBLE WHEN n_nationkey % 3 = 1 THEN 15000.0::DOUBLE ELSE 77.0::DOUBLE END AS fee FROM nation")

@@ -118,7 +118,7 @@ def recipient_names(spark, d):
 
 @query(
     """WITH v AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 4 END + CASE WHEN vec_id % 3 = 0 THEN 0.25::DOUBLE ELSE 0 END) AS l FROM embeddings), m AS (SELECT *, list_max(l) AS top FROM v)
-SELECT vec_id, list_position(l, top) - 1 AS label, round(CASE WHEN vec_id % 3 = 0 THEN top ELSE 1 / list_sum(list_transform(l, lambda x: exp(x - top))) END, 9) AS probability FROM m"""
+SELECT vec_id, list_position(l, top) - 1 AS label, round(CASE WHEN list_min(l) >= 0 AND top <= 1.0001::DOUBLE AND abs(list_sum(l) - 1) < 0.05::DOUBLE THEN top ELSE 1 / list_sum(list_transform(l, lambda x: exp(x - top))) END, 9) AS probability FROM m"""
 )
 def step_probabilities(spark, d):
     k = F.col("vec_id")

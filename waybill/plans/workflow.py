@@ -192,9 +192,10 @@ def delivery_lists(spark, d):
     return o.select("id", "by_fee", "newest", "by_time")
 
 
-@query("SELECT label, row_number() OVER (ORDER BY lower(label), label) AS place FROM (SELECT unnest(['van 2', 'Van 10', 'alpha', 'Beta', 'gamma', 'Delta']) AS label)")
+@query("SELECT label, dense_rank() OVER (ORDER BY lower(label), label) AS place FROM (SELECT c_name AS label FROM customer UNION ALL SELECT p_name FROM part)")
 def labels_by_locale(spark, d):
-    return registration.by_locale(spark.createDataFrame([(x,) for x in ("van 2", "Van 10", "alpha", "Beta", "gamma", "Delta")], "label string"), "label")
+    names = B.read(spark, d, "customer").select(F.col("c_name").alias("label")).unionByName(B.read(spark, d, "part").select(F.col("p_name").alias("label")))
+    return registration.by_locale(names, "label")
 
 
 @query(
