@@ -353,9 +353,12 @@ def upsert_merge(spark, d):
     return changes.upsert(now.select("key", "day"), fresh, ["key"])
 
 
-@query(_STATE + " SELECT key, day, price_cents FROM state WHERE key = '1-1'")
+@query(_STATE + " SELECT key, day, price_cents FROM state WHERE key = (SELECT max(key) FROM state)")
 def point_lookup(spark, d):
-    return _state(spark, d).where("key = '1-1'").select("key", "day", "price_cents")
+    """The record of one key, here the greatest."""
+    state = _state(spark, d)
+    key = state.agg(F.max("key")).first()[0]
+    return state.where(F.col("key") == key).select("key", "day", "price_cents")
 
 
 def _migration(spark, d):
