@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions import text as X
-from waybill.operators import changes, evaluation, imaging, receipts, registration, reports, routing, settings, spatial, venues
+from waybill.operators import changes, evaluation, gates, imaging, receipts, registration, reports, routing, settings, spatial, venues
 from waybill.sources import bindings as B
 from waybill.sources import files, ledger
 
@@ -570,3 +570,30 @@ SELECT day, CASE WHEN count(*) FILTER (k % 21 = 0) > 0 THEN 0 ELSE count(*) END
 def patched_together(spark, d):
     """The collection that changed in the same commit: days of orders that came back are set to none."""
     return _changed_orders(spark, d).read("days")
+
+
+#: Limits of two levels for the query below.
+LIMITS = (
+    ("trial", "original_empty_rate", 0.12), ("trial", "original_cer", 0.5), ("trial", "rotated_empty_rate", 0.12), ("trial", "rotated_cer_regression", 0.01), ("trial", "warm_latency_ms", 950.0), ("trial", "peak_memory_mb", 60.0),
+    ("default", "original_empty_rate", 0.06), ("default", "original_cer", 0.4), ("default", "cold_latency_ms", 900.0), ("default", "size_increase_mb", 7.0),
+)
+
+
+@query(
+    """WITH l AS (SELECT l_returnflag || l_linestatus AS candidate, l_orderkey % 2 = 1 AS rotated, l_quantity < 4 AS empty, l_partkey % 40 AS distance, 40 + l_suppkey % 9 AS golden, l_linenumber = 1 AS cold, (l_orderkey % 1000)::DOUBLE AS ms, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS mb, CASE WHEN l_returnflag <> 'N' THEN l_linenumber END AS size FROM lineitem),
+o AS (SELECT candidate, avg(empty::INT::DOUBLE) FILTER (NOT rotated) AS a, sum(distance) FILTER (NOT rotated) / sum(golden) FILTER (NOT rotated)::DOUBLE AS b, avg(empty::INT::DOUBLE) FILTER (rotated) AS c, sum(distance) FILTER (rotated) / sum(golden) FILTER (rotated)::DOUBLE AS e, max(ms) FILTER (NOT cold) AS warm, max(ms) FILTER (cold) AS cold, max(mb) AS mb, max(size) AS size FROM l GROUP BY candidate),
+m AS (SELECT candidate, unnest(['original_empty_rate', 'original_cer', 'rotated_empty_rate', 'rotated_cer_regression', 'warm_latency_ms', 'cold_latency_ms', 'peak_memory_mb', 'size_increase_mb']) AS measure, unnest([a, b, c, e - b, warm, cold, mb, size]::DOUBLE[]) AS value FROM o),
+j AS (SELECT candidate, level, measure, coalesce(value <= most, false) AS passed FROM m JOIN (VALUES """
+    + ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in LIMITS)
+    + """) AS t(level, measure, most) USING (measure))
+SELECT candidate, level, count(*) AS gates, bool_and(passed) AS passed, array_to_string(list_sort(list(measure) FILTER (NOT passed)), ',') AS failed FROM j GROUP BY candidate, level"""
+)
+def regression_gates(spark, d):
+    """Flags and states of lines as candidates, the lines as samples."""
+    k = F.col("l_linenumber")
+    runs = B.read(spark, d, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("candidate"), (F.col("l_orderkey") % 2 == 1).alias("rotated"), (F.col("l_quantity") < 4).alias("empty"), (F.col("l_partkey") % 40).alias("distance"), (F.lit(40) + F.col("l_suppkey") % 9).alias("golden_chars"), (k == 1).alias("cold"),
+        (F.col("l_orderkey") % 1000).cast("double").alias("latency_ms"), F.when(k != 2, F.col("l_quantity").cast("double")).alias("memory_mb"), F.when(F.col("l_returnflag") != "N", k.cast("double")).alias("size_increase_mb"),
+    )
+    judged = gates.judge(gates.measures(runs), spark.createDataFrame(LIMITS, "level string, measure string, most double"))
+    return gates.verdicts(judged).withColumn("failed", F.nullif(F.array_join("failed", ","), F.lit("")))
