@@ -488,6 +488,31 @@ def image_statistics(spark, d):
     return imaging.pixel_statistics(_pixels(spark, d)).select("image", F.round("mean", 6).alias("mean"), F.round("dark", 6).alias("dark"), F.round("blown", 6).alias("blown"), F.round("laplacian", 2).alias("laplacian"))
 
 
+#: Pixels of the packed images: 64 by 48, so that every tile holds more than 20.
+_PACKED_WIDTH, _PACKED = 64, 64 * 48
+
+
+@query(
+    rf"""WITH g AS (SELECT vec_id AS image, i % {_PACKED_WIDTH} AS x, i // {_PACKED_WIDTH} AS y, floor(abs(embedding[(i * 7 + i // 64 * 3) % 64 + 1]::DOUBLE) * 1900)::INT % 256 AS c FROM embeddings, range({_PACKED}) t(i)),
+l AS (SELECT image, x, y, c, least(255, c + 40) AS r, c // 2 + 90 AS b FROM g),
+p AS (SELECT image, x, y, (r * 0.299::DOUBLE + c * 0.587::DOUBLE + b * 0.114::DOUBLE) / 255 AS lum, greatest(r, c, b) AS hi, least(r, c, b) AS lo FROM l),
+q AS (SELECT *, lum > 0.48 AND (hi - lo) / hi::DOUBLE < 0.42 AS paper, lag(lum) OVER r + lead(lum) OVER r + lag(lum) OVER k + lead(lum) OVER k - lum * 4 AS lap FROM p WINDOW r AS (PARTITION BY image, y ORDER BY x), k AS (PARTITION BY image, x ORDER BY y)),
+s AS (SELECT image, count(*) AS pixels, avg(lum) AS mean, var_pop(lum) AS variance, avg((lum < 0.18)::INT) AS dark, avg((lum > 0.94)::INT) AS blown, avg(paper::INT) AS paper_ratio, coalesce(var_pop(lap), 0) * 255 * 255 AS laplacian,
+  (max(x) FILTER (paper) - min(x) FILTER (paper) + 1) * (max(y) FILTER (paper) - min(y) FILTER (paper) + 1) / count(*)::DOUBLE AS box, degrees(atan2(covar_pop(x, y) FILTER (paper) * 2, var_pop(x) FILTER (paper) - var_pop(y) FILTER (paper))) / 2 AS angle FROM q GROUP BY image),
+t AS (SELECT image, stddev_pop(m) AS tile_std FROM (SELECT image, avg(lum) AS m, count(*) AS n FROM p WHERE lum > 0.42 GROUP BY image, (x * {imaging.TILE_COLUMNS} + {imaging.TILE_COLUMNS - 1}) // 64, (y * {imaging.TILE_ROWS} + {imaging.TILE_ROWS - 1}) // 48) WHERE n > 20 GROUP BY image)
+SELECT image, pixels, round(mean, 9) AS mean, round(variance, 9) AS variance, round(dark, 9) AS dark, round(blown, 9) AS blown, round(paper_ratio, 9) AS paper_ratio, round(CASE WHEN paper_ratio > 0.035 THEN box ELSE 0 END, 9) AS box,
+  round(CASE WHEN paper_ratio > 0.035 THEN angle END, 4) AS angle, round(laplacian, 2) AS laplacian, round(coalesce(tile_std, sqrt(variance)), 9) AS tile_std FROM s LEFT JOIN t USING (image)"""
+)
+def packed_image_statistics(spark, d):
+    """All statistics of images that are rows, of coloured pixels made of vectors."""
+    i = F.sequence(F.lit(0), F.lit(_PACKED - 1))
+    grey = F.transform(i, lambda k: F.floor(F.abs(F.get("embedding", ((k * 7 + F.floor(k / 64) * 3) % 64).cast("int")).cast("double")) * 1900).cast("int") % 256)
+    rgb = F.transform("g", lambda c: F.least(F.lit(255), c + 40) * 65_536 + c * 256 + F.floor(c / 2).cast("int") + 90)
+    images = B.spread(B.read(spark, d, "embeddings")).select(F.col("vec_id").alias("image"), grey.alias("g")).select("image", F.lit(_PACKED_WIDTH).alias("width"), rgb.alias("rgb"))
+    places = {"laplacian": 2, "angle": 4}
+    return imaging.packed_statistics(images).select("image", "pixels", *[F.round(c, places.get(c, 9)).alias(c) for c in ("mean", "variance", "dark", "blown", "paper_ratio", "box", "angle", "laplacian", "tile_std")])
+
+
 def _pixels(spark, d):
     e = B.read(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "v"))
     g = F.floor(F.abs(F.col("v").cast("double")) * 900).cast("int") % 256
