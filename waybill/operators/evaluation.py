@@ -68,12 +68,15 @@ def sweep(results: DataFrame, config: Sequence[str]) -> DataFrame:
 def leave_one_out(results: DataFrame, config: str = "config", sample: str = "sample", score: str = "score", ord: str = "ord") -> DataFrame:
     """For each sample the configuration that is best without it (earliest among equals) and what it scores on it.
 
-    Training totals are the configuration's total minus the sample's own: one window sum instead of a run for each fold.
+    Training totals are the configuration's total minus the sample's own, instead of a run for each fold. The totals are one
+    row for each configuration, summed before they are dealt out, and the best of a sample is a minimum: no task takes all
+    samples of a configuration.
     """
-    total = F.sum(score).over(Window.partitionBy(config))
-    rest = results.withColumn("_train", total - F.col(score))
-    best = F.row_number().over(Window.partitionBy(sample).orderBy(F.desc("_train"), ord))
-    return rest.withColumn("_r", best).where("_r = 1").select(sample, F.col(config).alias("chosen"), F.col("_train").alias("train_score"), F.col(score).alias("test_score"))
+    totals = results.groupBy(F.col(config).alias("_config")).agg(F.sum(score).alias("_total"))
+    rest = results.join(totals, F.col(config).eqNullSafe(F.col("_config"))).withColumn("_train", F.col("_total") - F.col(score))
+    first = F.struct(F.col("_train").isNull().alias("none"), (-F.col("_train")).alias("least"), F.col(ord).alias("ord"), F.col(config).alias("config"), F.col("_train").alias("train"), F.col(score).alias("score"))
+    best = rest.groupBy(sample).agg(F.min(first).alias("_b"))
+    return best.select(sample, F.col("_b.config").alias("chosen"), F.col("_b.train").alias("train_score"), F.col("_b.score").alias("test_score"))
 
 
 def fold_stability(folds: DataFrame, columns: Sequence[str]) -> DataFrame:
