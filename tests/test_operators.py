@@ -125,6 +125,23 @@ def test_parser(spark):
     assert len(rows) == 51 and {r.value for r in rows if r.doc_id != 1} == {""}
 
 
+def test_digits_are_repaired_once(spark):
+    """A date reads several groups; the repaired text they come from is worked out once, and by runs instead of characters."""
+    assert repr(X.normalize_receipt_date(F.col("t"))).count("regexp_extract_all(") == 1
+    assert repr(X.normalize_date(F.col("t"))).count("regexp_extract_all(") == 1
+    texts = ["배달일시 2O26-O6-l4 OK", "a\n2O26년 6월 9일", "2026년 13월 40일 2026.6.1", "IlO1", None]
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(X.repair_digits(F.col("t")).alias("r"), X.normalize_receipt_date(F.col("t")).alias("d")).collect()
+    assert [r.r for r in got] == ["배달일시 2026-06-14 OK", "a\n2026년 6월 9일", texts[2], "IlO1", None]
+    assert [r.d for r in got][:4] == ["2026-06-14", "2026-06-09", "2026-06-01", ""] and not got[4].d
+
+
+def test_learned_labels_change_no_field(spark):
+    lines = [[f"{a}: {a}", f"{a}x：1", "zz: 2"] for _, _, aliases in receipts.FIELDS for a in aliases]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(lines)], "doc_id int, text string")
+    rows = lambda known: sorted(map(str, receipts.parse_receipts(docs, known=known).collect()))
+    assert rows(receipts.learn(docs)) == rows(None)
+
+
 def test_line_fold_loses_nothing(spark):
     lines = ["Order shop: A", "Product", "roses", "", "hello", "Zone code: 7", "Product: tulips"]
     p = receipts.parse_lines(spark.createDataFrame([(1, lines)], "doc_id int, t array<string>"), "t", __import__("waybill.sources.bindings", fromlist=["REGISTRY"]).REGISTRY)
