@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import random
 import re
 import unicodedata
 
@@ -142,6 +144,17 @@ def test_learned_labels_change_no_field(spark):
     assert rows(receipts.learn(docs)) == rows(None)
 
 
+def test_orientation_does_not_depend_on_the_order_of_lines(spark):
+    """The mean is 0.45, though as a sum of doubles it is less in some orders."""
+    conf, mean = [c / 100 for c in range(10, 81)], lambda xs: functools.reduce(lambda a, b: a + b, xs) / len(xs)
+    orders = [random.Random(i).sample(conf, len(conf)) for i in range(20)]
+    low = next(xs for xs in orders if mean(xs) < 0.45)
+    for xs in (conf, low):
+        rows = spark.createDataFrame([(1, 0, "line", c, None) for c in xs], "image int, orientation int, text string, confidence double, region_score double").coalesce(1)
+        r = evaluation.orientation_scores(rows).first()
+        assert r.good and r.conf == 0.45 and r.lines == 71
+
+
 def test_line_fold_loses_nothing(spark):
     lines = ["Order shop: A", "Product", "roses", "", "hello", "Zone code: 7", "Product: tulips"]
     p = receipts.parse_lines(spark.createDataFrame([(1, lines)], "doc_id int, t array<string>"), "t", __import__("waybill.sources.bindings", fromlist=["REGISTRY"]).REGISTRY)

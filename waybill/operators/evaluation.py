@@ -91,12 +91,20 @@ def choose(candidates: DataFrame, key: Sequence[str], order: Sequence[Column]) -
 
 
 def orientation_scores(lines: DataFrame) -> DataFrame:
-    """Score of each orientation of an image from lines (image, orientation, text, confidence, region_score), and whether it is good."""
+    """Score of each orientation of an image from lines (image, orientation, text, confidence, region_score), and whether it is good.
+
+    Confidences are summed as decimals: a sum of doubles depends on the order of the rows, and a mean of just 0.45 would be
+    good or not by chance.
+    """
+    exact = lambda c: F.col(c).try_cast("decimal(38,18)")
+    mean = lambda c: F.try_divide(F.sum(exact(c)).cast("double"), F.count(exact(c)))
+    sure = F.sum(exact("confidence")) >= F.count(exact("confidence")) * F.lit(0.45).cast("decimal(3,2)")
     return (
         lines.groupBy("image", "orientation")
-        .agg(F.count("*").alias("lines"), F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""))).alias("chars"), F.avg("confidence").alias("conf"), F.avg("region_score").alias("region"))
+        .agg(F.count("*").alias("lines"), F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""))).alias("chars"), mean("confidence").alias("conf"), mean("region_score").alias("region"), sure.alias("_sure"))
         .withColumn("score", F.col("lines") * 5 + F.col("chars") * 0.8 + F.col("conf") * 12 + F.coalesce("region", F.lit(0.0)) * 4)
-        .withColumn("good", (F.col("lines") >= 6) & (F.col("chars") >= 28) & (F.col("conf") >= 0.45))
+        .withColumn("good", (F.col("lines") >= 6) & (F.col("chars") >= 28) & F.col("_sure"))
+        .drop("_sure")
     )
 
 
