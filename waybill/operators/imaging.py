@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.functions.semantics import composed, round_half_up, trim_all
+from waybill.functions.semantics import composed, let, round_half_up, trim_all
 
 # Constants of the quality formula (fixed values).
 IDEAL_BRIGHTNESS = 0.66
 LONG_SIDE, SHORT_SIDE, DETECTOR_SIDE = 2400, 1080, 960
 TILE_COLUMNS, TILE_ROWS = 6, 8
+#: Full luminance in thousandths.
+_FULL = 255_000.0
 
 
 def percent(x: Column) -> Column:
@@ -50,25 +52,38 @@ def coverage_score(box: Column, paper: Column) -> Column:
 
 
 def pixel_statistics(pixels: DataFrame) -> DataFrame:
-    """Statistics of each image from its pixels: luminance, dark, blown and paper shares, box, skew, sharpness, tiles."""
+    """Statistics of each image from its pixels: luminance, dark, blown and paper shares, box, skew, sharpness, tiles.
+
+    Channels are whole numbers, so sums are whole numbers too (luminance in thousandths): a sum of doubles would depend on
+    the order of the rows, and a score at the edge of two or an angle of none would come out by chance.
+    """
     lum = (F.col("red") * 0.299 + F.col("green") * 0.587 + F.col("blue") * 0.114) / 255
+    level = F.col("red").cast("long") * 299 + F.col("green").cast("long") * 587 + F.col("blue").cast("long") * 114
     hi, lo = F.greatest("red", "green", "blue"), F.least("red", "green", "blue")
     # dealt once by image: every window and aggregate below finds its rows together
-    p = pixels.repartition("image").withColumn("lum", lum).withColumn("paper", (F.col("lum") > 0.48) & (F.when(hi == 0, 0.0).otherwise((hi - lo) / hi) < 0.42))
+    p = pixels.repartition("image").withColumn("lum", lum).withColumn("level", level).withColumn("paper", (F.col("lum") > 0.48) & (F.when(hi == 0, 0.0).otherwise((hi - lo) / hi) < 0.42))
     size = p.groupBy("image").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    on = lambda c: F.when(F.col("paper"), F.col(c))
+    on = lambda c: F.when(F.col("paper"), F.col(c).cast("long"))
+    whole = lambda c: F.sum(c.cast("decimal(20,0)")).cast("decimal(19,0)")
+    # n * n times a covariance, exact; the factors have 19 digits at most, so their product has a decimal's 38
+    spread_of = lambda a, b, n: n.cast("decimal(18,0)") * whole(a * b) - whole(a) * whole(b)
+    variance = lambda c: F.try_divide(spread_of(c, c, F.count(c)).cast("double"), F.count(c).cast("double") * F.count(c)) / (_FULL * _FULL)
+    x, y = on("x"), on("y")
     base = p.groupBy("image").agg(
-        F.count("*").alias("pixels"), F.avg("lum").alias("mean"), F.var_pop("lum").alias("variance"), F.avg((F.col("lum") < 0.18).cast("double")).alias("dark"), F.avg((F.col("lum") > 0.94).cast("double")).alias("blown"), F.avg(F.col("paper").cast("double")).alias("paper_ratio"),
-        ((F.max(on("x")) - F.min(on("x")) + 1) * (F.max(on("y")) - F.min(on("y")) + 1) / F.count("*")).alias("box"),
-        (F.degrees(F.atan2(F.covar_pop(on("x"), on("y")) * 2, F.var_pop(on("x")) - F.var_pop(on("y")))) / 2).alias("angle"),
+        F.count("*").alias("pixels"), (F.sum("level") / (F.count("level") * _FULL)).alias("mean"), variance(F.col("level")).alias("variance"),
+        F.avg((F.col("lum") < 0.18).cast("int")).alias("dark"), F.avg((F.col("lum") > 0.94).cast("int")).alias("blown"), F.avg(F.col("paper").cast("int")).alias("paper_ratio"),
+        ((F.max(x) - F.min(x) + 1) * (F.max(y) - F.min(y) + 1) / F.count("*")).alias("box"),
+        (F.degrees(F.atan2(spread_of(x, y, F.count(x)).cast("double") * 2, (spread_of(x, x, F.count(x)) - spread_of(y, y, F.count(x))).cast("double"))) / 2).alias("angle"),
     )
     row, col = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
-    lap = F.lag("lum").over(row) + F.lead("lum").over(row) + F.lag("lum").over(col) + F.lead("lum").over(col) - F.col("lum") * 4
-    sharp = p.withColumn("lap", lap).groupBy("image").agg((F.coalesce(F.var_pop("lap"), F.lit(0.0)) * 255 * 255).alias("laplacian"))
+    lap = F.lag("level").over(row) + F.lead("level").over(row) + F.lag("level").over(col) + F.lead("level").over(col) - F.col("level") * 4
+    sharp = p.withColumn("lap", lap).groupBy("image").agg((F.coalesce(variance(F.col("lap")), F.lit(0.0)) * 255 * 255).alias("laplacian"))
     # tile k holds x from floor(k * w / n) on, so x belongs to the last k with k * w <= x * n + n - 1
     tile = lambda c, n, s: F.floor((F.col(c) * n + n - 1) / F.col(s))
-    tiles = p.join(size, "image").where("lum > 0.42").groupBy("image", tile("x", TILE_COLUMNS, "w").alias("tx"), tile("y", TILE_ROWS, "h").alias("ty")).agg(F.avg("lum").alias("m"), F.count("*").alias("n"))
-    spread = tiles.where("n > 20").groupBy("image").agg(F.stddev_pop("m").alias("tile_std"))
+    tiles = p.join(size, "image").where("lum > 0.42").groupBy("image", tile("x", TILE_COLUMNS, "w").alias("tx"), tile("y", TILE_ROWS, "h").alias("ty")).agg((F.sum("level") / (F.count("level") * _FULL)).alias("m"), F.count("*").alias("n"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    deviation = lambda ms: let(total(ms) / F.size(ms), lambda mean: F.sqrt(total(F.transform(ms, lambda m: (m - mean) * (m - mean))) / F.size(ms)))
+    spread = tiles.where("n > 20").groupBy("image").agg(F.array_sort(F.collect_list("m")).alias("ms")).select("image", deviation(F.col("ms")).alias("tile_std"))
     has = (F.col("paper_ratio") > 0.035) & F.col("box").isNotNull()
     return (
         base.join(sharp, "image").join(spread, "image", "left")
