@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.operators import finance, imaging, joins, pixels, registration, routing, settings, venues
+from waybill.operators import finance, imaging, joins, pixels, receipts, registration, routing, settings, venues
 from waybill.sources import files
 from waybill.streaming import live
 
@@ -265,3 +265,20 @@ def test_empty_session_takes_incoming(spark):
     assert sorted(map(tuple, live.merge_fields(current, incoming, by=["session"]).collect())) == [("s", "k", "v", 1), ("t", "k", "z", 2)]
     assert live.merge_fields(current.limit(0), incoming.where("session = 't'")).count() == 1
     assert finance.period_total(spark.createDataFrame([], "revenue_cents long, fuel_cents long, net_cents long, deliveries long")).first().deliveries == 0
+
+
+def test_recognised_texts_are_parsed_by_all_cores(spark, monkeypatch):
+    """Few bytes of text are much work: they don't end in one task, and their labels are known before."""
+    class Seen(Exception):
+        pass
+
+    def spy(docs, known=None, **_):
+        raise Seen(docs.rdd.getNumPartitions(), known is not None, docs.count())
+
+    monkeypatch.setattr(receipts, "parse_receipts", spy)
+    docs = spark.range(50).selectExpr("id as doc_id", "concat('발주처: 꽃집 ', id) as full_text")
+    lines = spark.createDataFrame([], "doc_id long, line_no int, text string, x double, y double, width double, height double, confidence double")
+    with pytest.raises(Seen) as seen:
+        registration.parse_recognised(docs, lines, 2026)
+    parts, known, n = seen.value.args
+    assert parts >= spark.sparkContext.defaultParallelism and known and n == 50
