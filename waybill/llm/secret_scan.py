@@ -160,12 +160,13 @@ def seed_findings(spark: SparkSession, per_form: int = 400, words: Sequence[str]
             (0, pick("o3", "https://", "in ", "path: "), joined("/", "ok", "ol", "om", "on", "oo"), F.lit(" ")),
             (0, F.concat(pick("o4", "token", "secret", "auth", "password"), F.lit(": ")), own("op"), pick("o5", ".", ",", " ")),
         ]
-    base = spark.range(0, per_form, 1, 1)
-    rows = [base.select(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(float(y)).alias("label")) for y, b, v, a in forms]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    # one plan for all forms
+    at = spark.range(0, per_form * len(forms), 1, 1).select((F.col("id") % per_form).alias("id"), F.floor(F.col("id") / per_form).cast("int").alias("form"))
+    made = [F.struct(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(float(y)).alias("label")) for y, b, v, a in forms]
+    finding = F.when(F.col("form") == 0, made[0])
+    for i, x in enumerate(made[1:-1], 1):
+        finding = finding.when(F.col("form") == i, x)
+    return at.select(finding.otherwise(made[-1]).alias("finding")).select("finding.*")
 
 
 def fit(findings: DataFrame, words: Sequence[str] = (), trees: int = 20, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel:
@@ -187,20 +188,41 @@ def learn(spark: SparkSession, docs: DataFrame) -> RandomForestClassificationMod
 
 
 def as_expression(model: RandomForestClassificationModel) -> Callable[[Column], Column]:
-    """The forest as a function from a struct of FEATURES to the share of votes for label 1."""
-
-    def branch(node, row: Column) -> Column:
-        if node.numDescendants() == 0:
+    """The forest as a function from a struct of FEATURES to the share of votes for label 1.
+
+    The nodes of all trees are arrays (feature, threshold, place of the left and the right child), one literal each, and a
+    tree is walked by an aggregation over its depth: the plan is the same size for any forest. A leaf is its own child,
+    and its threshold is its share.
+    """
+    feature, threshold, left, right, roots = [], [], [], [], []
+
+    def put(node) -> int:
+        at = len(feature)
+        leaf = node.numDescendants() == 0
+        for x in (feature, threshold, left, right):
+            x.append(at)
+        if leaf:
             stats = list(node.impurityStats().stats())
-            return F.lit(float(stats[1] / sum(stats)) if len(stats) > 1 else 0.0)
-        split = node.split()
-        left, right = branch(node.leftChild(), row), branch(node.rightChild(), row)
-        return F.when(row[FEATURES[split.featureIndex()]] <= F.lit(float(split.threshold())), left).otherwise(right)
+            feature[at], threshold[at] = 0, float(stats[1] / sum(stats)) if len(stats) > 1 else 0.0
+        else:
+            split = node.split()
+            feature[at], threshold[at] = split.featureIndex(), float(split.threshold())
+            left[at], right[at] = put(node.leftChild()), put(node.rightChild())
+        return at
 
     trees = list(model._java_obj.trees())
+    depth = max(t.depth() for t in trees)
+    for t in trees:
+        roots.append(put(t.rootNode()))
+    known = lambda xs, kind: F.split(F.lit(" ".join(map(repr, xs))), " ").cast(f"array<{kind}>")
+    features, thresholds, lefts, rights = known(feature, "int"), known(threshold, "double"), known(left, "int"), known(right, "int")
+    steps = known(range(max(1, depth)), "int")
 
     def score(row: Column) -> Column:
-        return F.aggregate(F.array(*[branch(t.rootNode(), row) for t in trees]), F.lit(0.0), lambda a, x: a + x) / float(len(trees))
+        seen = F.array(*[row[x] for x in FEATURES])
+        step = lambda at, _: F.when(F.get(seen, F.get(features, at)) <= F.get(thresholds, at), F.get(lefts, at)).otherwise(F.get(rights, at))
+        votes = F.transform(known(roots, "int"), lambda root: F.get(thresholds, F.aggregate(steps, root, step)))
+        return F.aggregate(votes, F.lit(0.0), lambda a, x: a + x) / float(len(trees))
 
     return score
 
