@@ -144,6 +144,28 @@ def test_learned_labels_change_no_field(spark):
     assert rows(receipts.learn(docs)) == rows(None)
 
 
+def test_repeated_texts_are_parsed_once(spark, monkeypatch):
+    """Documents share the rows of their text; the parser sees each text once, whatever the number of documents."""
+    texts = ["발주처: 한빛플라워\n상품명: 축하3단화환 수량: 2", "배송지\n서울 강남구 테헤란로 7", "", None]
+    docs = spark.createDataFrame([(i % 38, texts[i % 4]) for i in range(40)], "doc_id int, text string")
+    want = sorted(map(str, receipts.parse_receipts(docs).collect()))
+    seen, parse = [], receipts.parse_receipts
+
+    def spy(df, *args, **kw):
+        seen.append(df.count())
+        return parse(df, *args, **kw)
+
+    monkeypatch.setattr(receipts, "parse_receipts", spy)
+    got = receipts.parse_texts_once(docs)
+    assert sorted(map(str, got.select(*parse(docs).columns).collect())) == want and len(want) == 40 * 17 and seen == [3]
+
+
+def test_lines_are_cut_at_embedded_labels(spark):
+    lines = ["상품명: 화환 수량: 2", "수량: 2", "(수량: 2)", "가수량: 2", "주소 상품명：a\n수량 : 1", "없음", ""]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in lines], "t string").select(receipts.split_embedded(F.col("t")).alias("p")).collect()]
+    assert got == [["상품명: 화환", "수량: 2"], ["수량: 2"], ["(수량: 2)"], ["가수량: 2"], ["주소", "상품명：a", "수량 : 1"], ["없음"], [""]]
+
+
 def test_orientation_does_not_depend_on_the_order_of_lines(spark):
     """The mean is 0.45, though as a sum of doubles it is less in some orders."""
     conf, mean = [c / 100 for c in range(10, 81)], lambda xs: functools.reduce(lambda a, b: a + b, xs) / len(xs)

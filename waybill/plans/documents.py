@@ -229,8 +229,7 @@ def _korean(spark, d):
 @query()
 def parse_receipts(spark, d):
     """The whole parser; it has regular expressions with look-around, so its results are checked by unit tests."""
-    docs = B.spread(_korean(spark, d))
-    return receipts.parse_receipts(docs, known=receipts.learn(docs)).select("doc_id", "key", "value", "confidence", "status")
+    return receipts.parse_texts_once(_korean(spark, d)).select("doc_id", "key", "value", "confidence", "status")
 
 
 _TOUR = """WITH RECURSIVE s AS MATERIALIZED (SELECT c_nationkey AS route, c_custkey AS ord, 37.4 + (c_custkey * 7919 % 1000) / 4000.0::DOUBLE AS lat, 126.8 + (c_custkey * 104729 % 1000) / 4000.0::DOUBLE AS lon FROM customer),
