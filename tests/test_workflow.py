@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.operators import finance, imaging, joins, pixels, receipts, registration, routing, settings, venues
+from waybill.operators import finance, imaging, joins, pixels, receipts, registration, routing, settings, spatial, venues
 from waybill.sources import files
 from waybill.streaming import live
 
@@ -282,3 +282,12 @@ def test_recognised_texts_are_parsed_by_all_cores(spark, monkeypatch):
         registration.parse_recognised(docs, lines, 2026)
     parts, known, n = seen.value.args
     assert parts >= spark.sparkContext.defaultParallelism and known and n == 50
+
+
+def test_layout_is_spread_and_candidates_are_one_plan(spark):
+    """Laying out is work by document, not by bytes; a further field adds no join to the plan of the candidates."""
+    lines = spark.range(40).selectExpr("id % 10 as doc_id", "id as line_no", "concat('배송주소: 서울 종로구 ', id) as text", "if(id % 7 = 0, null, 1.0D) as x", "id * 9.0D as y", "5.0D as width", "4.0D as height", "80.0D as confidence")
+    laid = spatial.reading_order(lines)
+    assert laid.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and laid.count() == 10
+    joins = lambda keys: spatial.field_candidates(lines, 2026, keys)._jdf.queryExecution().analyzed().toString().count("Join")
+    assert joins(["deliveryAddress"]) == joins(["deliveryAddress", "memo", "productName", "recipientTel"])
